@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kmerloom.llm import decontaminate, line_dedup, mixing
+from kmerloom.llm import decontaminate, line_dedup, mixing, near_dup
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_lines": line_dedup.op4_lines,
         "op5_decontaminate": decontaminate.op5_decontaminate,
         "op9_mix": mixing.op9_mix,
+        "op10_near_dup": near_dup.op10_near_dup,
     }
 
 
@@ -22,4 +23,5 @@ def oracle_sql() -> dict[str, str]:
         "op4_lines": line_dedup.OP4_SQL,
         "op5_decontaminate": decontaminate.OP5_SQL,
         "op9_mix": mixing.OP9_SQL,
+        "op10_near_dup": near_dup.OP10_SQL,
     }
