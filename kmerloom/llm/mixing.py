@@ -9,7 +9,7 @@ Sample. A source's documents are to appear ``target / source_size`` times. The w
 is a number of certain copies of each document. The rest is the inclusion probability ``p`` of one more
 copy. Each document draws a uniform number from a digest of its id and gets the rank
 ``odds(uniform) / odds(p)``; documents enter in order of rank while the words that the source is short
-of are not exceeded. The words taken before each rank come from a histogram of the ranks (``2**14``
+of are not exceeded. The words taken before each rank come from a histogram of the ranks (``2**12``
 bins per source, summed before any shuffle), so that only the documents of one bin per source are
 ever ordered together. The last place goes to the document outside the sample whose size comes closest
 to what is still missing, if that brings the total nearer the target.
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from kmerloom.llm._common import small, stored, table
 
 WORD = r"[^\x20\x09-\x0D]+"
-BINS = 1 << 14
+BINS = 1 << 12
 
 
 def n_words(text: Column) -> Column:
