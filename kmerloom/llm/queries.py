@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kmerloom.llm import decontaminate, line_dedup, mixing, near_dup
+from kmerloom.llm import decontaminate, line_dedup, mixing, near_dup, quality, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op3_quality": quality.op3_quality,
         "op4_lines": line_dedup.op4_lines,
         "op5_decontaminate": decontaminate.op5_decontaminate,
+        "op6_toxicity": toxicity.op6_toxicity,
         "op9_mix": mixing.op9_mix,
         "op10_near_dup": near_dup.op10_near_dup,
     }
