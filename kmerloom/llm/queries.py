@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kmerloom.llm import decontaminate, fingerprints, line_dedup, mixing, near_dup, quality, toxicity
+from kmerloom.llm import decontaminate, fingerprints, line_dedup, mixing, near_dup, quality, toxicity, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_lines": line_dedup.op4_lines,
         "op5_decontaminate": decontaminate.op5_decontaminate,
         "op6_toxicity": toxicity.op6_toxicity,
+        "op7_warc": warc.op7_warc,
         "op8_fingerprints": fingerprints.op8_fingerprints,
         "op9_mix": mixing.op9_mix,
         "op10_near_dup": near_dup.op10_near_dup,
@@ -25,6 +26,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op4_lines": line_dedup.OP4_SQL,
         "op5_decontaminate": decontaminate.OP5_SQL,
+        "op7_warc": warc.OP7_SQL,
         "op9_mix": mixing.OP9_SQL,
         "op10_near_dup": near_dup.OP10_SQL,
     }
