@@ -6,11 +6,23 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kmerloom.llm import decontaminate, fingerprints, line_dedup, mixing, near_dup, pii, quality, toxicity, warc
+from kmerloom.llm import (
+    decontaminate,
+    fingerprints,
+    line_dedup,
+    mixing,
+    near_dup,
+    pii,
+    quality,
+    suffix_dedup,
+    toxicity,
+    warc,
+)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
         "op2_pii": pii.op2_pii,
         "op3_quality": quality.op3_quality,
         "op4_lines": line_dedup.op4_lines,
