@@ -51,3 +51,9 @@ def bytes_of(df: DataFrame, *cols: Column) -> int:
 def small(df: DataFrame, most_rows: int = 200_000):
     """``F.broadcast`` if a stored table has few rows, else nothing (the join then shuffles, and AQE splits skew)."""
     return F.broadcast if df.limit(most_rows + 1).count() <= most_rows else lambda x: x
+
+
+def lean_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Hand texts to Python workers in batches of few rows: less memory outside the heap for both sides."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

@@ -11,15 +11,17 @@ with probability f(0), f(l) = 1 - (1 - s f(l + 1)) ** branches[l], f(last) = 1;
 at the threshold is missed with at most ``1 - recall``. The number of levels grows with the number of
 documents, so that nodes of unrelated documents stay small.
 
-*Nodes.* All pairs of a node of up to ``small_node`` members are compared by 128-bit sketches (one
-bit of each minwise token); pairs whose estimated similarity is more than 4.5 standard deviations under the
-threshold are left out. In a larger node, the first four members are compared with all others while the
-node streams by in bounded memory.
-
-*Links.* First, each document is tested against its first candidate in a node: full sets decide. Then all
-other candidate pairs between different components are tested, and last, in large nodes, each
-member outside the node's main component against all members of other components. So every candidate pair is
-either tested on full sets or lies inside one component.
+*Nodes.* Members of a node are compared by 128-bit sketches (one bit of each minwise token); pairs whose
+estimated similarity is more than 4.5 standard deviations under the threshold are left out. In the first round, a
+member of a node of up to ``small_node`` members is paired with the first member that it may be linked
+with; in a larger node, with the first four members, while the node streams by in bounded memory.
+Full sets decide these pairs, and their links give components.
+
+*Second round.* Nodes with further possible pairs are looked at again with the components known: each
+member outside the node's main component meets all members of other components. Odd sketches (parities of hashed
+set members) bound the symmetric difference from below without error, so only pairs whose sets can
+still be similar enough are tested on full sets. So every possible pair of a node is either decided or lies inside
+one component, and no group of alike documents ever emits all its pairs.
 
 Defined results: null and empty texts, and texts without words, have the empty set, are linked with nothing
 and are kept; fewer words than a shingle has make one shingle; rows that repeat a doc_id have the component
@@ -38,11 +40,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kmerloom.llm import _text as T
-from kmerloom.llm._common import partitions, small, stored, table
+from kmerloom.llm._common import lean_batches, partitions, small, stored, table
 from kmerloom.llm.graph import components
 
 TOKENS = 128
 PIVOTS = 4
+ODD_WORDS = 16
 _seeds = np.random.Generator(np.random.PCG64(77))
 TOKEN_MUL = _seeds.integers(1, 1 << 63, TOKENS, dtype=np.uint64) * T.U64(2) + T.U64(1)
 TOKEN_ADD = _seeds.integers(0, 1 << 63, TOKENS, dtype=np.uint64)
@@ -97,6 +100,14 @@ def sketch(tokens: np.ndarray) -> np.ndarray:
     return np.stack([np.bitwise_or.reduce(bits[:, :64], 1), np.bitwise_or.reduce(bits[:, 64:], 1)], 1)
 
 
+def odd_sketch(sets: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """(documents, ODD_WORDS) words: bit b is the parity of the number of members that hash to b."""
+    n = len(begin) - 1
+    bit = (T.mix(sets ^ T.U64(0x1F83D9ABFB41BD6B)) >> T.U64(64 - (ODD_WORDS * 64).bit_length() + 1)).astype(np.int64)
+    odd = np.bincount(np.repeat(np.arange(n), np.diff(begin)) * (ODD_WORDS * 64) + bit, minlength=n * ODD_WORDS * 64) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.uint64).reshape(n, ODD_WORDS)
+
+
 def paths(tokens: np.ndarray, trees: int, branches: tuple[int, ...]) -> np.ndarray:
     """(documents, leaves) node hashes at the last level of each document's trees."""
     n = len(tokens)
@@ -157,66 +168,76 @@ def _sketch_limit(similarity: float) -> int:
 
 
 def _comparer(limit: int, small_node: int):
-    """Streams rows (key, rep, s1, s2) in order of key and rep; gives candidate pairs and the keys of large nodes."""
+    """Streams rows (key, rep, s1, s2) in order of key and rep.
+
+    Gives first-round pairs (a, b), and as rows (key, rep, s1, s2) the members of nodes with more possible pairs.
+    """
 
     def apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
         return np.bitwise_count(x[..., 0] ^ y[..., 0]).astype(np.int64) + np.bitwise_count(x[..., 1] ^ y[..., 1])
 
-    def result(a: list, b: list, first: list, large: list) -> pa.RecordBatch:
-        cat = lambda x, kind: np.concatenate(x) if x else np.zeros(0, kind)
-        a, b, first, large = cat(a, np.int64), cat(b, np.int64), cat(first, bool), np.unique(np.array(large, np.int64))
-        pad = lambda x, kind: pa.concat_arrays([pa.array(x, kind), pa.nulls(len(large), kind)])
-        return pa.RecordBatch.from_arrays([pad(a, pa.int64()), pad(b, pa.int64()), pad(first, pa.bool_()), pa.concat_arrays([pa.nulls(len(a), pa.int64()), pa.array(large)])], ["a", "b", "first", "large"])
+    def result(pairs: list, again: list) -> pa.RecordBatch:
+        a, b = (np.concatenate([p[k] for p in pairs]) if pairs else np.zeros(0, np.int64) for k in (0, 1))
+        members = [np.concatenate([m[k] for m in again]) if again else np.zeros(0, np.int64) for k in range(4)]
+        head = [pa.concat_arrays([pa.array(x), pa.nulls(len(members[0]), pa.int64())]) for x in (a, b)]
+        tail = [pa.concat_arrays([pa.nulls(len(a), pa.int64()), pa.array(m)]) for m in members]
+        return pa.RecordBatch.from_arrays([*head, *tail], ["a", "b", "key", "rep", "s1", "s2"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, 2), np.uint64))
-        large_key, pivots = None, None
+        held = [np.zeros(0, np.int64)] * 4
+        pivots = None  # of the large node that goes on: key, reps, sketches
         for batch in _and_end(batches):
-            a, b, first, large = [], [], [], []
-            if batch is None:
-                key, rep, sk = held
-                whole = len(key)
-            else:
-                cols = [batch.column(k).to_numpy() for k in range(4)]
-                key = np.concatenate([held[0], cols[0]])
-                rep = np.concatenate([held[1], cols[1]])
-                sk = np.concatenate([held[2], np.stack([cols[2], cols[3]], 1).view(np.uint64)])
-                whole = int(np.searchsorted(key, key[-1])) if len(key) else 0
-            if large_key is not None and len(key):  # more of a large node
-                stop = int(np.searchsorted(key, large_key, "right"))
-                for k in range(len(pivots[0])):
-                    ok = (apart(sk[:stop], pivots[1][k]) <= limit) & (rep[:stop] != pivots[0][k])
-                    a.append(np.full(ok.sum(), pivots[0][k])), b.append(rep[:stop][ok]), first.append(np.ones(ok.sum(), bool))
-                key, rep, sk, whole = key[stop:], rep[stop:], sk[stop:], max(0, whole - stop)
-                if len(key):
-                    large_key = None
-            tail = len(key) - whole
-            done = whole
-            if tail > small_node:  # the last node is large already
+            pairs, again = [], []
+            cols = held if batch is None else [np.concatenate([h, batch.column(k).to_numpy()]) for k, h in enumerate(held)]
+            if pivots is not None and len(cols[0]):
+                stop = int(np.searchsorted(cols[0], pivots[0], "right"))
+                more = [c[:stop] for c in cols]
+                cols = [c[stop:] for c in cols]
+                against(pairs, pivots[1], pivots[2], more)
+                again.append(more)
+                if len(cols[0]):
+                    pivots = None
+            key = cols[0]
+            done = len(key) if batch is None or not len(key) else int(np.searchsorted(key, key[-1]))
+            if len(key) - done > small_node:  # the last node is large already
                 done = len(key)
+            now, held = [c[:done] for c in cols], [c[done:] for c in cols]
             if done:
-                begin = np.flatnonzero(np.concatenate([[True], key[1:done] != key[: done - 1]]))
+                begin = np.flatnonzero(np.concatenate([[True], now[0][1:] != now[0][:-1]]))
                 size = np.diff(np.concatenate([begin, [done]]))
+                sk = np.stack(now[2:], 1).view(np.uint64)
                 for s, m in zip(begin[size > small_node], size[size > small_node]):
-                    large.append(key[s])
-                    for k in range(PIVOTS):
-                        ok = apart(sk[s + k + 1 : s + m], sk[s + k]) <= limit
-                        a.append(np.full(ok.sum(), rep[s + k])), b.append(rep[s + k + 1 : s + m][ok]), first.append(np.ones(ok.sum(), bool))
-                    if s + m == len(key) and batch is not None:
-                        large_key, pivots = key[s], (rep[s : s + PIVOTS].copy(), sk[s : s + PIVOTS].copy())
-                index = np.arange(done)
-                lead = np.repeat(begin, size)
-                wide = np.repeat(size, size)
-                ok_node = (wide > 1) & (wide <= small_node)
-                met = np.zeros(done, bool)
-                for d in range(int(size[size <= small_node].max(initial=1)) - 1, 0, -1):  # far partners first: these stand first in their node
-                    j = index[ok_node & (index - lead >= d)]
-                    j = j[(apart(sk[j], sk[j - d]) <= limit) & (rep[j] != rep[j - d])]
-                    if len(j):
-                        a.append(rep[j - d]), b.append(rep[j]), first.append(~met[j])
-                        met[j] = True
-            held = (key[done:], rep[done:], sk[done:])
-            yield result(a, b, first, large)
+                    node = [c[s : s + m] for c in now]
+                    against(pairs, node[1][:PIVOTS], sk[s : s + PIVOTS], node)
+                    again.append(node)
+                    if s + m == done and batch is not None and not len(held[0]):
+                        pivots = (node[0][0], node[1][:PIVOTS].copy(), sk[s : s + PIVOTS].copy())
+                in_small(pairs, again, now, sk, begin, size)
+            yield result(pairs, again)
+
+    def against(pairs: list, reps: np.ndarray, sketches: np.ndarray, node: list) -> None:
+        sk = np.stack(node[2:], 1).view(np.uint64)
+        for rep, own in zip(reps, sketches):
+            ok = (apart(sk, own) <= limit) & (node[1] != rep)
+            pairs.append((np.full(ok.sum(), rep), node[1][ok]))
+
+    def in_small(pairs: list, again: list, now: list, sk: np.ndarray, begin: np.ndarray, size: np.ndarray) -> None:
+        rep, place = now[1], np.arange(len(now[0])) - np.repeat(begin, size)
+        node = np.repeat(np.arange(len(begin)), size)
+        fits = (size > 1) & (size <= small_node)
+        candidates = np.flatnonzero(fits[node])
+        met, more = np.zeros(len(rep), bool), np.zeros(len(begin), bool)
+        for d in range(int(size[fits].max(initial=1)) - 1, 0, -1):  # far partners first: they stand first in their node
+            j = candidates[place[candidates] >= d]
+            j = j[(apart(sk[j], sk[j - d]) <= limit) & (rep[j] != rep[j - d])]
+            new = j[~met[j]]
+            more[node[j[met[j]]]] = True
+            met[new] = True
+            if len(new):
+                pairs.append((rep[new - d], rep[new]))
+        if more.any():
+            own = more[node]
+            again.append([c[own] for c in now])
 
     return compare
 
@@ -233,7 +254,8 @@ def _set_writer(width: int):
             for i, j in T.runs(offsets):
                 found, begin = shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], width)
                 blobs = pa.LargeBinaryArray.from_buffers(pa.large_binary(), j - i, [None, pa.py_buffer((begin * 8).astype(np.int64)), pa.py_buffer(found)]).cast(pa.binary())
-                yield pa.RecordBatch.from_arrays([batch.column("rep").slice(i, j - i), blobs], ["rep", "members"])
+                odd = pa.FixedSizeListArray.from_arrays(_i64(odd_sketch(found, begin).ravel()), ODD_WORDS).cast(pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([batch.column("rep").slice(i, j - i), blobs, pa.array(np.diff(begin)), odd], ["rep", "members", "n", "odd"])
 
     return sets
 
@@ -256,9 +278,27 @@ def _tester(percent: int):
     return test
 
 
+def _between_components(again: DataFrame, parts: DataFrame, sets: DataFrame, percent: int, limit: int) -> DataFrame:
+    """Stored second-round pairs (a, b): members of one node, in different components, that may be linked."""
+    named = again.join(parts.select(F.col("id").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    named = stored(named, "near-again")
+    sizes = named.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
+    split = stored(sizes.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.count(F.lit(1)).alias("parts")).where("parts > 1").select("key", "main"), "near-split")
+    whole = named.join(split, "key").join(sets.select("rep", F.col("n").alias("size"), "odd"), "rep")
+    whole = stored(whole, "near-again-sets")
+    x = whole.where("component <> main").select(F.col("key").alias("kx"), *[F.col(c).alias(f"{c}_x") for c in ("rep", "component", "s1", "s2", "size", "odd")])
+    total = F.col("size") + F.col("size_x")
+    differ = F.aggregate(F.zip_with("odd", "odd_x", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda m, n: m + n)
+    # similar sets differ in at most total * (100 - percent) / (100 + percent) members
+    may = (F.bit_count(F.col("s1").bitwiseXOR(F.col("s1_x"))) + F.bit_count(F.col("s2").bitwiseXOR(F.col("s2_x"))) <= limit) & (differ * (100 + percent) <= total * (100 - percent))
+    met = whole.join(x, (F.col("key") == F.col("kx")) & (F.col("component") != F.col("component_x")) & may)
+    return stored(met.select(F.least("rep", "rep_x").alias("a"), F.greatest("rep", "rep_x").alias("b")).distinct(), "near-left")
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, recall: float = 0.999999, small_node: int = 64, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: doc_id, n_shingles, component_id (the smallest doc_id reachable by links), kept."""
     spark = docs.sparkSession
+    lean_batches(spark)
     plain = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
     trees, branches = plan_trees(plain.select("doc_id").count(), percent / 100, recall)
     schema = "doc_id bigint, n_shingles bigint, d1 bigint, d2 bigint, s1 bigint, s2 bigint, keys array<bigint>"
@@ -267,48 +307,24 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, recall:
     classes = profiles.where("n_shingles > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.min("s1").alias("s1"), F.min("s2").alias("s2"), F.first("keys").alias("keys")).where("rep is not null")
     nodes = classes.select(F.explode("keys").alias("key"), "rep", "s1", "s2")
     n = max(partitions(spark), spark.sparkContext.defaultParallelism)
-    compared = nodes.repartition(n, "key").sortWithinPartitions("key", "rep").mapInArrow(_comparer(_sketch_limit(percent / 100), small_node), "a bigint, b bigint, first boolean, large bigint")
+    ordered = nodes.repartition(n, "key").sortWithinPartitions("key", "rep")
+    compared = ordered.mapInArrow(_comparer(_sketch_limit(percent / 100), small_node), "a bigint, b bigint, key bigint, rep bigint, s1 bigint, s2 bigint")
     compared = stored(compared, "near-compared")
-    pairs = stored(compared.where("a is not null").groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("first").alias("first")), "near-pairs")
-    large = compared.where("large is not null").select(F.col("large").alias("key")).distinct()
-    large = None if large.isEmpty() else stored(large, "near-large")
-
-    involved = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
-    if large is not None:
-        in_large = stored(nodes.join(small(large)(large), "key").select("key", "rep", "s1", "s2"), "near-large-members")
-        involved = involved.union(in_large.select("rep")).distinct()
-    involved = stored(involved, "near-involved")
+    pairs = compared.where("a is not null").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    again = compared.where("rep is not null").select("key", "rep", "s1", "s2")
+    involved = stored(compared.select(F.explode(F.array("a", "b", "rep")).alias("rep")).where("rep is not null").distinct(), "near-involved")
     sets = plain.withColumnRenamed("doc_id", "rep").join(small(involved, 1_000_000)(involved), "rep", "left_semi")
-    sets = stored(sets.mapInArrow(_set_writer(width), "rep bigint, members binary"), "near-sets")
+    sets = stored(sets.mapInArrow(_set_writer(width), "rep bigint, members binary, n bigint, odd array<bigint>"), "near-sets")
 
     def tested(candidates: DataFrame) -> DataFrame:
         both = candidates.join(sets.select(F.col("rep").alias("b"), F.col("members").alias("mb")), "b").join(sets.select(F.col("rep").alias("a"), F.col("members").alias("ma")), "a")
         return stored(both.select("a", "b", "ma", "mb").mapInArrow(_tester(percent), "a bigint, b bigint"), "near-links")
 
-    def apart(candidates: DataFrame, parts: DataFrame) -> DataFrame:
-        """Candidates between different components."""
-        ca, cb = (parts.select(F.col("id").alias(x), F.col("component").alias(f"c{x}")) for x in "ab")
-        split = candidates.join(ca, "a", "left").join(cb, "b", "left")
-        return split.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
-
-    links = tested(pairs.where("first").select("a", "b"))
+    links = tested(pairs)
     parts = components(links)
-    rest = pairs.where("not first")
-    if not rest.isEmpty():
-        links = links.union(tested(apart(rest.select("a", "b"), parts)))
-        parts = components(links)
-    if large is not None:
-        limit = _sketch_limit(percent / 100)
-        named = in_large.join(parts.select(F.col("id").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-        named = stored(named, "near-large-named")
-        by_part = named.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
-        main = by_part.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("main"))
-        other = named.join(main, "key").where("component <> main").select("key", F.col("rep").alias("x"), F.col("component").alias("cx"), F.col("s1").alias("x1"), F.col("s2").alias("x2"))
-        close = F.bit_count(F.col("s1").bitwiseXOR(F.col("x1"))) + F.bit_count(F.col("s2").bitwiseXOR(F.col("x2"))) <= limit
-        met = named.join(other, "key").where((F.col("component") != F.col("cx")) & close)
-        met = met.select(F.least("rep", "x").alias("a"), F.greatest("rep", "x").alias("b")).distinct()
-        links = links.union(tested(met))
-        parts = components(links)
+    left = _between_components(again, parts, sets, percent, _sketch_limit(percent / 100))
+    if not left.isEmpty():
+        parts = components(links.union(tested(left)))
 
     linked = classes.select("d1", "d2", "rep").join(parts, F.col("rep") == F.col("id"), "left").select("d1", "d2", F.coalesce("component", "rep").alias("component_id"))
     linked = stored(linked, "near-classes")
