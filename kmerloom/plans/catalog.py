@@ -1,7 +1,372 @@
-"""The registered queries of the engine and the SQL that gives the same rows."""
+"""The registered queries of the engine and the SQL that gives the same rows.
+
+The tables hold no DNA; a deterministic recipe turns letters of ``documents`` and ``benchmark`` texts into bases, in
+both engines alike: ASCII letters are mapped to ACGT by their place in the alphabet, all else is '.', an unknown base.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from kmerloom.functions import dna, hv, lineage
+from kmerloom.operators import align, encode, identify, propagate, sample, similarity, taxonomy
+from kmerloom.operators.induct import induct_pairs
+from kmerloom.session import stored
+
 FLAGSHIP = "emb_cosine_topk_k10"
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def whole_dna(text):
+    """The whole text as DNA."""
+    return dna.text_to_dna(text, 1 << 30)
+
+
+WHOLE_SQL = "translate(upper(regexp_replace(coalesce(text, ''), '[^A-Za-z]', '.', 'g')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'ACGTACGTACGTACGTACGTACGTAC')"
+REVCOMP_SQL = "reverse(translate(regexp_replace({0}, '[^ACGT]', 'N', 'g'), 'ACGT', 'TGCA'))"
+
+
+def documents_dna(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", whole_dna(F.coalesce("text", F.lit(""))).alias("sequence"))
+
+
+def lineages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as sequences with a lineage of region, nation and market segment."""
+    c, n, r = (table(spark, sf_dir, t) for t in ("customer", "nation", "region"))
+    joined = c.join(n, F.col("c_nationkey") == F.col("n_nationkey")).join(r, F.col("n_regionkey") == F.col("r_regionkey"))
+    text = F.concat(F.lit("k__World; p__"), "r_name", F.lit("; c__"), "n_name", F.lit("; o__"), "c_mktsegment", F.lit("; s__"))
+    return joined.select(F.col("c_custkey").alias("seq_id"), text.alias("lineage"))
+
+
+LINEAGES_SQL = "SELECT c_custkey AS seq_id, 'k__World; p__' || r_name || '; c__' || n_name || '; o__' || c_mktsegment || '; s__' AS lineage FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey"
+TOKENS_SQL = "list_filter(list_transform(string_split(lineage, ';'), lambda x: translate(ltrim(x), ' ', '_')), lambda x: contains(x, '__') AND NOT ends_with(x, '__'))"
+
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+# ---- vectors ----
+
+_PAIRS = "FROM embeddings a, embeddings b"
+
+
+@query(f"""
+SELECT input_id, rank, round(score, 6) AS score, db_id FROM (
+  SELECT a.vec_id AS input_id, b.vec_id AS db_id, s AS score, row_number() OVER (PARTITION BY a.vec_id ORDER BY s DESC, b.vec_id) AS rank
+  FROM (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings) a, (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings) b,
+    LATERAL (SELECT list_dot_product(a.v, b.v) / (sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v))) AS s) t)
+WHERE rank <= 10
+""")
+def emb_cosine_topk_k10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "embeddings")
+    return similarity.cosine_topk(e, e, 10).select("input_id", "rank", F.round("score", 6).alias("score"), "db_id")
+
+
+@query("""
+SELECT a.vec_id AS input_id, round(max(s), 6) AS score, arg_max(b.vec_id, (s, -b.vec_id)) AS db_id
+FROM (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings) a, (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings) b,
+  LATERAL (SELECT list_dot_product(a.v, b.v) / (sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v))) AS s) t
+GROUP BY a.vec_id
+""")
+def emb_cosine_argmax(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "embeddings")
+    return similarity.cosine_argmax(e, e).select("input_id", F.round("score", 6).alias("score"), "db_id")
+
+
+def _next_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "embeddings")
+    after = e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("after"))
+    return e.join(after, "vec_id").select("vec_id", "embedding", "after")
+
+
+_NEXT_SQL = "FROM (SELECT a.vec_id, list_transform(a.embedding, lambda x: x::DOUBLE) AS x, list_transform(b.embedding, lambda x: x::DOUBLE) AS y FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1)"
+
+
+@query(f"SELECT vec_id, round(list_dot_product(x, y), 6) AS dot {_NEXT_SQL}")
+def emb_raw_dot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _next_vectors(spark, sf_dir).select("vec_id", F.round(similarity.dot(F.col("embedding"), F.col("after")), 6).alias("dot"))
+
+
+@query(f"SELECT vec_id, round(1 / sqrt(list_dot_product(x, x)), 6) AS inv_norm, round(2 * (list_dot_product(x, y) / (sqrt(list_dot_product(x, x)) * sqrt(list_dot_product(y, y))) - 0.5), 6) AS score {_NEXT_SQL}")
+def emb_norm_affine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, b = F.col("embedding"), F.col("after")
+    return _next_vectors(spark, sf_dir).select("vec_id", F.round(1 / similarity.norm(a), 6).alias("inv_norm"), F.round(2 * (similarity.cosine(a, b) - 0.5), 6).alias("score"))
+
+
+@query("""
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings),
+s AS (SELECT a.vec_id AS input_id, b.vec_id AS db_id, list_dot_product(a.v, b.v) / (sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v))) AS s FROM v a JOIN v b ON a.vec_id % 2 = 0 AND b.vec_id % 2 = 1),
+r AS (SELECT *, row_number() OVER (PARTITION BY input_id ORDER BY s DESC, db_id) AS rank, max(s) OVER (PARTITION BY input_id) AS top FROM s)
+SELECT count(*) AS n, count(*) FILTER (s >= top - 0.00001) AS n_agree FROM r WHERE rank = 1
+""")
+def topk_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Even vectors searched among odd ones; the top answer against the five best."""
+    e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    found = stored(similarity.cosine_topk(e.where("vec_id % 2 = 0"), e.where("vec_id % 2 = 1"), 5), "topk")
+    return similarity.topk_agreement(found, found)
+
+
+# ---- DNA ----
+
+
+@query(f"SELECT doc_id, md5(s) AS sequence_md5, md5({REVCOMP_SQL.format('s')}) AS revcomp_md5 FROM (SELECT doc_id, {WHOLE_SQL} AS s FROM documents)")
+def doc_revcomp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = documents_dna(spark, sf_dir)
+    return s.select("doc_id", F.md5(F.col("sequence").cast("binary")).alias("sequence_md5"), F.md5(dna.revcomp(F.col("sequence")).cast("binary")).alias("revcomp_md5"))
+
+
+_KMERS_SQL = f"""
+WITH d AS (SELECT doc_id, {WHOLE_SQL} AS s FROM documents),
+k AS (SELECT doc_id, s[i : i + 4] AS x FROM (SELECT doc_id, s, unnest(range(1, length(s) - 3)) AS i FROM d WHERE length(s) >= 5)),
+c AS (SELECT doc_id, least(x, {REVCOMP_SQL.format('x')}) AS kmer FROM k WHERE regexp_full_match(x, '[ACGT]{{5}}'))
+"""
+
+
+@query(_KMERS_SQL + "SELECT doc_id, kmer, count(*)::BIGINT AS n FROM c GROUP BY doc_id, kmer")
+def doc_kmer_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode.kmer_counts(documents_dna(spark, sf_dir), "doc_id")
+
+
+@query(_KMERS_SQL + "SELECT kmer, count(*)::BIGINT AS n, count(DISTINCT doc_id)::BIGINT AS n_docs FROM c GROUP BY kmer")
+def doc_canonical_kmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    per_doc = encode.kmer_counts(documents_dna(spark, sf_dir), "doc_id")
+    return per_doc.groupBy("kmer").agg(F.sum("n").cast("bigint").alias("n"), F.count(F.lit(1)).cast("bigint").alias("n_docs"))
+
+
+def _windows(spark: SparkSession, sf_dir: str, rule: str) -> DataFrame:
+    found = dna.windows(documents_dna(spark, sf_dir), rule=rule)
+    return found.select("doc_id", F.col("window_start").cast("bigint").alias("window_start"), F.md5(F.col("window").cast("binary")).alias("window_md5"))
+
+
+_WINDOWS_SQL = f"SELECT doc_id, x AS window_start, md5(s[x + 1 : x + 125]) AS window_md5 FROM (SELECT doc_id, s, unnest(range(0, length(s) - {{0}}, 10)) AS x FROM (SELECT doc_id, {WHOLE_SQL} AS s FROM documents))"
+
+
+@query(_WINDOWS_SQL.format(125))
+def doc_windows_cpu(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _windows(spark, sf_dir, "cpu")
+
+
+@query(_WINDOWS_SQL.format(124))
+def doc_windows_gpu(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _windows(spark, sf_dir, "gpu")
+
+
+@query(f"""
+WITH d AS (SELECT doc_id, {WHOLE_SQL} AS s FROM documents),
+w AS (SELECT doc_id, s, unnest(range(0, length(s) - 125, 10)) AS x FROM d),
+k AS (SELECT doc_id, x, s[x + 1 + j : x + 5 + j] AS g FROM w, range(121) r(j))
+SELECT doc_id, x AS window_start, count(*) FILTER (regexp_full_match(g, '[ACGT]{{5}}'))::BIGINT AS n_known FROM k GROUP BY doc_id, x
+""")
+def doc_window_kmers_sliding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode.sliding_kmer_counts(documents_dna(spark, sf_dir), "doc_id").select("doc_id", F.col("window_start").cast("bigint").alias("window_start"), "n_known")
+
+
+@query("SELECT list_reduce(list_transform(range(4), lambda i: substr('ACGT', ((c >> (2 * (3 - i))) & 3)::BIGINT + 1, 1)), lambda a, b: a || b) AS nmer, c AS code FROM range(256) r(c)")
+def nmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dna.nmers(spark, 4)
+
+
+def _bits(base: str) -> str:
+    return "".join("1" if x else "0" for x in hv.lanes(hv.bases()[base][None])[0])
+
+
+def _gram_sql() -> str:
+    """G from the four base vectors as bit strings (bit i of a string is lane i)."""
+    vectors = ", ".join(f"('{b}', '{_bits(b)}'::BIT)" for b in "ACGT")
+    ones = "1" * hv.HV_DIM
+    letters = "(SELECT unnest(['A', 'C', 'G', 'T']) AS l)"
+    bound = "xor(xor(xor(xor(xor(o.v, b0.v), b1.v << 1), b2.v << 2), b3.v << 3), b4.v << 4)"
+    return f"""
+b(l, v) AS MATERIALIZED (VALUES {vectors}), o AS (SELECT '{ones}'::BIT AS v),
+every AS (SELECT a.l || b.l || c.l || d.l || e.l AS kmer FROM {letters} a, {letters} b, {letters} c, {letters} d, {letters} e),
+h AS MATERIALIZED (SELECT kmer, {bound} AS v FROM every, o JOIN b b0 ON true JOIN b b1 ON true JOIN b b2 ON true JOIN b b3 ON true JOIN b b4 ON true
+  WHERE b0.l = kmer[1] AND b1.l = kmer[2] AND b2.l = kmer[3] AND b3.l = kmer[4] AND b4.l = kmer[5] AND kmer <= {REVCOMP_SQL.format('kmer')}),
+g AS MATERIALIZED (SELECT x.kmer AS a, y.kmer AS b, (10000 - 2 * bit_count(xor(x.v, y.v)))::BIGINT AS dot FROM h x, h y)
+"""
+
+
+@query("WITH " + _gram_sql() + "SELECT a, b, dot FROM g")
+def kmer_gram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """G with built-in functions from the k-mer dimension."""
+    k = hv.kmer_dimension(spark).where("kmer = canon").select("kmer", "hv")
+    x, y = k.select(F.col("kmer").alias("a"), F.col("hv").alias("ha")), k.select(F.col("kmer").alias("b"), F.col("hv").alias("hb"))
+    differ = F.aggregate(F.zip_with("ha", "hb", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda m, n: m + n)
+    return x.crossJoin(F.broadcast(y)).select("a", "b", (F.lit(hv.HV_DIM) - 2 * differ).cast("bigint").alias("dot"))
+
+
+@query(f"""
+WITH {_gram_sql()},
+t AS (SELECT 'q' AS side, item_id AS id, {WHOLE_SQL} AS s FROM benchmark UNION ALL SELECT 'd', doc_id, {WHOLE_SQL} FROM documents),
+k AS (SELECT side, id, s[i : i + 4] AS x FROM (SELECT side, id, s, unnest(range(1, length(s) - 3)) AS i FROM t WHERE length(s) >= 5)),
+c AS MATERIALIZED (SELECT side, id, least(x, {REVCOMP_SQL.format('x')}) AS kmer, count(*) AS n FROM k WHERE regexp_full_match(x, '[ACGT]{{5}}') GROUP BY ALL),
+p AS MATERIALIZED (SELECT side, id, b AS kmer, sum(n * dot)::BIGINT AS v FROM c JOIN g ON a = kmer GROUP BY ALL),
+norms AS MATERIALIZED (SELECT side, id, sum(n * v)::DOUBLE AS norm2 FROM c JOIN p USING (side, id, kmer) GROUP BY ALL),
+dots AS (SELECT p.id AS item_id, c.id AS doc_id, sum(n * v)::DOUBLE AS dot FROM p JOIN c USING (kmer) WHERE p.side = 'q' AND c.side = 'd' GROUP BY ALL),
+scores AS (SELECT item_id, doc_id, 2 * (dot / (sqrt(x.norm2) * sqrt(y.norm2)) - 0.5) AS score FROM dots JOIN norms x ON x.side = 'q' AND x.id = item_id JOIN norms y ON y.side = 'd' AND y.id = doc_id)
+SELECT q.item_id, d.doc_id, round(coalesce(score, -1), 6) AS score FROM benchmark q CROSS JOIN documents d LEFT JOIN scores s ON s.item_id = q.item_id AND s.doc_id = d.doc_id
+""")
+def doc_hdc_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items (a stated query set) against all documents, whole sequences."""
+    items = table(spark, sf_dir, "benchmark").select("item_id", whole_dna(F.coalesce("text", F.lit(""))).alias("sequence"))
+    return similarity.score_queries(items, documents_dna(spark, sf_dir), "item_id", "doc_id").select("item_id", "doc_id", F.round("score", 6).alias("score"))
+
+
+# ---- lineages ----
+
+
+@query(f"SELECT seq_id, lineage, array_to_string({TOKENS_SQL}, ';') AS tokens FROM ({LINEAGES_SQL})")
+def lineage_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lineages(spark, sf_dir).select("seq_id", "lineage", F.array_join(lineage.lineage_tokens(F.col("lineage")), ";").alias("tokens"))
+
+
+@query(f"SELECT seq_id, list_filter(list_transform(string_split(lineage, ';'), lambda x: trim(x)), lambda x: contains(x, '__') AND NOT ends_with(x, '__'))[-1] AS lowest FROM ({LINEAGES_SQL})")
+def lowest_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lineages(spark, sf_dir).select("seq_id", lineage.lowest_rank(F.col("lineage")).alias("lowest"))
+
+
+@query("SELECT p_partkey, translate(p_name || ' (' || p_brand || '/' || p_type || ')', ' /()', '__') AS safe, translate(p_name || ' (' || p_brand || '/' || p_type || ')', ' ', '_') AS normal FROM part")
+def safe_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    name = F.concat("p_name", F.lit(" ("), "p_brand", F.lit("/"), "p_type", F.lit(")"))
+    return table(spark, sf_dir, "part").select("p_partkey", dna.safe_name(name).alias("safe"), dna.normalize_category(name).alias("normal"))
+
+
+@query(f"SELECT DISTINCT unnest(list_filter(list_transform(string_split(lineage, ';'), lambda x: trim(x)), lambda x: contains(x, '__') AND NOT ends_with(x, '__'))) AS node FROM ({LINEAGES_SQL})")
+def taxonomy_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return taxonomy.nodes(lineages(spark, sf_dir))
+
+
+_EDGES_SQL = f"SELECT DISTINCT t[i] AS parent, t[i + 1] AS child FROM (SELECT t, unnest(range(1, len(t))) AS i FROM (SELECT {TOKENS_SQL} AS t FROM ({LINEAGES_SQL})))"
+
+
+@query(_EDGES_SQL)
+def taxonomy_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return taxonomy.edges(lineages(spark, sf_dir))
+
+
+@query(f"SELECT DISTINCT parent AS node FROM ({_EDGES_SQL}) WHERE starts_with(parent, 'c__')")
+def order_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return taxonomy.nodes_at(taxonomy.edges(lineages(spark, sf_dir)), "c__")
+
+
+@query(f"""
+WITH RECURSIVE e AS ({_EDGES_SQL}), d(ancestor, descendant, path) AS (
+  SELECT parent, child, child FROM e UNION ALL SELECT ancestor, child, path || '|' || child FROM d JOIN e ON descendant = parent)
+SELECT ancestor, descendant, path FROM d
+""")
+def descendant_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return taxonomy.descendants(taxonomy.edges(lineages(spark, sf_dir))).select("ancestor", "descendant", F.array_join("path", "|").alias("path"))
+
+
+@query("""
+WITH p AS (SELECT c_custkey AS seq_id, 'Bacteria;' || r_name || ';' || CASE WHEN c_custkey % 7 = 0 THEN 'Uncultured' ELSE n_name END || ';' || CASE WHEN c_custkey % 5 = 0 THEN 'unidentified' ELSE c_mktsegment END AS path, r_name, n_name, c_mktsegment
+  FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)
+SELECT seq_id, CASE WHEN seq_id % 7 = 0 THEN NULL ELSE 'k__Bacteria' || CASE WHEN r_name = 'ASIA' THEN '' ELSE ';p__' || r_name END || CASE WHEN r_name = 'ASIA' THEN '' ELSE ';c__' || n_name END || CASE WHEN seq_id % 5 = 0 THEN '' ELSE ';s__' || c_mktsegment END END AS lineage FROM p
+""")
+def prefixed_taxonomy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Plain paths of customers with ranks of regions and nations; ASIA has no known ranks."""
+    c, n, r = (table(spark, sf_dir, t) for t in ("customer", "nation", "region"))
+    nation = F.when(F.col("c_custkey") % 7 == 0, F.lit("Uncultured")).otherwise(F.col("n_name"))
+    segment = F.when(F.col("c_custkey") % 5 == 0, F.lit("unidentified")).otherwise(F.col("c_mktsegment"))
+    path = F.concat(F.lit("Bacteria;"), "r_name", F.lit(";"), nation, F.lit(";"), segment)
+    rows = c.join(n, F.col("c_nationkey") == F.col("n_nationkey")).join(r, F.col("n_regionkey") == F.col("r_regionkey"))
+    known = n.join(r, F.col("n_regionkey") == F.col("r_regionkey")).where("r_name <> 'ASIA'")
+    first = known.select(F.concat(F.lit("Bacteria;"), "r_name", F.lit(";")).alias("path"), F.lit("phylum").alias("rank")).distinct()
+    second = known.select(F.concat(F.lit("Bacteria;"), "r_name", F.lit(";"), "n_name", F.lit(";")).alias("path"), F.lit("class").alias("rank"))
+    from kmerloom.sources.fasta import rank_map
+
+    return rows.select(F.col("c_custkey").alias("seq_id"), lineage.prefixed_taxonomy(path, rank_map(first.union(second))).alias("lineage"))
+
+
+# ---- database ----
+
+
+def _library(spark: SparkSession, sf_dir: str):
+    """Documents as a library: lineage by language and source, sequence from the text."""
+    docs = table(spark, sf_dir, "documents")
+    label = F.concat(F.lit("k__Docs; p__"), "lang", F.lit("; c__"), "lang", F.lit("-"), "source")
+    return docs.select(F.col("doc_id").cast("string").alias("seq_id"), whole_dna(F.coalesce("text", F.lit(""))).alias("sequence"), label.alias("lineage"))
+
+
+@query("SELECT 'c__' || lang || '-' || source AS category, count(*)::BIGINT AS n_sequences, sum(length(coalesce(text, '')))::BIGINT AS n_bases FROM documents WHERE lang IS NOT NULL AND source IS NOT NULL GROUP BY lang, source")
+def bucket_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _library(spark, sf_dir)
+    found = induct_pairs(rows.select("seq_id", "sequence"), rows.select("seq_id", "lineage"))
+    return found.sequences.groupBy("category").agg(F.count(F.lit(1)).cast("bigint").alias("n_sequences"), F.sum(F.length("sequence")).cast("bigint").alias("n_bases"))
+
+
+@query(f"SELECT name, md5(s) AS sequence_md5, n FROM (SELECT s, arg_min(doc_id, doc_id)::VARCHAR AS name, count(*)::BIGINT AS n FROM (SELECT doc_id, {WHOLE_SQL} AS s FROM documents) WHERE s <> '' GROUP BY s)")
+def dedupe_first_name(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = documents_dna(spark, sf_dir).where("sequence <> ''").select(F.col("doc_id").cast("string").alias("name"), "sequence", F.col("doc_id").alias("ord"))
+    n = rows.groupBy("sequence").agg(F.count(F.lit(1)).cast("bigint").alias("n"))
+    return identify.distinct_queries(rows).join(n, "sequence").select("name", F.md5(F.col("sequence").cast("binary")).alias("sequence_md5"), "n")
+
+
+def _queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = table(spark, sf_dir, "benchmark")
+    return items.select(F.col("item_id").cast("string").alias("name"), whole_dna(F.coalesce("text", F.lit(""))).alias("sequence"), F.col("item_id").alias("ord"))
+
+
+def _induced(spark: SparkSession, sf_dir: str):
+    rows = _library(spark, sf_dir)
+    return induct_pairs(rows.select("seq_id", "sequence"), rows.select("seq_id", "lineage"))
+
+
+@query()
+def propagate_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _induced(spark, sf_dir)
+    return propagate.propagate(found.sequences, found.index)[1]
+
+
+@query()
+def propagate_selected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _induced(spark, sf_dir)
+    return propagate.propagate(found.sequences, found.index)[0].select("category", "sequence")
+
+
+@query()
+def identify_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items walk the taxonomy of documents, each document's sequence also standing at its ancestors by propagation."""
+    found = _induced(spark, sf_dir)
+    more = stored(propagate.propagate(found.sequences, found.index)[0].select("category", "sequence"), "more")
+    library = found.sequences.unionByName(more.select("category", F.md5(F.col("sequence").cast("binary")).alias("seq_id"), "sequence"))
+    out = identify.identify(_queries(spark, sf_dir), library, found.index)
+    return out.select("query_id", "name", F.array_join("path", ";").alias("path"), F.transform("path_scores", lambda x: F.round(x, 6)).alias("path_scores"), "status")
+
+
+@query()
+def align_semiglobal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each benchmark item against the item before it."""
+    q = _queries(spark, sf_dir)
+    before = q.select((F.col("ord") + 1).alias("ord"), F.col("sequence").alias("reference"))
+    found = q.join(before, "ord").select("name", align.semiglobal(F.col("reference"), F.col("sequence")).alias("a"))
+    return found.select("name", "a.*")
+
+
+@query()
+def simulate_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _library(spark, sf_dir)
+    library = rows.select(F.concat(F.lit("s__"), F.regexp_extract("lineage", "c__(.*)$", 1)).alias("category"), "seq_id", "sequence")
+    return sample.simulate_reads(library, rows.select("seq_id", "lineage"), total_reads=2000, num_taxa=20)
+
+
+@query("SELECT source, n_docs, (sum(n_docs) OVER (ORDER BY source ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - n_docs)::BIGINT AS first_offset, row_number() OVER (ORDER BY source) AS ordinal FROM (SELECT source, count(*)::BIGINT AS n_docs FROM documents GROUP BY source)")
+def window_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Running offsets and ordinals over the (few) sources."""
+    per = table(spark, sf_dir, "documents").groupBy("source").agg(F.count(F.lit(1)).cast("bigint").alias("n_docs"))
+    order = Window.orderBy("source")
+    before = F.sum("n_docs").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("n_docs")
+    return per.select("source", "n_docs", before.cast("bigint").alias("first_offset"), F.row_number().over(order).cast("bigint").alias("ordinal"))
