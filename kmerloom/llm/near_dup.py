@@ -14,7 +14,7 @@ documents, so that nodes of unrelated documents stay small.
 *Nodes.* Members of a node are compared by 128-bit sketches (one bit of each minwise token); pairs whose
 estimated similarity is more than 4.5 standard deviations under the threshold are left out. In the first round, a
 member of a node of up to ``small_node`` members is paired with the first member that it may be linked
-with; in a larger node, with the first four members, while the node streams by in bounded memory.
+with; in a larger node, with the first of four pivots, while the node streams by in bounded memory.
 Full sets decide these pairs, and their links give components.
 
 *Second round.* Nodes with further possible pairs are looked at again with the components known: each
@@ -217,9 +217,11 @@ def _comparer(limit: int, small_node: int):
 
     def against(pairs: list, reps: np.ndarray, sketches: np.ndarray, node: list) -> None:
         sk = np.stack(node[2:], 1).view(np.uint64)
+        open_ = np.ones(len(sk), bool)
         for rep, own in zip(reps, sketches):
-            ok = (apart(sk, own) <= limit) & (node[1] != rep)
+            ok = open_ & (apart(sk, own) <= limit) & (node[1] != rep)
             pairs.append((np.full(ok.sum(), rep), node[1][ok]))
+            open_ &= ~ok
 
     def in_small(pairs: list, again: list, now: list, sk: np.ndarray, begin: np.ndarray, size: np.ndarray) -> None:
         rep, place = now[1], np.arange(len(now[0])) - np.repeat(begin, size)
@@ -309,7 +311,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, recall:
     n = max(partitions(spark), spark.sparkContext.defaultParallelism)
     ordered = nodes.repartition(n, "key").sortWithinPartitions("key", "rep")
     compared = ordered.mapInArrow(_comparer(_sketch_limit(percent / 100), small_node), "a bigint, b bigint, key bigint, rep bigint, s1 bigint, s2 bigint")
-    compared = stored(compared, "near-compared")
+    compared = stored(compared.hint("rebalance"), "near-compared")  # few rows per task: fewer files
     pairs = compared.where("a is not null").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     again = compared.where("rep is not null").select("key", "rep", "s1", "s2")
     involved = stored(compared.select(F.explode(F.array("a", "b", "rep")).alias("rep")).where("rep is not null").distinct(), "near-involved")
@@ -317,8 +319,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, recall:
     sets = stored(sets.mapInArrow(_set_writer(width), "rep bigint, members binary, n bigint, odd array<bigint>"), "near-sets")
 
     def tested(candidates: DataFrame) -> DataFrame:
+        """Stored pairs whose full sets are similar enough."""
         both = candidates.join(sets.select(F.col("rep").alias("b"), F.col("members").alias("mb")), "b").join(sets.select(F.col("rep").alias("a"), F.col("members").alias("ma")), "a")
-        return stored(both.select("a", "b", "ma", "mb").mapInArrow(_tester(percent), "a bigint, b bigint"), "near-links")
+        links = both.select("a", "b", "ma", "mb").mapInArrow(_tester(percent), "a bigint, b bigint")
+        return stored(links.hint("rebalance"), "near-links")
 
     links = tested(pairs)
     parts = components(links)
