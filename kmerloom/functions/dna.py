@@ -25,14 +25,14 @@ def canonical(s: Column) -> Column:
 
 
 def kmers(s: Column, k: int = KMER_SIZE) -> Column:
-    """All substrings of length k in order; empty for shorter strings."""
-    n = F.length(s)
-    return F.when(n >= k, F.transform(F.sequence(F.lit(1), F.greatest(n - (k - 1), F.lit(1))), lambda i: F.substring(s, i, F.lit(k)))).otherwise(F.array().cast("array<string>"))
+    """All substrings of length k in order, found in one pass by look-ahead; empty for shorter strings."""
+    return F.regexp_extract_all(s, F.lit(rf"(?=([\s\S]{{{k}}}))"), F.lit(1))
 
 
 def known_kmers(s: Column, k: int = KMER_SIZE) -> Column:
     """Canonical k-mers of pure ACGT; k-mers with other symbols are skipped."""
-    return F.transform(F.filter(kmers(s, k), lambda x: x.rlike(f"^[ACGT]{{{k}}}$")), canonical)
+    found = F.regexp_extract_all(s, F.lit(f"(?=([ACGT]{{{k}}}))"), F.lit(1))
+    return F.transform(found, lambda x: F.least(x, F.reverse(F.translate(x, "ACGT", "TGCA"))))
 
 
 def kmer_code(s: Column) -> Column:

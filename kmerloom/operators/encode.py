@@ -1,7 +1,7 @@
 """Sequence encoding: canonical k-mer ids of sequences and sliding windows.
 
 An encoded sequence is its list of k-mer ids (positions do not matter to its hypervector). Unknown k-mers are skipped.
-The encoders run as Arrow batches over numpy; ``kmer_counts`` and ``sliding_kmer_counts`` are built-in expressions.
+The encoders run as Arrow batches over numpy.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kmerloom.functions import dna, hv
@@ -38,6 +38,15 @@ def counts_of(ids: np.ndarray, n_kmers: int = 512) -> np.ndarray:
     return np.bincount(ids[ids >= 0], minlength=n_kmers).astype(np.float64)
 
 
+def counts_of_lists(lists: pa.Array, n_kmers: int = 512) -> np.ndarray:
+    """Count matrix of a column of id lists, without a Python object per id."""
+    lists = lists.combine_chunks() if isinstance(lists, pa.ChunkedArray) else lists
+    sizes = np.asarray(pc.fill_null(pc.list_value_length(lists), 0), np.int64)
+    ids = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+    row = np.repeat(np.arange(len(lists)), sizes)
+    return np.bincount(row * n_kmers + ids, minlength=len(lists) * n_kmers).reshape(len(lists), n_kmers).astype(np.float64)
+
+
 def window_lists(ids: np.ndarray, n_bases: int, rule: str, mode: str, width: int = dna.WINDOW, slide: int = dna.SLIDE, k: int = dna.KMER_SIZE) -> list[tuple[int, np.ndarray]]:
     """(start, ids) of the windows of one sequence.
 
@@ -110,22 +119,43 @@ def encode_windows(df: DataFrame, seq_col: str = "sequence", rule: str = "cpu",
     return df.select(*rest, seq_col).mapInArrow(encode, f"{fields}window_start int, ids array<smallint>, norm2 bigint")
 
 
-def kmer_counts(df: DataFrame, *keys: str, seq_col: str = "sequence") -> DataFrame:
-    """(*keys, kmer, n): canonical known k-mers of each sequence and how often they occur."""
+def kmer_counts(df: DataFrame, *keys: str, seq_col: str = "sequence", k: int = dna.KMER_SIZE) -> DataFrame:
+    """(*keys, kmer, n): canonical known k-mers of each sequence and how often they occur.
+
+    Each sequence is counted where it is read (one row per distinct k-mer); equal keys are added up.
+    """
+    names = pa.array(hv.canonical_kmers(k))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, ids, n = [], [], []
+            for r, s in enumerate(_bytes(batch.column(seq_col))):
+                c = counts_of(sequence_ids(s, k), len(names))
+                own = np.flatnonzero(c)
+                rows.append(np.full(len(own), r)), ids.append(own), n.append(c[own].astype(np.int64))
+            row = pa.array(np.concatenate(rows))
+            yield pa.RecordBatch.from_arrays([*[batch.column(c).take(row) for c in keys], names.take(pa.array(np.concatenate(ids))), pa.array(np.concatenate(n))], [*keys, "kmer", "n"])
+
+    fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in df.select(*keys).schema)
+    return df.select(*keys, seq_col).mapInArrow(count, f"{fields}kmer string, n bigint").groupBy(*keys, "kmer").agg(F.sum("n").cast("bigint").alias("n"))
+
+
+def kmer_counts_native(df: DataFrame, *keys: str, seq_col: str = "sequence") -> DataFrame:
+    """The same with built-in functions only: one row per k-mer occurrence, summed before the shuffle."""
     exploded = df.select(*keys, F.explode(dna.known_kmers(F.col(seq_col))).alias("kmer"))
     return exploded.groupBy(*keys, "kmer").agg(F.count(F.lit(1)).cast("bigint").alias("n"))
 
 
 def sliding_kmer_counts(df: DataFrame, key: str, seq_col: str = "sequence", width: int = dna.WINDOW, slide: int = dna.SLIDE, k: int = dna.KMER_SIZE) -> DataFrame:
-    """(key, window_start, n_known) by panes: known k-mers of panes of ``slide``, a sliding frame over them, and the one k-mer after the last pane."""
-    n_panes = (width - k + 1) // slide
-    rest = (width - k + 1) % slide
-    every = dna.kmers(F.col(seq_col), k)
-    flags = F.transform(every, lambda x: x.rlike(f"^[ACGT]{{{k}}}$").cast("int"))
-    rows = df.select(key, F.length(seq_col).alias("n"), flags.alias("flags"))
-    panes = rows.select(key, "n", "flags", F.explode(F.sequence(F.lit(0), F.floor(F.greatest(F.size("flags") - 1, F.lit(0)) / slide).cast("int"))).alias("pane"))
-    total = lambda start, count: F.aggregate(F.slice("flags", start, count), F.lit(0), lambda a, x: a + x)
-    counted = panes.select(key, "n", "pane", total(F.col("pane") * slide + 1, F.lit(slide)).alias("in_pane"), (total((F.col("pane") + n_panes) * slide + 1, F.lit(rest)) if rest else F.lit(0)).alias("after"))
-    frame = Window.partitionBy(key).orderBy("pane").rowsBetween(0, n_panes - 1)
-    slid = counted.select(key, "n", (F.col("pane") * slide).alias("window_start"), (F.sum("in_pane").over(frame) + F.col("after")).cast("bigint").alias("n_known"))
-    return slid.where(F.col("window_start") + width < F.col("n")).select(key, "window_start", "n_known")
+    """(key, window_start, n_known): known k-mers of each window, as differences of running sums."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, starts, n = [], [], []
+            for r, s in enumerate(_bytes(batch.column(seq_col))):
+                start = np.arange(0, len(s) - width, slide)
+                total = np.concatenate([[0], np.cumsum(sequence_ids(s, k) >= 0)])
+                rows.append(np.full(len(start), r)), starts.append(start), n.append(total[start + width - k + 1] - total[start])
+            yield pa.RecordBatch.from_arrays([batch.column(key).take(pa.array(np.concatenate(rows))), pa.array(np.concatenate(starts).astype(np.int32)), pa.array(np.concatenate(n).astype(np.int64))], [key, "window_start", "n_known"])
+
+    return df.select(key, seq_col).mapInArrow(count, f"`{key}` {df.schema[key].dataType.simpleString()}, window_start int, n_known bigint")

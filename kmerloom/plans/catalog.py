@@ -167,9 +167,9 @@ def doc_windows_gpu(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""
 WITH d AS (SELECT doc_id, {WHOLE_SQL} AS s FROM documents),
-w AS (SELECT doc_id, s, unnest(range(0, length(s) - 125, 10)) AS x FROM d),
-k AS (SELECT doc_id, x, s[x + 1 + j : x + 5 + j] AS g FROM w, range(121) r(j))
-SELECT doc_id, x AS window_start, count(*) FILTER (regexp_full_match(g, '[ACGT]{{5}}'))::BIGINT AS n_known FROM k GROUP BY doc_id, x
+k AS (SELECT doc_id, length(s) AS n, i, regexp_full_match(s[i + 1 : i + 5], '[ACGT]{{5}}')::INT AS f FROM (SELECT doc_id, s, unnest(range(0, length(s) - 4)) AS i FROM d WHERE length(s) > 125)),
+w AS (SELECT doc_id, n, i, sum(f) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 120 FOLLOWING) AS n_known FROM k)
+SELECT doc_id, i AS window_start, n_known::BIGINT AS n_known FROM w WHERE i % 10 = 0 AND i + 125 < n
 """)
 def doc_window_kmers_sliding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode.sliding_kmer_counts(documents_dna(spark, sf_dir), "doc_id").select("doc_id", F.col("window_start").cast("bigint").alias("window_start"), "n_known")
