@@ -31,22 +31,26 @@ IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 TOKEN = r"(?<!\S)[^\s0-9]*+[0-9]\S*+"
-SPAN = "array<struct<s:int,e:int,m:string>>"
-BASE = "array<struct<kind:int,s:int,e:int,m:string>>"
+SPAN = "array<struct<s:int,e:int,m:string,before:string>>"
+BASE = "array<struct<kind:int,s:int,e:int,m:string,before:string>>"
 
 
 def located(text: Column, pattern: str) -> Column:
-    """All leftmost matches with start and end in code points: array of (s, e, m)."""
-    pieces = F.split(text, pattern, -1)
-    matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("k"), F.array().cast(SPAN).alias("out"))
+    """All leftmost matches with start and end in code points and the text before them: array of (s, e, m, before).
 
-    def step(acc: Column, m: Column) -> Column:
-        s = acc["at"] + F.length(F.get(pieces, acc["k"]))
-        e = s + F.length(m)
-        return F.struct(e.alias("at"), (acc["k"] + 1).alias("k"), F.concat(acc["out"], F.array(F.struct(s.alias("s"), e.alias("e"), m.alias("m")))).alias("out"))
+    ``before`` has up to 64 code points: the end of the match before and the piece in between.
+    """
+    both = F.arrays_zip(F.split(text, pattern, -1).alias("p"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"))
+    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("last"), F.array().cast(SPAN).alias("out"))
 
-    return F.aggregate(matches, start, step, lambda acc: acc["out"])
+    def step(acc: Column, x: Column) -> Column:
+        s = acc["at"] + F.length(x["p"])
+        e = s + F.length(x["m"])
+        before = F.right(F.concat(acc["last"], x["p"]), F.lit(64))
+        found = F.struct(s.alias("s"), e.alias("e"), x["m"].alias("m"), before.alias("before"))
+        return F.when(x["m"].isNull(), acc).otherwise(F.struct(e.alias("at"), x["m"].alias("last"), F.concat(acc["out"], F.array(found)).alias("out")))
+
+    return F.aggregate(both, start, step, lambda acc: acc["out"])
 
 
 def _octets(m: Column) -> Column:
@@ -83,7 +87,7 @@ def base_spans(text: Column) -> Column:
 
     def found(number: int, quick: Column, pattern: str, good) -> Column:
         matches = F.filter(located(text, pattern), lambda x: good(x["m"]))
-        spans = F.transform(matches, lambda x: F.struct(F.lit(number).alias("kind"), x["s"].alias("s"), x["e"].alias("e"), x["m"].alias("m")))
+        spans = F.transform(matches, lambda x: F.struct(F.lit(number).alias("kind"), x["s"].alias("s"), x["e"].alias("e"), x["m"].alias("m"), x["before"].alias("before")))
         return F.when(quick, spans.cast(BASE)).otherwise(none)
 
     return F.concat(*[found(k, quick, pattern, good) for k, (_, quick, pattern, good) in enumerate(rules)])
@@ -96,12 +100,12 @@ def occurrences(docs: DataFrame) -> DataFrame:
     rows = rows.select("rid", "doc_id", "text", F.when(F.col("any"), base_spans(F.col("text"))).otherwise(F.array().cast(BASE)).alias("base"), F.when(F.col("any"), located(F.col("text"), TOKEN)).otherwise(F.array().cast(SPAN)).alias("tokens"))
 
     def placed(x: Column) -> Column:
-        """Left context and token without outer punctuation (spans move accordingly)."""
-        before = F.substring(F.col("text"), F.greatest(x["s"] - 63, F.lit(1)), F.least(x["s"], F.lit(64)))
-        words = F.regexp_extract(before, r"(?:^|\s)(\S+\s+\S+)\s*$", 1)
+        """The lexical pattern: the two words before, lower-cased, digits masked."""
+        words = F.regexp_extract(x["before"], r"(?:^|\s)(\S+\s+\S+)\s*$", 1)
         return F.regexp_replace(F.lower(F.regexp_replace(words, r"\s+", " ")), "[0-9]+", "#")
 
     def trimmed(x: Column) -> Column:
+        """The token without outer punctuation; its span moves accordingly."""
         lead = F.length(F.regexp_extract(x["m"], r"^[^\p{L}\p{N}]*", 0))
         core = F.regexp_replace(F.substring(x["m"], lead + 1, F.length(x["m"])), r"[^\p{L}\p{N}]+$", "")
         return F.struct((x["s"] + lead).alias("s"), (x["s"] + lead + F.length(core)).alias("e"), core.alias("m"), placed(x).alias("context"))
