@@ -19,7 +19,7 @@ def _valid(x: Column) -> Column:
 
 def lineage_tokens(lineage: Column) -> Column:
     """Valid rank labels of ``k__A; p__B; ...``, left-trimmed, spaces as underscores."""
-    return F.filter(F.transform(F.split(lineage, ";"), lambda x: normalize_category(F.ltrim(x))), _valid)
+    return F.transform(F.filter(F.transform(F.split(lineage, ";"), lambda x: F.ltrim(x)), _valid), normalize_category)
 
 
 def all_ranks(lineage: Column) -> Column:

@@ -43,7 +43,7 @@ def lineages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 LINEAGES_SQL = "SELECT c_custkey AS seq_id, 'k__World; p__' || r_name || '; c__' || n_name || '; o__' || c_mktsegment || '; s__' AS lineage FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey"
-TOKENS_SQL = "list_filter(list_transform(string_split(lineage, ';'), lambda x: translate(ltrim(x), ' ', '_')), lambda x: contains(x, '__') AND NOT ends_with(x, '__'))"
+TOKENS_SQL = "list_transform(list_filter(list_transform(string_split(lineage, ';'), lambda x: ltrim(x)), lambda x: contains(x, '__') AND NOT ends_with(x, '__')), lambda x: translate(x, ' ', '_'))"
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}

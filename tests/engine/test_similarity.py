@@ -1,0 +1,96 @@
+import random
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from kmerloom.functions import hv
+from kmerloom.operators import encode, similarity
+
+
+def random_dna(seed, n):
+    return "".join(random.Random(seed).choices("ACGT", k=n))
+
+
+def lanes_of(sequence):
+    """The 10,000-lane vector by brute force."""
+    signs = hv.lanes(hv.kmer_hvs()).astype(np.int64) * 2 - 1
+    ids = encode.sequence_ids(sequence.encode())
+    return signs[ids[ids >= 0]].sum(0)
+
+
+def test_gram_form_equals_lanes():
+    a, b = random_dna(1, 300), random_dna(2, 125) + "NN" + random_dna(3, 50)
+    ca, cb = (encode.counts_of(encode.sequence_ids(s.encode())) for s in (a, b))
+    x, y = lanes_of(a), lanes_of(b)
+    assert similarity.score_matrix(ca[None], cb[None], False)[0, 0] == x @ y
+    assert np.isclose(similarity.score_matrix(ca[None], cb[None])[0, 0], 2 * (x @ y / np.sqrt(x @ x) / np.sqrt(y @ y)) - 1)
+
+
+def test_poly_a_to_poly_g_golden():
+    counts = [encode.counts_of(encode.sequence_ids(("A" * n + "G" * (30 - n)).encode())) for n in (30, 0)]
+    dots = similarity.score_matrix(np.stack(counts), np.stack(counts), False)
+    assert dots[0].tolist() == [6760000.0, -22984.0]
+    assert np.allclose(similarity.score_matrix(np.stack(counts), np.stack(counts))[0], [1.0, -1.0068], atol=1e-5)
+
+
+def test_incremental_windows_equal_the_sliding_update():
+    s = random_dna(5, 300)
+    ids = encode.sequence_ids(s.encode())
+    state = list(ids[:121])  # simulate: retract ten, insert ten, where the inserted ones are one place behind
+    windows = encode.window_lists(ids, len(s), "cpu", "incremental")
+    direct = encode.window_lists(ids, len(s), "cpu", "direct")
+    assert [t for t, _ in windows] == [t for t, _ in direct] == list(range(0, 175, 10))
+    assert sorted(windows[0][1]) == sorted(state)
+    for t, own in windows[1:]:
+        assert sorted(own) == sorted([*ids[t : t + 120], ids[120]])
+    assert all(len(w) == 120 for _, w in encode.window_lists(ids, len(s), "gpu", "direct"))
+
+
+def test_row_scores(spark):
+    rows = spark.createDataFrame([(random_dna(1, 200), random_dna(1, 200)), (random_dna(1, 200), random_dna(2, 200)), ("A", "A"), (None, "ACGTACGT")], "a string, b string")
+    a = encode.encode_sequences(rows, "a").select("b", F.col("ids").alias("x"))
+    both = encode.encode_sequences(a, "b").select("x", F.col("ids").alias("y"))
+    got = [r.s for r in both.select(similarity.hdc_score(F.col("x"), F.col("y")).alias("s")).collect()]
+    assert got[0] == pytest.approx(1.0) and got[1] < 0.9 and got[2:] == [-1.0, -1.0]
+
+
+def test_native_dot_agrees(spark):
+    s, t = random_dna(7, 40), random_dna(8, 30)
+    ids = [encode.sequence_ids(x.encode()).tolist() for x in (s, t)]
+    row = spark.createDataFrame([(*ids, hv.gram().astype(int).tolist())], "a array<int>, b array<int>, g array<array<bigint>>")
+    want = similarity.score_matrix(*(encode.counts_of(np.array(x))[None] for x in ids), False)[0, 0]
+    assert row.select(similarity.hdc_score_native(F.col("a"), F.col("b"), F.col("g")).alias("d")).first().d == want
+
+
+def test_best_window_takes_the_first_best(spark):
+    q = encode.sequence_ids(random_dna(1, 125).encode()).tolist()
+    other = encode.sequence_ids(("CG" * 63).encode()).tolist()
+    rows = [(1, "r", q, 0, other, False), (1, "r", q, 10, q, False), (1, "r", q, 20, q, False), (1, "low", [0] * 9, 30, [], False), (1, "whole", q, 0, q, True)]
+    got = {r.ref_id: (round(r.score, 6), r.pos) for r in similarity.best_window(spark.createDataFrame(rows, "query_id int, ref_id string, query_ids array<int>, window_start int, ids array<int>, whole boolean")).collect()}
+    assert got == {"r": (1.0, 10), "low": (-1.0, 0), "whole": (1.0, 0)}
+
+
+@pytest.mark.parametrize(("k", "limit"), [(1, 1 << 20), (4, 1 << 20), (4, 600), (50, 1 << 20)])
+def test_topk_equals_brute_force(spark, k, limit):
+    r = np.random.default_rng(3)
+    v = r.integers(-2, 3, (40, 4)).astype(float)  # many ties and some zero vectors
+    v[7] = 0
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)] + [(None, [1.0] * 4), (99, None)], "vec_id bigint, embedding array<double>").repartition(5)
+    got = {(x.input_id, x.rank): (x.db_id, x.score) for x in similarity.cosine_topk(df, df, k, block_rows=3, broadcast_bytes=limit).collect()}
+    size = np.linalg.norm(v, axis=1)
+    want = 0
+    for i in range(40):
+        if not size[i]:
+            continue
+        order = sorted((j for j in range(40) if size[j]), key=lambda j: (-round(v[i] @ v[j] / size[i] / size[j], 9), j))[:k]
+        for rank, j in enumerate(order, 1):
+            want += 1
+            assert got[i, rank][1] == pytest.approx(v[i] @ v[j] / size[i] / size[j])
+    assert len(got) == want
+
+
+def test_agreement(spark):
+    truth = spark.createDataFrame([(1, 0.9, 5), (1, 0.9 - 1e-6, 6), (1, 0.5, 7), (2, 0.3, 8)], "input_id int, score double, db_id int")
+    found = spark.createDataFrame([(1, 1, 6), (2, 1, 9), (2, 2, 8)], "input_id int, rank int, db_id int")
+    assert tuple(similarity.topk_agreement(found, truth).first()) == (2, 1)
