@@ -13,7 +13,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 U64 = np.uint64
-CHUNK = 2 << 20
+CHUNK = 1 << 20
 _MUL = U64(0x9E3779B97F4A7C15)
 _INV = U64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _rng = np.random.Generator(np.random.PCG64(20240531))

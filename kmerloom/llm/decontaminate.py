@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kmerloom.llm import _text as T
-from kmerloom.llm._common import bytes_of, stored, table
+from kmerloom.llm._common import bytes_of, lean_batches, stored, table
 
 LANE = 256
 STATE = "doc_id {id}, text string, n_words bigint, hits array<bigint>, items array<string>"
@@ -194,6 +194,7 @@ def _searcher(patterns, keep_text: bool):
 def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_block_bytes: int = 32 << 20) -> DataFrame:
     """Per document: doc_id, n_words, hits (flat start, end word spans, merged), items (ids as strings, sorted)."""
     spark = docs.sparkSession
+    lean_batches(spark)
     bench = benchmark.select(F.col("item_id").cast("string").alias("item"), F.coalesce("text", F.lit("")).alias("text")).where("item is not null")
     size = bytes_of(bench, F.col("text"))
     n_blocks = max(1, -(-size // max_block_bytes))

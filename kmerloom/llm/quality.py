@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kmerloom.llm import _text as T
-from kmerloom.llm._common import table
+from kmerloom.llm._common import lean_batches, table
 
 MAX_ROWS = 20_000
 CUT = 0.7
@@ -191,6 +191,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, **option
 
 def score_quality(docs: DataFrame, forest: Forest) -> DataFrame:
     """doc_id, held_out, score (0 to 1), predicted."""
+    lean_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(forest)
 
     def finish(part: pa.RecordBatch, x: np.ndarray) -> pa.RecordBatch:

@@ -4,11 +4,11 @@ Grades are 0 (clean), 1 (mild) and 2 (severe). ``labels.toxic`` gives 0 or not 0
 documents are graded 2 if they hold at least the median number of indicative words, else 1. The model is
 the proportional-odds one: P(grade >= k) = sigmoid(w . x - threshold_k) with the same weights w for all
 ordered thresholds; x has log(1 + count) of each selected word. Words are selected by a
-significance test of their document frequency in toxic against clean documents, after near copies
-(equal second-order minhash of the word set) were reduced to one, so that one copied document does not make its
-words indicative. The result is P(grade >= 1), the expected severity sum_k P(grade >= k) and the likeliest grade.
+significance test of their document frequency in toxic against clean documents, after texts of a label that agree in a
+band of minwise word pairs (near copies) were reduced to one, so that a copied document does not make its words
+indicative. The result is P(grade >= 1), the expected severity sum_k P(grade >= k) and the likeliest grade.
 
-The fit uses at most ``max_per_label`` labelled rows of each label, taken in order of a hash of
+Clean and toxic documents weigh the same in all. The fit uses at most ``max_per_label`` labelled rows of each label, taken in order of a hash of
 doc_id, and never rows with crc32(doc_id as text) mod 4 = 2, which stay for held-out tests; the scores
 cover all rows and whole texts.
 
@@ -28,10 +28,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kmerloom.llm import _text as T
-from kmerloom.llm._common import table
+from kmerloom.llm._common import lean_batches, table
 
-MAX_PER_LABEL = 4000
-Z_LEAST = 5.0
+MAX_PER_LABEL = 3000
+Z_LEAST = 6.0
 
 
 def word_counts(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -69,12 +69,14 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -500, 500)))
 
 
-def fit_ordinal(x: np.ndarray, grade: np.ndarray, n_grades: int = 3, penalty: float = 1e-3, steps: int = 400, rate: float = 0.2) -> tuple[np.ndarray, np.ndarray]:
+def fit_ordinal(x: np.ndarray, grade: np.ndarray, n_grades: int = 3, penalty: float = 1e-4, steps: int = 400, rate: float = 0.2, weight: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Weights and rising thresholds of the proportional-odds model, by Adam on the mean log loss.
 
-    Thresholds are the first one plus exponentials of free numbers, so that they stay in order.
+    Thresholds are the first one plus exponentials of free numbers, so that they stay in order. ``weight``: of each
+    row, adding up to 1 (by default all alike).
     """
     n, m = x.shape
+    weight = np.full(n, 1 / n) if weight is None else weight
     w, t = np.zeros(m), np.concatenate([[1.0], np.zeros(n_grades - 2)])
     first, second = np.zeros(m + n_grades - 1), np.zeros(m + n_grades - 1)
     at = np.arange(n)
@@ -86,10 +88,10 @@ def fit_ordinal(x: np.ndarray, grade: np.ndarray, n_grades: int = 3, penalty: fl
         cum[:, -1] = 0
         p = np.maximum(cum[at, grade] - cum[at, grade + 1], 1e-12)
         slope = cum * (1 - cum)
-        g_score = -(slope[at, grade] - slope[at, grade + 1]) / p / n
+        g_score = -weight * (slope[at, grade] - slope[at, grade + 1]) / p
         g_theta = np.zeros(n_grades - 1)
         for k in range(1, n_grades):
-            g_theta[k - 1] = (slope[:, k] * ((grade == k).astype(float) - (grade == k - 1)) / p).sum() / n
+            g_theta[k - 1] = (slope[:, k] * ((grade == k).astype(float) - (grade == k - 1)) * weight / p).sum()
         g_t = np.concatenate([[g_theta.sum()], [g_theta[k:].sum() * gaps[k - 1] for k in range(1, n_grades - 1)]])
         g = np.concatenate([x.T @ g_score + penalty * w, g_t])
         first, second = 0.9 * first + 0.1 * g, 0.999 * second + 0.001 * g * g
@@ -98,22 +100,41 @@ def fit_ordinal(x: np.ndarray, grade: np.ndarray, n_grades: int = 3, penalty: fl
     return w, t[0] + np.concatenate([[0.0], np.cumsum(np.exp(t[1:]))])
 
 
-def fit(texts: list[str | None], toxic: np.ndarray) -> OrdinalModel:
+def _one_of_copies(data: np.ndarray, offsets: np.ndarray, toxic: np.ndarray, bands: int = 6, band: int = 3) -> np.ndarray:
+    """True for the first document of each label in every group of texts that agree in a band of minwise word pairs."""
+    leader = np.arange(len(offsets) - 1)
+    seen: dict[tuple, int] = {}
+
+    def root(k: int) -> int:
+        while leader[k] != k:
+            leader[k] = k = leader[leader[k]]
+        return k
+
+    for i, j in T.runs(offsets):
+        part = T.LOWER[data[offsets[i] : offsets[j]]]
+        starts, ends, doc = T.words(part, offsets[i : j + 1] - offsets[i], T.ALNUM)
+        h = T.word_hashes(part, starts, ends)
+        at = np.flatnonzero(doc[1:] == doc[:-1]) if len(h) else np.zeros(0, np.int64)
+        pair, owner = T.mix(h[at] * T.U64(3) + h[at + 1]), doc[at]
+        begin = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]])) if len(owner) else np.zeros(0, np.int64)
+        for b in range(bands if len(begin) else 0):
+            least = np.stack([np.minimum.reduceat(T.mix(pair ^ T.U64(b * band + r + 1)), begin) for r in range(band)], 1)
+            for k, values in zip((owner[begin] + i).tolist(), map(tuple, least.tolist())):
+                other = root(seen.setdefault((b, values, int(toxic[k])), k))
+                own = root(k)
+                leader[max(own, other)] = min(own, other)
+    full = np.diff(offsets) > 0
+    return full & (leader == np.arange(len(leader)))
+
+
+def fit(texts: pa.ChunkedArray, toxic: np.ndarray) -> OrdinalModel:
     none = OrdinalModel(np.zeros(0, np.uint64), np.zeros(0), np.zeros(0))
-    encoded = [(x or "").encode() for x in texts]
-    offsets = np.concatenate([[0], np.cumsum([len(x) for x in encoded])]).astype(np.int64)
-    data = np.frombuffer(b"".join(encoded), np.uint8)
+    data, offsets = T.utf8(pa.concat_arrays([c.cast(pa.large_string()) for c in texts.chunks]) if texts.num_chunks else pa.array([], pa.large_string()))
     parts = [word_counts(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]) + (i,) for i, j in T.runs(offsets)]
     if not parts or len(np.unique(toxic)) < 2:
         return none
     doc, h, count = np.concatenate([p[0] + p[3] for p in parts]), np.concatenate([p[1] for p in parts]), np.concatenate([p[2] for p in parts])
-    # one document of each group of near copies
-    begin = np.searchsorted(doc, np.arange(len(texts)))
-    full = np.flatnonzero(np.diff(np.concatenate([begin, [len(doc)]])))
-    sign = np.stack([np.minimum.reduceat(T.mix(h ^ T.U64(s)), begin[full]) for s in (11, 12)], 1)
-    _, pick = np.unique(np.concatenate([sign, toxic[full, None].astype(np.uint64)], 1), axis=0, return_index=True)
-    chosen = np.zeros(len(texts), bool)
-    chosen[full[pick]] = True
+    chosen = _one_of_copies(data, offsets, toxic)
     # words that stand in significantly more toxic than clean documents
     keep = chosen[doc]
     vocabulary, code = np.unique(h[keep], return_inverse=True)
@@ -135,7 +156,8 @@ def fit(texts: list[str | None], toxic: np.ndarray) -> OrdinalModel:
     bad = chosen & (toxic == 1) & (hits > 0)
     middle = np.median(hits[bad]) if bad.any() else 1
     grade = np.where(toxic == 1, np.where(hits >= max(2, middle), 2, 1), 0)
-    weights, thresholds = fit_ordinal(x[chosen], grade[chosen])
+    balance = np.where(toxic == 1, 0.5 / n_pos, 0.5 / n_neg)[chosen]
+    weights, thresholds = fit_ordinal(x[chosen], grade[chosen], weight=balance)
     return OrdinalModel(chosen_words, weights, thresholds)
 
 
@@ -145,8 +167,8 @@ def train(docs: DataFrame, labels: DataFrame, max_per_label: int = MAX_PER_LABEL
     one = known.groupBy("doc_id").agg(F.max((F.col("toxic") > 0).cast("int")).alias("toxic"))
     picked = [one.where(F.col("toxic") == v).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_per_label) for v in (0, 1)]
     sample = docs.select("doc_id", "text").join(F.broadcast(picked[0].union(picked[1])), "doc_id").orderBy("doc_id").limit(2 * max_per_label)
-    rows = sample.select("text", "toxic").collect()
-    return fit([r[0] for r in rows], np.array([r[1] for r in rows], np.int64))
+    rows = sample.select("text", "toxic").toArrow()
+    return fit(rows.column("text"), rows.column("toxic").to_numpy().astype(np.int64))
 
 
 def _scorer(model):
@@ -167,6 +189,7 @@ def grade_toxicity(docs: DataFrame, model: OrdinalModel, keep: list[str] | None
     """Columns row (those in ``keep``, all by default), p_toxic, expected_severity, grade, toxic."""
     rows = docs.select(F.struct(*[F.col(c) for c in keep or docs.columns]).alias("row"), F.col("text"))
     kind = rows.schema["row"].dataType.simpleString()
+    lean_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     return rows.mapInArrow(_scorer(shared), f"row {kind}, p_toxic double, expected_severity double, grade int, toxic boolean")
 

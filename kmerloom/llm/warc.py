@@ -35,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kmerloom.llm._common import partitions, table, work_dir
+from kmerloom.llm._common import lean_batches, partitions, table, work_dir
 
 MIN_REVISIT = 1000
 VERSION = b"WARC/1.1\r\n"
@@ -129,6 +129,7 @@ def mark_revisits(pages: DataFrame, min_bytes: int = MIN_REVISIT) -> DataFrame:
 
 def write_archives(pages: DataFrame, folder: str, compress: bool = True, min_revisit: int = MIN_REVISIT, max_bytes: int = 256 << 20) -> DataFrame:
     """Write all pages (page_id, url, html); gives the stored manifest (path, records, bytes)."""
+    lean_batches(pages.sparkSession)
     manifest = mark_revisits(pages, min_revisit).mapInArrow(_writer(f"{folder}/archives", compress, max_bytes), MANIFEST)
     manifest.write.parquet(f"{folder}/manifest")
     return pages.sparkSession.read.schema(MANIFEST).parquet(f"{folder}/manifest")
