@@ -26,7 +26,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from kmerloom.llm._common import partitions, stored, table
+from kmerloom.llm._common import kept, partitions, stored, table
 
 HALVES = (1 << 32) + 1
 RADIUS = 3
@@ -124,7 +124,7 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
     bodies = led.select("rid", "next_rid", "doc_id", F.inline(kinds))
     prints = simhash(bodies, "body", "rid", "next_rid", "doc_id", "is_new", "n_chars", "sha")
     per_row = prints.groupBy("rid", "next_rid", "doc_id").agg(F.max("n_chars").alias("n_chars"), F.max("sha").alias("edited_sha256"), F.max(F.when(~F.col("is_new"), F.col("fingerprint"))).alias("f"), F.max(F.when(F.col("is_new"), F.col("fingerprint"))).alias("e"))
-    per_row = stored(per_row, "fingerprints")
+    per_row = kept(per_row)
     after = per_row.select(F.col("rid").alias("id2"), F.col("f").alias("next_f"))
     same = per_row.groupBy("f").agg(F.count(F.lit(1)).alias("copies"))
     asked = per_row.where(F.col("doc_id") % QUERY_EVERY == 0).select(F.col("f").alias("q")).distinct()

@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from kmerloom.llm._common import small, stored, table
+from kmerloom.llm._common import kept, small, stored, table
 
 WORD = r"[^\x20\x09-\x0D]+"
 BINS = 1 << 12
@@ -107,13 +107,13 @@ def apply_mix(rows: DataFrame, plan: DataFrame) -> DataFrame:
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 17, **options) -> DataFrame:
     """Columns row (all columns of the document), size, source_size, target, taken; one row per input row."""
     rows = measured(docs, id_col, text_col, source_col, seed)
-    sizes = stored(rows.select("source", "size", "u"), "mix-sizes")
+    sizes = kept(rows.select("source", "size", "u"))
     return apply_mix(rows, stored(plan_mix(sizes, **options), "mix-plan"))
 
 
 def op9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    rows = stored(measured(docs, "doc_id", "text", "source", 17).select(F.struct("row.doc_id").alias("row"), "source", "size", "u"), "mix-sizes")
+    rows = kept(measured(docs, "doc_id", "text", "source", 17).select(F.struct("row.doc_id").alias("row"), "source", "size", "u"))
     return apply_mix(rows, stored(plan_mix(rows.select("source", "size", "u")), "mix-plan")).select("row.doc_id", "size", "source_size", "target", "taken")
 
 

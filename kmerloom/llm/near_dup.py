@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kmerloom.llm import _text as T
-from kmerloom.llm._common import lean_batches, partitions, small, stored, table
+from kmerloom.llm._common import kept, lean_batches, partitions, small, stored, table
 from kmerloom.llm.graph import components
 
 TOKENS = 128
@@ -304,19 +304,19 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, recall:
     plain = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
     trees, branches = plan_trees(plain.select("doc_id").count(), percent / 100, recall)
     schema = "doc_id bigint, n_shingles bigint, d1 bigint, d2 bigint, s1 bigint, s2 bigint, keys array<bigint>"
-    profiles = stored(plain.mapInArrow(_profiler(width, trees, branches), schema), "near-profiles")
+    profiles = kept(plain.mapInArrow(_profiler(width, trees, branches), schema))
 
     classes = profiles.where("n_shingles > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.min("s1").alias("s1"), F.min("s2").alias("s2"), F.first("keys").alias("keys")).where("rep is not null")
     nodes = classes.select(F.explode("keys").alias("key"), "rep", "s1", "s2")
     n = max(partitions(spark), spark.sparkContext.defaultParallelism)
     ordered = nodes.repartition(n, "key").sortWithinPartitions("key", "rep")
     compared = ordered.mapInArrow(_comparer(_sketch_limit(percent / 100), small_node), "a bigint, b bigint, key bigint, rep bigint, s1 bigint, s2 bigint")
-    compared = stored(compared.hint("rebalance"), "near-compared")  # few rows per task: fewer files
+    compared = kept(compared)
     pairs = compared.where("a is not null").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     again = compared.where("rep is not null").select("key", "rep", "s1", "s2")
     involved = stored(compared.select(F.explode(F.array("a", "b", "rep")).alias("rep")).where("rep is not null").distinct(), "near-involved")
     sets = plain.withColumnRenamed("doc_id", "rep").join(small(involved, 1_000_000)(involved), "rep", "left_semi")
-    sets = stored(sets.mapInArrow(_set_writer(width), "rep bigint, members binary, n bigint, odd array<bigint>"), "near-sets")
+    sets = kept(sets.mapInArrow(_set_writer(width), "rep bigint, members binary, n bigint, odd array<bigint>"))
 
     def tested(candidates: DataFrame) -> DataFrame:
         """Stored pairs whose full sets are similar enough."""

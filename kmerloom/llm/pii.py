@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from kmerloom.llm._common import stored, table
+from kmerloom.llm._common import kept, stored, table
 
 KINDS = ("email", "ip", "card", "phone")
 EMAIL = r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
@@ -94,7 +94,7 @@ def base_spans(text: Column) -> Column:
 
 
 def occurrences(docs: DataFrame) -> DataFrame:
-    """Stored rows (rid, doc_id, base, tokens): base spans and identifier-like tokens of each text."""
+    """Kept rows (rid, doc_id, base, tokens): base spans and identifier-like tokens of each text."""
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", text.alias("text"), text.rlike("[0-9@]").alias("any"))
     rows = rows.select("rid", "doc_id", "text", F.when(F.col("any"), base_spans(F.col("text"))).otherwise(F.array().cast(BASE)).alias("base"), F.when(F.col("any"), located(F.col("text"), TOKEN)).otherwise(F.array().cast(SPAN)).alias("tokens"))
@@ -111,7 +111,7 @@ def occurrences(docs: DataFrame) -> DataFrame:
         return F.struct((x["s"] + lead).alias("s"), (x["s"] + lead + F.length(core)).alias("e"), core.alias("m"), placed(x).alias("context"))
 
     base = F.transform("base", lambda x: F.struct(x["kind"].alias("kind"), x["s"].alias("s"), x["e"].alias("e"), x["m"].alias("m"), placed(x).alias("context")))
-    return stored(rows.select("rid", "doc_id", base.alias("base"), F.transform("tokens", trimmed).alias("tokens")), "pii-occurrences")
+    return kept(rows.select("rid", "doc_id", base.alias("base"), F.transform("tokens", trimmed).alias("tokens")))
 
 
 def _free_tokens(seen: DataFrame) -> DataFrame:

@@ -37,6 +37,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_suffix_dedup": suffix_dedup.OP1_SQL,
         "op4_lines": line_dedup.OP4_SQL,
         "op5_decontaminate": decontaminate.OP5_SQL,
         "op7_warc": warc.OP7_SQL,

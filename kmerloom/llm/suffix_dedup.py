@@ -36,11 +36,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kmerloom.llm import _text as T
-from kmerloom.llm._common import lean_batches, partitions, stored, table
+from kmerloom.llm._common import kept, lean_batches, partitions, table
 
 LENGTH = 100
 GRAM = 32
@@ -181,7 +181,7 @@ EVENTS = "part int, row bigint, kind int, s bigint, e bigint, blob binary"
 REMOVED, CONTEXT, HOT_CONTEXT = 0, 1, 2
 
 
-def _events(part: np.ndarray | int, row: np.ndarray, kind: np.ndarray | int, s: np.ndarray, e: np.ndarray, names: bool = True) -> pa.RecordBatch:
+def _events(part: np.ndarray | int, row: np.ndarray, kind: np.ndarray | int, s: np.ndarray, e: np.ndarray) -> pa.RecordBatch:
     n = len(row)
     full = lambda x, t: pa.array(np.broadcast_to(np.asarray(x, t), n).copy())
     columns = [full(part, np.int32), pa.array(row), full(kind, np.int32), pa.array(s), pa.array(e), pa.nulls(n, pa.binary())]
@@ -455,11 +455,11 @@ def removed_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot:
     splitters = spark.sparkContext.broadcast(sample_splitters(keyed, n, length, gram))
     sent = keyed.select("id", "row", "text").mapInArrow(_sender(splitters, n, length, gram), EVENTS)
     sorted_ = sent.repartitionById(n, "part").sortWithinPartitions("part").mapInArrow(_sorter(splitters, length, hot), EVENTS)
-    events = stored(sorted_.select("row", "kind", "s", "e"), "suffix-events")
+    events = kept(sorted_.select("row", "kind", "s", "e"))
     ats = events.where(F.col("kind") != REMOVED).groupBy(F.col("row").alias("r")).agg(F.collect_list(F.when(F.col("kind") == HOT_CONTEXT, F.bitwise_not("s")).otherwise(F.col("s"))).alias("ats"))
     left = keyed.select("id", "row", "text").join(ats.hint("shuffle_hash"), F.col("row") == F.col("r")).select("id", "row", "text", "ats")
     met = left.mapInArrow(_contexts(length, gram), CONTEXTS).repartition(n, "g").sortWithinPartitions("g")
-    windows = stored(met.mapInArrow(_window_comparer(length), "row bigint, s bigint, e bigint"), "suffix-windows")
+    windows = met.mapInArrow(_window_comparer(length), "row bigint, s bigint, e bigint")
     return keyed, events.where(F.col("kind") == REMOVED).select("row", "s", "e").union(windows)
 
 
@@ -474,3 +474,20 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: i
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup(table(spark, sf_dir, "documents")).drop("removed")
+
+
+OP1_SQL = """
+WITH d AS MATERIALIZED (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, strlen(coalesce(text, ''))::BIGINT AS n FROM documents),
+w AS (SELECT doc_id, p, md5(substr(h, 2 * p + 1, 200)) AS k FROM (SELECT doc_id, h, unnest(range(0, n - 99)) AS p FROM d WHERE n >= 100)),
+dup AS (SELECT doc_id, p FROM (SELECT doc_id, p, row_number() OVER (PARTITION BY k ORDER BY doc_id, p) AS r FROM w) WHERE r > 1),
+mark AS (SELECT doc_id, p, CASE WHEN p <= lag(p) OVER (PARTITION BY doc_id ORDER BY p) + 100 THEN 0 ELSE 1 END AS first FROM dup),
+numbered AS (SELECT doc_id, p, sum(first) OVER (PARTITION BY doc_id ORDER BY p) AS g FROM mark),
+spans AS MATERIALIZED (SELECT doc_id, min(p) AS s, max(p) + 100 AS e FROM numbered GROUP BY doc_id, g),
+pieces AS (
+  SELECT doc_id, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY s), 0) AS a, s AS b FROM spans
+  UNION ALL SELECT doc_id, coalesce(e, 0), n FROM d LEFT JOIN (SELECT doc_id, max(e) AS e FROM spans GROUP BY doc_id) USING (doc_id)),
+kept AS (SELECT doc_id, string_agg(substr(h, 2 * a + 1, 2 * (b - a)), '' ORDER BY a) AS k FROM pieces JOIN d USING (doc_id) GROUP BY doc_id),
+sums AS (SELECT doc_id, sum(e - s)::BIGINT AS n_removed, count(*) AS n_spans FROM spans GROUP BY doc_id)
+SELECT doc_id, n AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(k)) AS kept_sha256
+FROM d JOIN kept USING (doc_id) LEFT JOIN sums USING (doc_id)
+"""
