@@ -60,17 +60,22 @@ def simhash(texts: DataFrame, text_col: str, *keys: str) -> DataFrame:
 def with_next(docs: DataFrame) -> DataFrame:
     """Rows (rid, doc_id, text) with next_rid and next_text of the next document in order of doc_id, the last one's being the first."""
     spark = docs.sparkSession
-    n = max(partitions(spark), spark.sparkContext.defaultParallelism)
+    n = 2 * max(partitions(spark), spark.sparkContext.defaultParallelism)
     keyed = docs.withColumn("key", F.coalesce("doc_id", F.lit(-(1 << 63)).cast("bigint")))
-    found = keyed.agg(F.min("key"), F.percentile_approx("key", [k / n for k in range(1, n)], 100 * n)).first() if n > 1 else (keyed.agg(F.min("key")).first()[0], [])
-    splits = sorted(set(found[1] or []) - {found[0]})
+    found = keyed.agg(F.min("key"), F.percentile_approx("key", [k / n for k in range(1, n)], 100 * n)).first()
     if found[0] is None:
         return docs.select("rid", "doc_id", "text", F.col("rid").alias("next_rid"), F.col("text").alias("next_text"))
+    splits = sorted(set(found[1]) - {found[0]})
     bounds = F.array(*[F.lit(s).cast("bigint") for s in [found[0], *splits]])
-    # bucket of a key: how many splitters are at most the key; a bucket's first key is itself a splitter
-    bucket = F.size(F.filter(bounds, lambda s: s <= F.col("key"))) - 1
+    # A key's bucket is the last bound that is at most the key, by binary search; a bucket's first key is itself a bound.
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(len(splits).bit_length()))] or [F.lit(1)])
+
+    def search(at: Column, step: Column) -> Column:
+        return F.when(F.get(bounds, at + step) <= F.col("key"), at + step).otherwise(at)
+
+    bucket = F.aggregate(steps, F.lit(0), search)
     own = keyed.withColumn("bucket", bucket)
-    ghost = F.array_contains(bounds, F.col("key"))
+    ghost = F.get(bounds, F.col("bucket")) == F.col("key")
     before = F.pmod(F.col("bucket") - 1, F.lit(len(splits) + 1))
     sent = F.when(ghost, F.array(F.struct(F.col("bucket").alias("at"), F.lit(0).alias("turn")), F.struct(before.alias("at"), F.lit(1).alias("turn")))).otherwise(F.array(F.struct(F.col("bucket").alias("at"), F.lit(0).alias("turn"))))
     # ``turn`` puts the first of the following range (for the last range: the first of all) behind all others
