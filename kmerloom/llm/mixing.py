@@ -11,8 +11,8 @@ copy. Each document draws a uniform number from a digest of its id and gets the
 ``odds(uniform) / odds(p)``; documents enter in order of rank while the words that the source is short
 of are not exceeded. The words taken before each rank come from a histogram of the ranks (``2**12``
 bins per source, summed before any shuffle), so that only the documents of one bin per source are
-ever ordered together. The last place goes to the document outside the sample whose size comes closest
-to what is still missing, if that brings the total nearer the target.
+ever ordered together. The last three places go, one after another, to the document outside the sample whose size comes
+closest to what is still missing; only the last of them may exceed it, if that brings the total nearer the target.
 
 Defined results: a null or empty text has size 0 and is taken 0 times; rows with equal ids in a source draw the
 same number and enter together; a null
@@ -29,6 +29,7 @@ from kmerloom.llm._common import kept, small, stored, table
 
 WORD = r"[^\x20\x09-\x0D]+"
 BINS = 1 << 12
+LAST_PLACES = 3
 
 
 def n_words(text: Column) -> Column:
@@ -69,7 +70,7 @@ def measured(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed:
 
 
 def plan_mix(sizes: DataFrame, **options) -> DataFrame:
-    """Per source: source_size, target, copies, cut (documents with u <= cut get one more) and extra (the u of the last place).
+    """Per source: source_size, target, copies, cut (documents with u <= cut get one more) and extras (the u of the last places).
 
     ``sizes`` has (source, size, u) and is read three times, so it should be stored.
     """
@@ -90,17 +91,23 @@ def plan_mix(sizes: DataFrame, **options) -> DataFrame:
     cut = inside.groupBy("key").agg(F.max(F.when(F.col("total") <= F.col("short"), F.struct("total", "u"))).alias("last"), F.first("bin").alias("bin"), F.first("before").alias("before"), F.first("short").alias("short"))
     cut = cut.select("key", F.coalesce("last.u", F.col("bin") / BINS).alias("cut"), (F.col("short") - F.coalesce("last.total", "before")).alias("rest"))
     cut = stored(cut, "mix-cut")
-    outside = sizes.withColumn("key", F.struct("source")).join(few(cut), "key").where("u > cut and rest > 0").groupBy("key", "u", "rest").agg(F.sum("size").alias("words"))
+    chosen = cut.withColumn("extras", F.array().cast("array<double>"))
     miss = F.abs(F.col("words") - F.col("rest"))
-    extra = outside.where(miss < F.col("rest")).groupBy("key").agg(F.min(F.struct(miss.alias("miss"), "u")).alias("best")).select("key", F.col("best.u").alias("extra"))
-    plan = targets.join(cut.select("key", "cut"), "key", "left").join(extra, "key", "left")
-    return plan.select("key", "source_size", "target", "copies", F.coalesce("cut", F.lit(1.0)).alias("cut"), "extra")
+    for place in range(LAST_PLACES):
+        better = miss < F.col("rest") if place == LAST_PLACES - 1 else F.col("words") <= F.col("rest")
+        outside = sizes.withColumn("key", F.struct("source")).join(few(chosen), "key").where((F.col("u") > F.col("cut")) & (F.col("rest") > 0) & ~F.array_contains("extras", F.col("u")))
+        units = outside.groupBy("key", "u", "rest").agg(F.sum("size").alias("words"))
+        best = units.where(better & (F.col("words") > 0)).groupBy("key").agg(F.min(F.struct(miss.alias("miss"), "u", "words")).alias("best"))
+        joined = chosen.join(best, "key", "left")
+        chosen = stored(joined.select("key", "cut", (F.col("rest") - F.coalesce("best.words", F.lit(0))).alias("rest"), F.when(F.col("best").isNull(), F.col("extras")).otherwise(F.array_append("extras", F.col("best.u"))).alias("extras")), "mix-cut")
+    plan = targets.join(chosen.select("key", "cut", "extras"), "key", "left")
+    return plan.select("key", "source_size", "target", "copies", F.coalesce("cut", F.lit(1.0)).alias("cut"), "extras")
 
 
 def apply_mix(rows: DataFrame, plan: DataFrame) -> DataFrame:
     """Rows (row, source, size, u) with source_size, target and taken."""
     joined = rows.withColumn("key", F.struct("source")).join(small(plan)(plan), "key")
-    once = ((F.col("u") <= F.col("cut")) | F.coalesce(F.col("u") == F.col("extra"), F.lit(False))).cast("bigint")
+    once = ((F.col("u") <= F.col("cut")) | F.coalesce(F.array_contains("extras", F.col("u")), F.lit(False))).cast("bigint")
     return joined.select("row", "size", "source_size", "target", (F.col("size") * (F.col("copies") + once)).alias("taken"))
 
 
@@ -139,7 +146,12 @@ z AS (SELECT *, round(target)::BIGINT - copies * source_size AS short FROM p),
 units AS (SELECT source, u, sum(size)::BIGINT AS words FROM d GROUP BY source, u),
 run AS (SELECT units.*, short, sum(words) OVER (PARTITION BY units.source ORDER BY u) AS total FROM units JOIN z ON units.source IS NOT DISTINCT FROM z.source),
 cut AS (SELECT source, coalesce(max(u) FILTER (total <= short), 0) AS cut, any_value(short) - coalesce(max(total) FILTER (total <= short), 0) AS rest FROM run GROUP BY source),
-extra AS (SELECT run.source, arg_min(u, (abs(words - rest), u)) AS extra FROM run JOIN cut ON run.source IS NOT DISTINCT FROM cut.source WHERE u > cut AND abs(words - rest) < rest GROUP BY run.source)
-SELECT doc_id, size, source_size, target, (size * (copies + (u <= cut OR coalesce(u = extra, FALSE))::BIGINT))::BIGINT AS taken
-FROM d JOIN z ON d.source IS NOT DISTINCT FROM z.source JOIN cut ON d.source IS NOT DISTINCT FROM cut.source LEFT JOIN extra ON d.source IS NOT DISTINCT FROM extra.source
+e1 AS (SELECT run.source, arg_min(u, (abs(words - rest), u)) AS u1, arg_min(words, (abs(words - rest), u)) AS w1 FROM run JOIN cut ON run.source IS NOT DISTINCT FROM cut.source WHERE u > cut AND words > 0 AND rest > 0 AND words <= rest GROUP BY run.source),
+c1 AS (SELECT cut.source, cut, rest - coalesce(w1, 0) AS rest, u1 FROM cut LEFT JOIN e1 ON cut.source IS NOT DISTINCT FROM e1.source),
+e2 AS (SELECT run.source, arg_min(u, (abs(words - rest), u)) AS u2, arg_min(words, (abs(words - rest), u)) AS w2 FROM run JOIN c1 ON run.source IS NOT DISTINCT FROM c1.source WHERE u > cut AND u IS DISTINCT FROM u1 AND words > 0 AND rest > 0 AND words <= rest GROUP BY run.source),
+c2 AS (SELECT c1.source, cut, rest - coalesce(w2, 0) AS rest, u1, u2 FROM c1 LEFT JOIN e2 ON c1.source IS NOT DISTINCT FROM e2.source),
+e3 AS (SELECT run.source, arg_min(u, (abs(words - rest), u)) AS u3, arg_min(words, (abs(words - rest), u)) AS w3 FROM run JOIN c2 ON run.source IS NOT DISTINCT FROM c2.source WHERE u > cut AND u IS DISTINCT FROM u1 AND u IS DISTINCT FROM u2 AND words > 0 AND rest > 0 AND abs(words - rest) < rest GROUP BY run.source),
+c3 AS (SELECT c2.source, cut, rest - coalesce(w3, 0) AS rest, u1, u2, u3 FROM c2 LEFT JOIN e3 ON c2.source IS NOT DISTINCT FROM e3.source)
+SELECT doc_id, size, source_size, target, (size * (copies + (u <= cut OR coalesce(u = u1, FALSE) OR coalesce(u = u2, FALSE) OR coalesce(u = u3, FALSE))::BIGINT))::BIGINT AS taken
+FROM d JOIN z ON d.source IS NOT DISTINCT FROM z.source JOIN c3 ON d.source IS NOT DISTINCT FROM c3.source
 """
