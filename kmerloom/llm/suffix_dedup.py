@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kmerloom.llm import _text as T
-from kmerloom.llm._common import kept, lean_batches, partitions, table
+from kmerloom.llm._common import lean_batches, partitions, stored, table
 
 LENGTH = 100
 GRAM = 32
@@ -455,11 +455,13 @@ def removed_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot:
     splitters = spark.sparkContext.broadcast(sample_splitters(keyed, n, length, gram))
     sent = keyed.select("id", "row", "text").mapInArrow(_sender(splitters, n, length, gram), EVENTS)
     sorted_ = sent.repartitionById(n, "part").sortWithinPartitions("part").mapInArrow(_sorter(splitters, length, hot), EVENTS)
-    events = kept(sorted_.select("row", "kind", "s", "e"))
+    files = max(1, n // 3)  # several buckets to a file
+    # Stored, so that the shuffles before are let go.
+    events = stored(sorted_.select("row", "kind", "s", "e").coalesce(files), "suffix-events")
     ats = events.where(F.col("kind") != REMOVED).groupBy(F.col("row").alias("r")).agg(F.collect_list(F.when(F.col("kind") == HOT_CONTEXT, F.bitwise_not("s")).otherwise(F.col("s"))).alias("ats"))
     left = keyed.select("id", "row", "text").join(ats.hint("shuffle_hash"), F.col("row") == F.col("r")).select("id", "row", "text", "ats")
     met = left.mapInArrow(_contexts(length, gram), CONTEXTS).repartition(n, "g").sortWithinPartitions("g")
-    windows = met.mapInArrow(_window_comparer(length), "row bigint, s bigint, e bigint")
+    windows = stored(met.mapInArrow(_window_comparer(length), "row bigint, s bigint, e bigint").coalesce(files), "suffix-windows")
     return keyed, events.where(F.col("kind") == REMOVED).select("row", "s", "e").union(windows)
 
 
