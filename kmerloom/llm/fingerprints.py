@@ -60,7 +60,7 @@ def simhash(texts: DataFrame, text_col: str, *keys: str) -> DataFrame:
 def with_next(docs: DataFrame) -> DataFrame:
     """Rows (rid, doc_id, text) with next_rid and next_text of the next document in order of doc_id, the last one's being the first."""
     spark = docs.sparkSession
-    n = 2 * max(partitions(spark), spark.sparkContext.defaultParallelism)
+    n = max(partitions(spark), spark.sparkContext.defaultParallelism)
     keyed = docs.withColumn("key", F.coalesce("doc_id", F.lit(-(1 << 63)).cast("bigint")))
     found = keyed.agg(F.min("key"), F.percentile_approx("key", [k / n for k in range(1, n)], 100 * n)).first()
     if found[0] is None:
@@ -79,7 +79,7 @@ def with_next(docs: DataFrame) -> DataFrame:
     before = F.pmod(F.col("bucket") - 1, F.lit(len(splits) + 1))
     sent = F.when(ghost, F.array(F.struct(F.col("bucket").alias("at"), F.lit(0).alias("turn")), F.struct(before.alias("at"), F.lit(1).alias("turn")))).otherwise(F.array(F.struct(F.col("bucket").alias("at"), F.lit(0).alias("turn"))))
     # ``turn`` puts the first of the following range (for the last range: the first of all) behind all others
-    dealt = own.select("rid", "doc_id", "key", "text", F.inline(sent))
+    dealt = own.select("rid", "doc_id", "key", "text", F.inline(sent)).repartitionById(len(splits) + 1, F.col("at"))
     order = Window.partitionBy("at").orderBy("turn", "key", F.xxhash64("text"), "rid")
     led = dealt.select("rid", "doc_id", "text", "turn", F.lead("rid").over(order).alias("next_rid"), F.lead("text").over(order).alias("next_text"))
     return led.where("turn = 0").drop("turn")
