@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from kmerloom.llm._common import stored, table
 
-RATIO = 0.1
+RATIO = 0.005
 MIN_PAGES = 5
 SALTS = 64
 

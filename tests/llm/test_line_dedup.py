@@ -34,3 +34,11 @@ def test_keeps_columns_and_takes_empty(odd, empty):
     assert ld.line_dedup(odd).select("row.*").columns == odd.columns
     assert ld.line_dedup(odd).count() == odd.count()
     assert ld.line_dedup(empty).count() == 0
+
+
+def test_lines_far_under_a_tenth_of_the_site_go(spark):
+    rows = [(k, "\n".join(line for line, every in (("menu", 20), ("All rights reserved.", 100), ("often said", 250)) if k % every == 0) + f"\nown {k}", "hot") for k in range(2000)]
+    rows += [(3000 + k, "rare\n" * (k < 4) + f"own {k}", "cold") for k in range(30)]
+    got = {r.doc_id: r.n_dropped for r in ld.line_dedup(spark.createDataFrame(rows, "doc_id bigint, text string, source string")).select("row.doc_id", "n_dropped").collect()}
+    # 100 and 20 of 2,000 pages are boilerplate; 8 of 2,000 and 4 of 30 (fewer than five pages) are not
+    assert got == {i: (i < 2000 and i % 20 == 0) + (i < 2000 and i % 100 == 0) for i, _, _ in rows}
