@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from kmerloom.functions import hv
 from kmerloom.operators import encode, similarity
+from kmerloom.plans import catalog
 
 
 def random_dna(seed, n):
@@ -94,3 +95,14 @@ def test_agreement(spark):
     truth = spark.createDataFrame([(1, 0.9, 5), (1, 0.9 - 1e-6, 6), (1, 0.5, 7), (2, 0.3, 8)], "input_id int, score double, db_id int")
     found = spark.createDataFrame([(1, 1, 6), (2, 1, 9), (2, 2, 8)], "input_id int, rank int, db_id int")
     assert tuple(similarity.topk_agreement(found, truth).first()) == (2, 1)
+
+
+@pytest.mark.parametrize(("name", "n"), [("topk_agreement", 10), ("topk_agreement_all", 20)])
+def test_agreement_queries_see_wrong_answers(spark, tmp_path, monkeypatch, name, n):
+    v = np.random.default_rng(6).normal(size=(20, 8))
+    spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id bigint, embedding array<double>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    assert tuple(catalog.QUERIES[name](spark, str(tmp_path)).first()) == (n, n)
+    search = similarity.cosine_topk
+    # the second-best answer in place of the best
+    monkeypatch.setattr(similarity, "cosine_topk", lambda *a, **k: search(*a, **k).where("rank > 1").withColumn("rank", F.col("rank") - 1))
+    assert tuple(catalog.QUERIES[name](spark, str(tmp_path)).first()) == (n, 0)
