@@ -11,8 +11,11 @@ copy. Each document draws a uniform number from a digest of its id and gets the
 ``odds(uniform) / odds(p)``; documents enter in order of rank while the words that the source is short
 of are not exceeded. The words taken before each rank come from a histogram of the ranks (``2**12``
 bins per source, summed before any shuffle), so that only the documents of one bin per source are
-ever ordered together. The last three places go, one after another, to the document outside the sample whose size comes
-closest to what is still missing; only the last of them may exceed it, if that brings the total nearer the target.
+ever ordered together. Three places then go, one after another, to the document outside the sample whose size comes
+closest to what is still missing without exceeding it. While documents outside still fit, the cut is repeated among those,
+so that the sample goes on down the ranks past the ones that do not fit. When none fits, the document that comes closest enters
+if it brings the total nearer the target. ``OP9_SQL`` ends after the third place, which may exceed what is missing
+even where others fit: in such sources its rows differ.
 
 Defined results: a null or empty text has size 0 and is taken 0 times; rows with equal ids in a source draw the
 same number and enter together; a null
@@ -69,37 +72,65 @@ def measured(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed:
     return docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), F.col(source_col).cast("string").alias("source"), n_words(F.col(text_col)).alias("size"), uniform(F.col(id_col), seed).alias("u"))
 
 
+def _bin(u: Column) -> Column:
+    return F.floor(u * BINS).cast("int")
+
+
+def _cut(sizes: DataFrame, bins: DataFrame, short: DataFrame) -> DataFrame:
+    """Stored (key, cut, rest): the last u whose words in order of u, with all before it, do not exceed ``short``, and what is missing then.
+
+    ``sizes`` has (key, u, size), ``bins`` (key, bin, words), ``short`` (key, short). A key whose words do not exceed ``short`` is left out.
+    """
+    few = small(short)
+    upto = Window.partitionBy("key").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
+    full = bins.withColumn("before", F.coalesce(F.sum("words").over(upto), F.lit(0))).join(few(short), "key")
+    edge = full.where((F.col("before") <= F.col("short")) & (F.col("before") + F.col("words") > F.col("short"))).select("key", "bin", "before", "short")
+    edge = stored(edge, "mix-edge")
+    # Only the documents in the bin where a source's sample ends are put in order of their rank.
+    units = sizes.withColumn("bin", _bin(F.col("u"))).join(few(edge), ["key", "bin"]).groupBy("key", "u", "bin", "before", "short").agg(F.sum("size").alias("words"))
+    inside = units.withColumn("total", F.col("before") + F.sum("words").over(Window.partitionBy("key").orderBy("u").rowsBetween(Window.unboundedPreceding, 0)))
+    cut = inside.groupBy("key").agg(F.max(F.when(F.col("total") <= F.col("short"), F.struct("total", "u"))).alias("last"), F.first("bin").alias("bin"), F.first("before").alias("before"), F.first("short").alias("short"))
+    return stored(cut.select("key", F.coalesce("last.u", F.col("bin") / BINS).alias("cut"), (F.col("short") - F.coalesce("last.total", "before")).alias("rest")), "mix-cut")
+
+
 def plan_mix(sizes: DataFrame, **options) -> DataFrame:
-    """Per source: source_size, target, copies, cut (documents with u <= cut get one more) and extras (the u of the last places).
+    """Per source: source_size, target, copies, cut (documents with u <= cut get one more) and extras (the u of the documents past it that do).
 
     ``sizes`` has (source, size, u) and is read three times, so it should be stored.
     """
-    bins = sizes.groupBy("source", F.floor(F.col("u") * BINS).cast("int").alias("bin")).agg(F.sum("size").alias("words"))
+    bins = sizes.groupBy("source", _bin(F.col("u")).alias("bin")).agg(F.sum("size").alias("words"))
     targets = source_targets(bins.select("source", F.col("words").alias("size")), **options)
     times = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     targets = targets.withColumn("copies", F.floor(times).cast("bigint")).withColumn("p", times - F.floor(times))
     targets = targets.withColumn("short", F.round("target").cast("bigint") - F.col("copies") * F.col("source_size")).withColumn("key", F.struct("source"))
     targets = stored(targets, "mix-targets")
-    few = small(targets)
-    upto = Window.partitionBy("source").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
-    full = bins.withColumn("before", F.coalesce(F.sum("words").over(upto), F.lit(0))).withColumn("key", F.struct("source")).join(few(targets.select("key", "short")), "key")
-    edge = full.where((F.col("before") <= F.col("short")) & (F.col("before") + F.col("words") > F.col("short"))).select("key", "bin", "before", "short")
-    edge = stored(edge, "mix-edge")
-    # Only the documents in the bin where a source's sample ends are put in order of their rank.
-    units = sizes.withColumn("key", F.struct("source")).withColumn("bin", F.floor(F.col("u") * BINS).cast("int")).join(few(edge), ["key", "bin"]).groupBy("key", "u", "bin", "before", "short").agg(F.sum("size").alias("words"))
-    inside = units.withColumn("total", F.col("before") + F.sum("words").over(Window.partitionBy("key").orderBy("u").rowsBetween(Window.unboundedPreceding, 0)))
-    cut = inside.groupBy("key").agg(F.max(F.when(F.col("total") <= F.col("short"), F.struct("total", "u"))).alias("last"), F.first("bin").alias("bin"), F.first("before").alias("before"), F.first("short").alias("short"))
-    cut = cut.select("key", F.coalesce("last.u", F.col("bin") / BINS).alias("cut"), (F.col("short") - F.coalesce("last.total", "before")).alias("rest"))
-    cut = stored(cut, "mix-cut")
+    cut = _cut(sizes.withColumn("key", F.struct("source")), bins.withColumn("key", F.struct("source")), targets.select("key", "short"))
     chosen = cut.withColumn("extras", F.array().cast("array<double>"))
-    miss = F.abs(F.col("words") - F.col("rest"))
-    for place in range(LAST_PLACES):
-        better = miss < F.col("rest") if place == LAST_PLACES - 1 else F.col("words") <= F.col("rest")
-        outside = sizes.withColumn("key", F.struct("source")).join(few(chosen), "key").where((F.col("u") > F.col("cut")) & (F.col("rest") > 0) & ~F.array_contains("extras", F.col("u")))
-        units = outside.groupBy("key", "u", "rest").agg(F.sum("size").alias("words"))
-        best = units.where(better & (F.col("words") > 0)).groupBy("key").agg(F.min(F.struct(miss.alias("miss"), "u", "words")).alias("best"))
-        joined = chosen.join(best, "key", "left")
-        chosen = stored(joined.select("key", "cut", (F.col("rest") - F.coalesce("best.words", F.lit(0))).alias("rest"), F.when(F.col("best").isNull(), F.col("extras")).otherwise(F.array_append("extras", F.col("best.u"))).alias("extras")), "mix-cut")
+
+    def outside(fits: bool) -> DataFrame:
+        rows = sizes.withColumn("key", F.struct("source")).join(small(chosen)(chosen), "key").where((F.col("u") > F.col("cut")) & (F.col("rest") > 0) & ~F.array_contains("extras", F.col("u")))
+        units = rows.groupBy("key", "u", "rest").agg(F.sum("size").alias("words"))
+        return units.where((F.col("words") > 0) & (F.col("words") <= F.col("rest") if fits else F.col("words") < 2 * F.col("rest")))
+
+    def closest(units: DataFrame) -> DataFrame:
+        best = units.groupBy("key").agg(F.min(F.struct(F.abs(F.col("words") - F.col("rest")).alias("miss"), "u", "words")).alias("best"))
+        return best.select("key", F.array("best.u").alias("us"), F.col("best.words").alias("words"))
+
+    def taking(more: DataFrame) -> DataFrame:
+        joined = chosen.join(more, "key", "left")
+        return stored(joined.select("key", "cut", (F.col("rest") - F.coalesce("words", F.lit(0))).alias("rest"), F.concat("extras", F.coalesce("us", F.array().cast("array<double>"))).alias("extras")), "mix-cut")
+
+    for _ in range(LAST_PLACES):
+        chosen = taking(closest(outside(True)))
+    while True:  # on down the ranks past what does not fit, until nothing fits
+        units = stored(outside(True), "mix-units")
+        if not units.head(1):
+            break
+        more = _cut(units.select("key", "u", F.col("words").alias("size")), units.groupBy("key", _bin(F.col("u")).alias("bin")).agg(F.sum("words").alias("words")), units.groupBy("key").agg(F.first("rest").alias("short")))
+        # a source whose fitting documents do not reach what is missing has no cut: all of them enter
+        inside = units.join(more.select("key", F.col("cut").alias("last")), "key", "left").where(F.col("u") <= F.coalesce("last", F.lit(1.0)))
+        chosen = taking(inside.groupBy("key").agg(F.collect_list("u").alias("us"), F.sum("words").alias("words")))
+    chosen = taking(closest(outside(False)))
     plan = targets.join(chosen.select("key", "cut", "extras"), "key", "left")
     return plan.select("key", "source_size", "target", "copies", F.coalesce("cut", F.lit(1.0)).alias("cut"), "extras")
 

@@ -1,3 +1,5 @@
+import random
+
 import duckdb
 
 from kmerloom.llm import mixing
@@ -34,3 +36,14 @@ def test_columns_repeats_and_empty(odd, empty):
     out = mixing.mix(odd)
     assert out.select("row.*").columns == odd.columns and out.count() == odd.count()
     assert mixing.mix(empty).count() == 0
+
+
+def test_long_document_near_the_cut_leaves_no_gap(spark):
+    r = random.Random(5)
+    sizes = {k: r.randint(50, 600) for k in range(1000)} | {5132: 100_000}
+    docs = spark.createDataFrame([(i, "w " * n, "a") for i, n in sizes.items()], "doc_id bigint, text string, source string").repartition(4)
+    rows = mixing.mix(docs).select("row.doc_id", "size", "target", "taken").collect()
+    left = [x.size for x in rows if x.taken == x.size]
+    miss = rows[0].target - sum(x.taken for x in rows)
+    assert abs(miss) <= 1 or (miss < min(left) and abs(miss) <= min(left) / 2)
+    assert all(x.taken in (x.size, 2 * x.size) for x in rows)
