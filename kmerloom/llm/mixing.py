@@ -7,8 +7,9 @@ from prefix sums over the sources in order of limit / weight.
 
 Sample. A source's documents are to appear ``target / source_size`` times. The whole part of that
 is a number of certain copies of each document. The rest is the inclusion probability ``p`` of one more
-copy. Each document draws a uniform number from a digest of its id and gets the rank
-``odds(uniform) / odds(p)``; documents enter in order of rank while the words that the source is short
+copy. Each document draws a uniform number from a digest of its id. ``p`` is equal within a source, so the Pareto rank
+``odds(uniform) / odds(p)`` has the order of the uniform number, which is used as the rank (unequal ``p`` is not
+supported); documents enter in order of rank while the words that the source is short
 of are not exceeded. The words taken before each rank come from a histogram of the ranks (``2**12``
 bins per source, summed before any shuffle), so that only the documents of one bin per source are
 ever ordered together. Three places then go, one after another, to the document outside the sample whose size comes
@@ -101,7 +102,7 @@ def plan_mix(sizes: DataFrame, **options) -> DataFrame:
     bins = sizes.groupBy("source", _bin(F.col("u")).alias("bin")).agg(F.sum("size").alias("words"))
     targets = source_targets(bins.select("source", F.col("words").alias("size")), **options)
     times = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    targets = targets.withColumn("copies", F.floor(times).cast("bigint")).withColumn("p", times - F.floor(times))
+    targets = targets.withColumn("copies", F.floor(times).cast("bigint"))
     targets = targets.withColumn("short", F.round("target").cast("bigint") - F.col("copies") * F.col("source_size")).withColumn("key", F.struct("source"))
     targets = stored(targets, "mix-targets")
     cut = _cut(sizes.withColumn("key", F.struct("source")), bins.withColumn("key", F.struct("source")), targets.select("key", "short"))
