@@ -376,7 +376,7 @@ def align_semiglobal(spark: SparkSession, sf_dir: str) -> DataFrame:
 def simulate_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _library(spark, sf_dir)
     library = rows.select(F.concat(F.lit("s__"), F.regexp_extract("lineage", "c__(.*)$", 1)).alias("category"), "seq_id", "sequence")
-    return sample.simulate_reads(library, rows.select("seq_id", "lineage"), total_reads=2000, num_taxa=20)
+    return sample.simulate_reads(library, rows.select("seq_id", "lineage"))
 
 
 @query("SELECT source, n_docs, (sum(n_docs) OVER (ORDER BY source ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - n_docs)::BIGINT AS first_offset, row_number() OVER (ORDER BY source) AS ordinal FROM (SELECT source, count(*)::BIGINT AS n_docs FROM documents GROUP BY source)")

@@ -39,3 +39,9 @@ def test_flagship(spark):
 def test_other_queries_have_rows(spark):
     for name in sorted(set(catalog.QUERIES) - set(catalog.ORACLE_SQL)):
         assert entry.queries()[name](spark, SF).count() > 0, name
+
+
+def test_simulate_reads_does_the_default_job(spark):
+    reads = catalog.QUERIES["simulate_reads"](spark, SF).cache()
+    # templates shorter than a read are skipped, so reads may be fewer than asked for
+    assert 2000 < reads.count() <= 10_000 and 20 < reads.select("taxonomy").distinct().count() <= 25
