@@ -62,7 +62,7 @@ def small(df: DataFrame, most_rows: int = 200_000):
     return F.broadcast if df.limit(most_rows + 1).count() <= most_rows else lambda x: x
 
 
-def lean_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Hand texts to Python workers in batches of few rows: less memory outside the heap for both sides."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def lean_batches(spark: SparkSession, rows: int = 1000, size: int = 4 << 20) -> None:
+    """For programs (queries, pipelines), not operators: hand Python workers small batches, for less memory on both sides."""
+    for name, most in (("maxRecordsPerBatch", rows), ("maxBytesPerBatch", size)):
+        spark.conf.set(f"spark.sql.execution.arrow.{name}", str(most))

@@ -5,11 +5,12 @@ bytes. Each such window picks the position of its least 32-byte gram (leftmost o
 equal windows pick equal anchors, and successive windows share one, so about one suffix of 35 is kept. An
 anchor stands for the run of windows that picked it; the bytes under that run are its context.
 
-*Tokens and buckets.* A suffix is compared by tokens: the fingerprint of its gram, then the
-fingerprint of its whole context, then (doc_id, row, position). Splitters of (first, second) token come from a
-bounded sample of documents; suffixes are range-partitioned by them, so that one frequent gram is cut into several
-buckets by its second token. Within a bucket, suffixes are put in order by multikey quicksort (three-way partition
-by one token, equal runs by the next). Before they are sent, each task keeps only the first of equal contexts.
+*Tokens and buckets.* A suffix is compared by tokens: the 64-bit hash of its gram, then the 128-bit BLAKE2 digest
+of the bytes of its whole context, then (doc_id, row, position). Splitters of (gram, first half of the digest) come
+from a bounded sample of documents; suffixes are range-partitioned by them into buckets of ``BUCKET_BYTES`` of text, so
+that one frequent gram is cut into several buckets by its second token. Within a bucket, suffixes are put in order by
+multikey quicksort (three-way partition by one token, equal runs by the next). Before they are sent, each task keeps
+only the first of equal contexts.
 
 *Runs.* Equal contexts after the first are removed with all their windows. If a gram has one context only, nothing is to
 be done. The first of each context of a gram with several contexts is compared further. A gram at the
@@ -20,13 +21,13 @@ and all but the first of equal windows are removed. Hot grams (more than ``hot``
 each window by itself, keyed by the window's fingerprint, after equal windows within a task were
 reduced to the first; so no group grows with the number of documents.
 
-Fingerprints of equal length are compared with 128 bits in all (two tokens). Whole texts are used;
-matches never cross documents.
+*Equality.* Whole contexts count as equal by their 128-bit digests. Windows that meet by hash are compared byte by
+byte; different windows with equal hashes are told apart. Whole texts are used; matches never cross documents.
 
 Defined results: null texts are empty; texts shorter than ``length`` lose nothing; equal rows (same doc_id and
-text) are one document and get one result each; rows that share a doc_id with different texts are ordered by a
-hash of the text; a null doc_id comes before all others. Empty tables give empty results; other
-columns are never looked at.
+text, the text by a 64-bit hash) are one document and get one result each; rows that share a doc_id with different
+texts are ordered by that hash; a null doc_id comes before all others. Texts longer than ``PIECE`` are read in overlapping
+pieces, with the same result. Empty tables give empty results; other columns are never looked at.
 """
 
 from __future__ import annotations
@@ -48,8 +49,11 @@ PIECE = 1 << 20
 FLUSH = 400_000
 HOT = 4096
 SAMPLE_DOCS = 3000
+BUCKET_BYTES = 16 << 20
+#: Suffixes in one blob of a shuffled row, and blobs in one batch: large values would stay in the heap for long.
+BLOB, BLOBS = 4096, 16
 _U = T.U64
-_MIX_A, _MIX_B, _MIX_C = _U(0xC2B2AE3D27D4EB4F), _U(0x165667B19E3779F9), _U(0x85EBCA77C2B2AE63)
+_MIX = _U(0x85EBCA77C2B2AE63)
 NULL_ID = -(1 << 63)
 
 
@@ -83,6 +87,23 @@ def _changes(*columns: np.ndarray) -> np.ndarray:
     return new
 
 
+def exact_runs(data: np.ndarray, at: np.ndarray, new: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Order and run starts of windows ``at``, given runs of equal hashes: a run with different bytes is taken apart."""
+    rows = np.arange(len(at))
+    first = np.maximum.accumulate(np.where(new, rows, 0))
+    rest = np.flatnonzero(~new)
+    view = np.lib.stride_tricks.sliding_window_view(data, length) if len(data) >= length else data.reshape(0, length)
+    odd = [part[(view[at[part]] != view[at[first[part]]]).any(1)] for part in np.split(rest, range(1 << 14, len(rest), 1 << 14))]
+    odd = np.concatenate(odd) if odd else rest
+    if not len(odd):
+        return rows, new
+    code, seen = np.zeros(len(at), np.int64), {}
+    for k in odd.tolist():
+        code[k] = seen.setdefault((first[k], view[at[k]].tobytes()), len(seen) + 1)
+    order = np.lexsort((rows, code, first))
+    return order, _changes(first[order], code[order])
+
+
 def pieces(data: np.ndarray, offsets: np.ndarray, length: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """(bytes, offsets, document of each part, its first position): documents together, long ones in overlapping pieces."""
     for i, j in T.runs(offsets, PIECE):
@@ -95,20 +116,20 @@ def pieces(data: np.ndarray, offsets: np.ndarray, length: int) -> Iterator[tuple
             yield part, np.array([0, len(part)]), np.array([i]), np.array([at])
 
 
-def _grams(data: np.ndarray, gram: int) -> tuple[np.ndarray, np.ndarray]:
+def _grams(data: np.ndarray, gram: int) -> np.ndarray:
+    """Hash of the gram at each place."""
     p = T.prefix_hash(data)
     _, down = T.powers(len(data))
     n = len(data) - gram + 1
-    return p, T.mix((p[gram:] - p[:n]) * down[:n])
+    return T.mix((p[gram:] - p[:n]) * down[:n])
 
 
 def anchors(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> dict[str, np.ndarray] | None:
-    """Anchors of all windows that lie within one part: part, start (first window), anchor, last (last window), gram and context tokens."""
+    """Anchors of all windows that lie within one part: part, start (first window), anchor, last (last window), gram and context (two halves) tokens."""
     n, width, none = len(data), length - gram + 1, None
     if n < length:
         return none
-    p, h = _grams(data, gram)
-    _, down = T.powers(n)
+    h = _grams(data, gram)
     low = _U(PIECE.bit_length() + 1)
     ranked = ((h >> low) << low) | np.arange(len(h), dtype=np.uint64)
     padded = np.full(-(-len(h) // width) * width, np.iinfo(np.uint64).max, np.uint64)
@@ -129,23 +150,29 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: i
     first = np.flatnonzero(_changes(pick))
     last = window[np.concatenate([first[1:] - 1, [len(window) - 1]])]
     start, anchor = window[first], pick[first]
-    context = T.mix((p[last + length] - p[start]) * down[start] + (anchor - start).astype(np.uint64) * _MIX_A + (last - start).astype(np.uint64) * _MIX_B)
-    return {"part": np.searchsorted(offsets, start, "right") - 1, "start": start, "anchor": anchor, "last": last, "gram": h[anchor], "context": context}
+    raw = memoryview(np.ascontiguousarray(data))
+    context = digests([raw[s:e] for s, e in zip(start.tolist(), (last + length).tolist())])
+    return {"part": np.searchsorted(offsets, start, "right") - 1, "start": start, "anchor": anchor, "last": last, "gram": h[anchor], "c1": context[:, 0], "c2": context[:, 1]}
+
 
+def digests(parts: list) -> np.ndarray:
+    """(parts, 2) words of the 128-bit digests of byte strings."""
+    return np.frombuffer(b"".join([hashlib.blake2b(x, digest_size=16).digest() for x in parts]), np.uint64).reshape(-1, 2)
 
-FIELDS = ("gram", "context", "id", "row", "at")
+
+FIELDS = ("gram", "c1", "c2", "id", "row", "at")
 
 
 def _pack(columns: list[np.ndarray]) -> bytes:
     """Columns of longs one after another; ids and rows as differences, which compress well."""
     parts = [c.view(np.int64) for c in columns]
-    parts[2:4] = [np.diff(c, prepend=np.int64(0)) for c in parts[2:4]]
+    parts[3:5] = [np.diff(c, prepend=np.int64(0)) for c in parts[3:5]]
     return np.concatenate(parts).tobytes()
 
 
 def _unpack(blob: bytes) -> list[np.ndarray]:
     grid = np.frombuffer(blob, np.int64).reshape(len(FIELDS), -1)
-    return [grid[0].view(np.uint64), grid[1].view(np.uint64), np.cumsum(grid[2]), np.cumsum(grid[3]), grid[4]]
+    return [*grid[:3].view(np.uint64), np.cumsum(grid[3]), np.cumsum(grid[4]), grid[5]]
 
 
 def _at(start: np.ndarray, anchor: np.ndarray, last: np.ndarray) -> np.ndarray:
@@ -162,11 +189,11 @@ def _suffixes(batch: pa.RecordBatch, length: int, gram: int) -> Iterator[list[np
             continue
         d = found["part"]
         shift = firsts[d] - edges[d]
-        yield [found["gram"], found["context"], ids[docs[d]], rows[docs[d]], _at(found["start"] + shift, found["anchor"] + shift, found["last"] + shift)]
+        yield [found["gram"], found["c1"], found["c2"], ids[docs[d]], rows[docs[d]], _at(found["start"] + shift, found["anchor"] + shift, found["last"] + shift)]
 
 
 def place(splitters: tuple[np.ndarray, np.ndarray], gram: np.ndarray, context: np.ndarray) -> np.ndarray:
-    """Bucket of each suffix: the number of splitters (gram, context) that are not above it."""
+    """Bucket of each suffix: the number of splitters (gram, first half of the digest) that are not above it."""
     s_gram, s_context = splitters
     bucket = np.searchsorted(s_gram, gram, "left")
     near = np.minimum(bucket, max(0, len(s_gram) - 1))
@@ -177,15 +204,16 @@ def place(splitters: tuple[np.ndarray, np.ndarray], gram: np.ndarray, context: n
     return bucket
 
 
-EVENTS = "part int, row bigint, kind int, s bigint, e bigint, blob binary"
+EVENTS = "part int, id bigint, row bigint, kind int, s bigint, e bigint, blob binary"
+EVENT_NAMES = [x.split()[0] for x in EVENTS.split(", ")]
 REMOVED, CONTEXT, HOT_CONTEXT = 0, 1, 2
 
 
-def _events(part: np.ndarray | int, row: np.ndarray, kind: np.ndarray | int, s: np.ndarray, e: np.ndarray) -> pa.RecordBatch:
+def _events(part: np.ndarray | int, ids: np.ndarray, row: np.ndarray, kind: np.ndarray | int, s: np.ndarray, e: np.ndarray) -> pa.RecordBatch:
     n = len(row)
     full = lambda x, t: pa.array(np.broadcast_to(np.asarray(x, t), n).copy())
-    columns = [full(part, np.int32), pa.array(row), full(kind, np.int32), pa.array(s), pa.array(e), pa.nulls(n, pa.binary())]
-    return pa.RecordBatch.from_arrays(columns, ["part", "row", "kind", "s", "e", "blob"])
+    columns = [full(part, np.int32), pa.array(ids), pa.array(row), full(kind, np.int32), pa.array(s), pa.array(e), pa.nulls(n, pa.binary())]
+    return pa.RecordBatch.from_arrays(columns, EVENT_NAMES)
 
 
 def _span(at: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -212,23 +240,27 @@ def _sender(splitters, n_parts: int, length: int, gram: int):
             if not size:
                 return
             cols = [np.concatenate(x) for x in zip(*held)]
-            order = np.lexsort([cols[k] for k in (4, 3, 2, 1, 0)])
+            order = np.lexsort(cols[::-1])
             cols = [c[order] for c in cols]
-            new = _changes(cols[0], cols[1])
-            again = _repeated(cols[2:], new)
-            s, e = _span(cols[4][again], length)
-            row = cols[3][again]
-            yield _events((row % n_parts).astype(np.int32), row, REMOVED, s, e)
+            new = _changes(*cols[:3])
+            again = _repeated(cols[3:], new)
+            s, e = _span(cols[5][again], length)
+            ids, row = cols[3][again], cols[4][again]
+            yield _events((row % n_parts).astype(np.int32), ids, row, REMOVED, s, e)
             cols = [c[new] for c in cols]
             bucket = place(splitters.value, cols[0], cols[1])
-            order = np.lexsort((cols[4], cols[3], cols[2], bucket))
+            order = np.lexsort((cols[5], cols[4], cols[3], bucket))
             cols, bucket = [c[order] for c in cols], bucket[order]
             begin = np.flatnonzero(_changes(bucket))
             ends = np.append(begin[1:], len(bucket))
-            blobs = [_pack([c[i:j] for c in cols]) for i, j in zip(begin, ends)]
-            n = len(begin)
-            nothing = pa.nulls(n, pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(bucket[begin].astype(np.int32)), nothing, pa.nulls(n, pa.int32()), nothing, nothing, pa.array(blobs, pa.binary())], ["part", "row", "kind", "s", "e", "blob"])
+            cuts = [(k, min(k + BLOB, j)) for i, j in zip(begin.tolist(), ends.tolist()) for k in range(i, j, BLOB)]
+            for at in range(0, len(cuts), BLOBS):
+                own = cuts[at : at + BLOBS]
+                n = len(own)
+                parts = pa.array(bucket[[i for i, _ in own]].astype(np.int32))
+                blobs = pa.array([_pack([c[i:j] for c in cols]) for i, j in own], pa.binary())
+                nothing = pa.nulls(n, pa.int64())
+                yield pa.RecordBatch.from_arrays([parts, nothing, nothing, pa.nulls(n, pa.int32()), nothing, nothing, blobs], EVENT_NAMES)
             held, size = [], 0
 
         for batch in batches:
@@ -243,38 +275,36 @@ def _sender(splitters, n_parts: int, length: int, gram: int):
 
 
 def _sorter(splitters, length: int, hot: int):
-    """Bucket by bucket: multikey quicksort, then the runs of equal grams and contexts."""
+    """A bucket, which is a partition: multikey quicksort, then the runs of equal grams and contexts."""
 
-    def bucket_runs(number: int, blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
-        cols = [np.concatenate(x) for x in zip(*map(_unpack, blobs))]
+    def bucket_runs(number: int, blobs: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        cols = [np.concatenate(x) for x in zip(*blobs)]
+        blobs.clear()
         order = multikey_quicksort(cols)
         cols = [c[order] for c in cols]
-        gram, context, _, row, at = cols
-        new_gram, new = _changes(gram), _changes(gram, context)
-        again = _repeated(cols[2:], new)
+        gram, _, _, ids, row, at = cols
+        new_gram, new = _changes(gram), _changes(*cols[:3])
+        again = _repeated(cols[3:], new)
         s, e = _span(at[again], length)
-        yield _events(0, row[again], REMOVED, s, e)
+        yield _events(number, ids[again], row[again], REMOVED, s, e)
         run = np.cumsum(new_gram) - 1
         contexts = np.bincount(run, new).astype(np.int64)[run]
         s_gram = splitters.value[0]
         edge = np.isin(gram, s_gram[max(0, number - 1) : number + 1])
         kept = new & ((contexts > 1) | edge)
         kind = np.where((contexts > hot) | edge, HOT_CONTEXT, CONTEXT)[kept]
-        yield _events(0, row[kept], kind, at[kept], np.zeros(kept.sum(), np.int64))
+        yield _events(number, ids[kept], row[kept], kind, at[kept], np.zeros(kept.sum(), np.int64))
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, blobs = None, []
+        number, blobs = 0, []
         for batch in batches:
             passed = batch.filter(batch.column("blob").is_null())
             if len(passed):
                 yield passed
             rest = batch.filter(batch.column("blob").is_valid())
-            for part, blob in zip(rest.column("part").to_pylist(), rest.column("blob")):
-                if part != number and blobs:
-                    yield from bucket_runs(number, blobs)
-                    blobs = []
-                number = part
-                blobs.append(blob.as_py())
+            if len(rest):
+                number = rest.column("part")[0].as_py()
+                blobs += [_unpack(blob.as_py()) for blob in rest.column("blob")]
         if blobs:
             yield from bucket_runs(number, blobs)
 
@@ -282,6 +312,7 @@ def _sorter(splitters, length: int, hot: int):
 
 
 CONTEXTS = "g bigint, id bigint, row bigint, start bigint, bytes binary, s bigint, e bigint"
+CONTEXT_NAMES = [x.split()[0] for x in CONTEXTS.split(", ")]
 
 
 def _contexts(length: int, gram: int):
@@ -289,7 +320,7 @@ def _contexts(length: int, gram: int):
 
     def batch_of(g, ids, row, start, blobs) -> pa.RecordBatch:
         none = pa.nulls(len(g), pa.int64())
-        return pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), pa.array(ids), pa.array(row), pa.array(start), blobs, none, none], [x.split()[0] for x in CONTEXTS.split(", ")])
+        return pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), pa.array(ids), pa.array(row), pa.array(start), blobs, none, none], CONTEXT_NAMES)
 
     def cut(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> pa.Array:
         ends = np.cumsum(size)
@@ -320,14 +351,16 @@ def _contexts(length: int, gram: int):
                     n = size[warm] - length + 1
                     window = np.repeat(start[warm], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
                     owner = np.repeat(doc[warm], n)
-                    key = T.mix(_hash_at(data, window, length) ^ _MIX_C)
+                    key = T.mix(_hash_at(data, window, length) ^ _MIX)
                     order = np.lexsort((window - offsets[owner], rows[owner], ids[owner], key))
                     window, owner, key = window[order], owner[order], key[order]
-                    new = _changes(key)
+                    order, new = exact_runs(data, window, _changes(key), length)
+                    window, owner, key = window[order], owner[order], key[order]
                     place_in = window - offsets[owner]
                     again = _repeated([ids[owner], rows[owner], place_in], new)
                     gone = pa.nulls(int(again.sum()), pa.int64())
-                    yield pa.RecordBatch.from_arrays([pa.array(rows[owner[again]]), gone, pa.array(rows[owner[again]]), gone, pa.nulls(len(gone), pa.binary()), pa.array(place_in[again]), pa.array(place_in[again] + length)], [x.split()[0] for x in CONTEXTS.split(", ")])
+                    twice = owner[again]
+                    yield pa.RecordBatch.from_arrays([pa.array(rows[twice]), pa.array(ids[twice]), pa.array(rows[twice]), gone, pa.nulls(len(gone), pa.binary()), pa.array(place_in[again]), pa.array(place_in[again] + length)], CONTEXT_NAMES)
                     w, o = window[new], owner[new]
                     yield batch_of(key[new], ids[o], rows[o], w - offsets[o], cut(data, w, np.full(len(w), length)))
 
@@ -343,6 +376,10 @@ def _hash_at(data: np.ndarray, start: np.ndarray, size: int) -> np.ndarray:
     return out
 
 
+SPANS = "id bigint, row bigint, s bigint, e bigint"
+SPAN_NAMES = [x.split()[0] for x in SPANS.split(", ")]
+
+
 def _window_comparer(length: int):
     """Groups of contexts, in order of g: all but the first of equal windows are removed."""
 
@@ -355,18 +392,20 @@ def _window_comparer(length: int):
         p = T.prefix_hash(data)
         _, down = T.powers(len(data))
         raw = (p[at + length] - p[at]) * down[at]
-        tokens = [g[owner], T.mix(raw), ids[owner], row[owner], start[owner] + inner]
+        tokens = [g[owner], T.mix(raw), ids[owner], row[owner], start[owner] + inner, at]
         order = multikey_quicksort(tokens)
         tokens = [t[order] for t in tokens]
-        again = _repeated(tokens[2:], _changes(tokens[0], tokens[1]))
-        row, w = tokens[3][again], tokens[4][again]
-        order = np.lexsort((w, row))
-        row, w = row[order], w[order]
+        order, new = exact_runs(data, tokens[5], _changes(tokens[0], tokens[1]), length)
+        tokens = [t[order] for t in tokens]
+        again = _repeated(tokens[2:5], new)
+        ids, row, w = (t[again] for t in tokens[2:5])
+        order = np.lexsort((w, row, ids))
+        ids, row, w = ids[order], row[order], w[order]
         first = np.ones(len(w), bool)
-        first[1:] = (row[1:] != row[:-1]) | (w[1:] > w[:-1] + 1)
+        first[1:] = (ids[1:] != ids[:-1]) | (row[1:] != row[:-1]) | (w[1:] > w[:-1] + 1)
         begin = np.flatnonzero(first)
         last = np.append(begin[1:], len(w)) - 1 if len(w) else begin
-        return pa.RecordBatch.from_arrays([pa.array(row[begin]), pa.array(w[begin]), pa.array(w[last] + length)], ["row", "s", "e"])
+        return pa.RecordBatch.from_arrays([pa.array(ids[begin]), pa.array(row[begin]), pa.array(w[begin]), pa.array(w[last] + length)], SPAN_NAMES)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -374,7 +413,7 @@ def _window_comparer(length: int):
         for batch in batches:
             gone = batch.filter(batch.column("s").is_valid())
             if len(gone):
-                yield gone.select(["row", "s", "e"])
+                yield gone.select(SPAN_NAMES)
             batch = batch.filter(batch.column("s").is_null())
             if not len(batch):
                 continue
@@ -427,55 +466,61 @@ def _remover(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "removed"])
 
 
-def sample_splitters(keyed: DataFrame, n_buckets: int, length: int, gram: int, sample_docs: int = SAMPLE_DOCS) -> tuple[np.ndarray, np.ndarray]:
-    """Splitters (gram, context) from the suffixes of about ``sample_docs`` documents."""
-    n = keyed.select("id").count()
-    sample = keyed if n <= sample_docs else keyed.sample(sample_docs / n, seed=5)
+def sample_splitters(keyed: DataFrame, n_buckets: int, n_docs: int, length: int, gram: int, sample_docs: int = SAMPLE_DOCS) -> tuple[np.ndarray, np.ndarray]:
+    """Splitters (gram, first half of the digest) from the suffixes of about ``sample_docs`` documents, or one for each bucket if that is more."""
+    sample_docs = max(sample_docs, n_buckets)
+    sample = keyed if n_docs <= sample_docs else keyed.sample(sample_docs / n_docs, seed=5)
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for cols in _suffixes(batch, length, gram):
                 thin = slice(None, None, 4)
-                yield pa.RecordBatch.from_arrays([pa.array(c[thin].view(np.int64)) for c in cols[:2]], ["gram", "context"])
+                yield pa.RecordBatch.from_arrays([pa.array(c[thin].view(np.int64)) for c in cols[:2]], ["gram", "c1"])
 
-    found = sample.mapInArrow(tokens, "gram bigint, context bigint").toArrow()
-    a, b = (found.column(c).to_numpy().view(np.uint64) if len(found) else np.zeros(0, np.uint64) for c in ("gram", "context"))
+    found = sample.mapInArrow(tokens, "gram bigint, c1 bigint").toArrow()
+    a, b = (found.column(c).to_numpy().view(np.uint64) if len(found) else np.zeros(0, np.uint64) for c in ("gram", "c1"))
     order = np.lexsort((b, a))
     pick = np.unique((np.arange(1, n_buckets) * len(order)) // n_buckets) if len(order) >= n_buckets else np.zeros(0, np.int64)
     return a[order][pick], b[order][pick]
 
 
-def removed_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT) -> tuple[DataFrame, DataFrame]:
-    """Keyed documents (doc_id, id, row, text) and the byte spans (row, s, e) to remove."""
+def _joined_by_text(keyed: DataFrame, other: DataFrame, how: str) -> DataFrame:
+    """Keyed documents with the grouped events (i, r, ...) of their row."""
+    return keyed.join(other.hint("shuffle_hash"), (F.col("id") == F.col("i")) & (F.col("row") == F.col("r")), how)
+
+
+def removed_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT, bucket_bytes: int = BUCKET_BYTES) -> tuple[DataFrame, DataFrame]:
+    """Keyed documents (doc_id, id, row, text) and the byte spans (id, row, s, e) to remove."""
     spark = docs.sparkSession
-    lean_batches(spark)
     body = F.coalesce("text", F.lit(""))
     keyed = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NULL_ID).cast("bigint")).alias("id"), F.xxhash64("doc_id", body).alias("row"), body.alias("text"))
-    n = max(partitions(spark), spark.sparkContext.defaultParallelism)
-    splitters = spark.sparkContext.broadcast(sample_splitters(keyed, n, length, gram))
+    n_docs, size = keyed.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("text").cast("bigint")), F.lit(0))).first()
+    n = max(partitions(spark), spark.sparkContext.defaultParallelism, -(-size // bucket_bytes))
+    splitters = spark.sparkContext.broadcast(sample_splitters(keyed, n, n_docs, length, gram))
     sent = keyed.select("id", "row", "text").mapInArrow(_sender(splitters, n, length, gram), EVENTS)
-    sorted_ = sent.repartitionById(n, "part").sortWithinPartitions("part").mapInArrow(_sorter(splitters, length, hot), EVENTS)
-    files = max(1, n // 3)  # several buckets to a file
-    # Stored, so that the shuffles before are let go.
-    events = stored(sorted_.select("row", "kind", "s", "e").coalesce(files), "suffix-events")
-    ats = events.where(F.col("kind") != REMOVED).groupBy(F.col("row").alias("r")).agg(F.collect_list(F.when(F.col("kind") == HOT_CONTEXT, F.bitwise_not("s")).otherwise(F.col("s"))).alias("ats"))
-    left = keyed.select("id", "row", "text").join(ats.hint("shuffle_hash"), F.col("row") == F.col("r")).select("id", "row", "text", "ats")
+    sorted_ = sent.repartitionById(n, F.col("part")).mapInArrow(_sorter(splitters, length, hot), EVENTS)
+    # Stored, so that the shuffle before is let go; rebalanced into few files.
+    events = stored(sorted_.select("id", "row", "kind", "s", "e").hint("rebalance"), "suffix-events")
+    flagged = F.when(F.col("kind") == HOT_CONTEXT, F.bitwise_not("s")).otherwise(F.col("s"))
+    ats = events.where(F.col("kind") != REMOVED).groupBy(F.col("id").alias("i"), F.col("row").alias("r")).agg(F.collect_list(flagged).alias("ats"))
+    left = _joined_by_text(keyed.select("id", "row", "text"), ats, "inner").select("id", "row", "text", "ats")
     met = left.mapInArrow(_contexts(length, gram), CONTEXTS).repartition(n, "g").sortWithinPartitions("g")
-    windows = stored(met.mapInArrow(_window_comparer(length), "row bigint, s bigint, e bigint").coalesce(files), "suffix-windows")
-    return keyed, events.where(F.col("kind") == REMOVED).select("row", "s", "e").union(windows)
+    windows = met.mapInArrow(_window_comparer(length), SPANS)
+    return keyed, events.where(F.col("kind") == REMOVED).select(*SPAN_NAMES).union(windows)
 
 
 def suffix_dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, removed (flat start, end of the removed byte runs)."""
     keyed, spans = removed_spans(docs, length, gram, hot)
-    gone = spans.groupBy(F.col("row").alias("r")).agg(F.collect_list("s").alias("starts"), F.collect_list("e").alias("ends"))
-    joined = keyed.join(gone.hint("shuffle_hash"), F.col("row") == F.col("r"), "left").select("doc_id", "text", "starts", "ends")
+    gone = spans.groupBy(F.col("id").alias("i"), F.col("row").alias("r")).agg(F.collect_list("s").alias("starts"), F.collect_list("e").alias("ends"))
+    joined = _joined_by_text(keyed, gone, "left").select("doc_id", "text", "starts", "ends")
     kind = docs.schema["doc_id"].dataType.simpleString()
     return joined.mapInArrow(_remover, f"doc_id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, removed array<bigint>")
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup(table(spark, sf_dir, "documents")).drop("removed")
+    lean_batches(spark)
+    return suffix_dedup(table(spark, sf_dir, "documents")).drop("removed").hint("rebalance")
 
 
 OP1_SQL = """
