@@ -1,6 +1,7 @@
 import random
 
 import duckdb
+from pyspark.sql import functions as F
 
 from kmerloom.llm import mixing
 
@@ -38,12 +39,46 @@ def test_columns_repeats_and_empty(odd, empty):
     assert mixing.mix(empty).count() == 0
 
 
-def test_long_document_near_the_cut_leaves_no_gap(spark):
+def test_a_very_long_document_leaves_no_gap(spark):
+    """40 sources, each with a document as long as a third or all of the others together: targets are met all the same."""
     r = random.Random(5)
-    sizes = {k: r.randint(50, 600) for k in range(1000)} | {5132: 100_000}
-    docs = spark.createDataFrame([(i, "w " * n, "a") for i, n in sizes.items()], "doc_id bigint, text string, source string").repartition(4)
-    rows = mixing.mix(docs).select("row.doc_id", "size", "target", "taken").collect()
-    left = [x.size for x in rows if x.taken == x.size]
-    miss = rows[0].target - sum(x.taken for x in rows)
-    assert abs(miss) <= 1 or (miss < min(left) and abs(miss) <= min(left) / 2)
-    assert all(x.taken in (x.size, 2 * x.size) for x in rows)
+    rows = []
+    for s in range(40):
+        rows += [(s * 10_000 + k, "w " * r.randint(50, 600), f"s{s:02}") for k in range(1000)]
+        rows.append((s * 10_000 + 5132, "w " * (100_000 if s % 2 else 300_000), f"s{s:02}"))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string").repartition(8)
+    out = mixing.mix(docs, share=1.2, weights=(1, 1, 1)).select("row.source", "size", "target", "taken").toPandas()
+    by = out.groupby("source").agg({"taken": "sum", "target": "first"})
+    assert ((by.taken - by.target).abs() <= 0.002 * by.target).all()
+    assert ((out.taken == out["size"]) | (out.taken == 2 * out["size"]) | (out.taken == 0)).all()
+
+
+def test_inclusion_follows_the_probabilities(spark):
+    """2,000 sources of the same 40 sizes, each a draw of its own: a document enters as often as its size demands."""
+    sizes = [96 + k % 8 for k in range(24)] + [500 + k for k in range(16)]
+    rows = [(f"s{s}", s * 100 + k, n) for s in range(2000) for k, n in enumerate(sizes)]
+    frame = spark.createDataFrame(rows, "source string, doc_id bigint, size bigint")
+    docs = frame.select(F.col("source"), F.concat(F.lit("s"), "source").alias("source_key"), "doc_id", "size", mixing.size_class("size").alias("class"), mixing.uniform(F.col("doc_id").cast("string")).alias("u"), F.col("doc_id").alias("tie")).cache()
+    short = docs.select("source_key").distinct().withColumn("short", F.lit(sum(sizes) * 2 // 5).cast("bigint"))
+    cuts = mixing.sample(docs, short, "t")
+    got = mixing.entered(docs, cuts, "inside").withColumn("k", F.col("doc_id") % 100).groupBy("k").agg(F.avg(F.col("inside").cast("double")).alias("share"), F.first("size").alias("size"), F.first("class").alias("class")).toPandas()
+    plan = cuts.groupBy("class").agg(F.avg("take").alias("take"), F.first("words").alias("words"), F.first("n").alias("n")).toPandas().set_index("class")
+    for r in got.itertuples():
+        want = plan["take"][r[4]] * r.size / plan["words"][r[4]]
+        assert abs(r.share - want) < 0.045, (r, want)  # four standard deviations
+    # fixed size: exactly ``take`` documents of each class, in every source
+    n_in = mixing.entered(docs, cuts, "inside").groupBy("source_key", "class").agg(F.sum(F.col("inside").cast("bigint")).alias("n_in"))
+    assert n_in.join(cuts, ["source_key", "class"]).where("n_in <> take").count() == 0
+    # unequal: longer documents of a class enter more often
+    first = got[got["class"] == got["class"].min()]
+    assert first[first["size"] >= 100].share.mean() > first[first["size"] < 100].share.mean()
+
+
+def test_repeated_rows_and_null_ids(spark):
+    rows = [(1, "a b c", "x")] * 3 + [(None, "d e", "x"), (None, "f g", "x"), (2, None, None), (3, "", None)] + [(10 + k, "w " * (5 + k), "x") for k in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    out = [tuple(r) for r in mixing.mix(docs).select("row.doc_id", "size", "taken").collect()]
+    assert len(out) == len(rows) and len({x for x in out if x[0] == 1}) == 1
+    assert sorted(x for x in out if x[0] in (2, 3)) == [(2, 0, 0), (3, 0, 0)]
+    again = [tuple(r) for r in mixing.mix(docs.repartition(3)).select("row.doc_id", "size", "taken").collect()]
+    assert sorted(out, key=repr) == sorted(again, key=repr)
