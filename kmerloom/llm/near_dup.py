@@ -1,18 +1,20 @@
 """MinHash near-dedup: chosen-path set similarity join.
 
 A document's set holds its distinct word shingles (64-bit hashes). Equal sets are one class, found by a
-128-bit digest, and only a class's representative (its smallest doc_id) goes on.
+128-bit digest, and only the class goes on. A class is known by a number of its own (half of the digest, or a
+hash of the whole where that half is not unique), never by a doc_id, so that documents that share an id stay apart.
 
 *Trees.* A representative has 128 minwise tokens. An independent tree starts at a seed; a node at
 level ``l`` picks ``branches[l]`` of the 128 coordinates by hashing its path, and a document goes on to
 the child named by the picked coordinate and its token there. Which coordinates a node picks depends on
 the path alone, so documents walk their trees without meeting. A pair of similarity ``s`` survives a tree
 with probability f(0), f(l) = 1 - (1 - s f(l + 1)) ** branches[l], f(last) = 1; trees repeat until the pair
-at the threshold is missed with at most ``1 - recall``. The number of levels grows with the number of
-documents, so that nodes of unrelated documents stay small.
+at the threshold is missed with at most ``1 - recall``, averaged over how many of the 128 tokens, which all trees
+share, the pair has in common. The number of levels grows with the number of documents, so that nodes of unrelated
+documents stay small.
 
-*Nodes.* Members of a node are compared by 128-bit sketches (one bit of each minwise token); pairs whose
-estimated similarity is more than 4.5 standard deviations under the threshold are left out. In the first round, a
+*Nodes.* Members of a node are compared by 128-bit sketches (one bit of each minwise token); pairs that differ in so
+many bits as a pair at the threshold does with a tenth of ``1 - recall`` at most are left out. In the first round, a
 member of a node of up to ``small_node`` members is paired with the first member that it may be linked
 with; in a larger node, with the first of four pivots, while the node streams by in bounded memory.
 Full sets decide these pairs, and their links give components.
@@ -24,9 +26,11 @@ still be similar enough are tested on full sets. So every possible pair of a nod
 one component, and no group of alike documents ever emits all its pairs.
 
 Defined results: null and empty texts, and texts without words, have the empty set, are linked with nothing
-and are kept; fewer words than a shingle has make one shingle; rows that repeat a doc_id have the component
-of their own text, and texts with the same representative count as linked; a null doc_id is kept and has the component of its set's class, or
-null. Extra columns are never looked at. Empty tables give empty results.
+and are kept; fewer words than a shingle has make one shingle; rows that repeat a doc_id are judged each by its own
+text; a null doc_id comes after all others and has the component of its set's class. Very long texts are whole sets like any other. In
+``near_duplicates`` a row is kept if its doc_id is its component's; ``drop_near_duplicates`` judges by row: of
+each component the row with the least (doc_id, hashes of the text) stays, once if it is repeated. Extra columns are
+never looked at and pass through. Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -36,7 +40,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kmerloom.llm import _text as T
@@ -124,13 +128,28 @@ def paths(tokens: np.ndarray, trees: int, branches: tuple[int, ...]) -> np.ndarr
 
 
 def plan_trees(n_docs: int, similarity: float, recall: float) -> tuple[int, tuple[int, ...]]:
-    """Number of trees and branches of each level: four levels up to 10 million documents, one more for each 20-fold."""
+    """Number of trees and branches of each level: four levels up to 10 million documents, one more for each 20-fold.
+
+    Nine tenths of what may be missed are the trees'.
+    """
     levels = 4 + max(0, math.ceil(math.log(max(1, n_docs) / 1e7) / math.log(20)))
     branches = tuple(2 if k % 2 == 0 else 1 for k in range(levels))
-    alive = 1.0
-    for b in reversed(branches):
-        alive = 1 - (1 - similarity * alive) ** b
-    return math.ceil(math.log(1 - recall) / math.log(1 - alive)), branches
+
+    def survives(s: float) -> float:
+        alive = 1.0
+        for b in reversed(branches):
+            alive = 1 - (1 - s * alive) ** b
+        return alive
+
+    shared = _binomial(TOKENS, similarity)
+    trees = 1
+    while sum(p * (1 - survives(k / TOKENS)) ** trees for k, p in enumerate(shared)) > 0.9 * (1 - recall):
+        trees += 1
+    return trees, branches
+
+
+def _binomial(n: int, p: float) -> list[float]:
+    return [math.comb(n, k) * p**k * (1 - p) ** (n - k) for k in range(n + 1)]
 
 
 def _profiler(width: int, trees: int, branches: tuple[int, ...]):
@@ -154,17 +173,17 @@ def _profiler(width: int, trees: int, branches: tuple[int, ...]):
                 sizes = np.where(n > 0, leaves, 0)
                 key_lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), _i64(keys.ravel()))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(i, j - i), pa.array(n.astype(np.int64)), *[_i64(np.ascontiguousarray(x)) for x in (digest[:, 0], digest[:, 1], sk[:, 0], sk[:, 1])], key_lists],
-                    ["doc_id", "n_shingles", "d1", "d2", "s1", "s2", "keys"],
+                    [*[batch.column(k).slice(i, j - i) for k in ("doc_id", "h1", "h2")], pa.array(n.astype(np.int64)), *[_i64(np.ascontiguousarray(x)) for x in (digest[:, 0], digest[:, 1], sk[:, 0], sk[:, 1])], key_lists],
+                    ["doc_id", "h1", "h2", "n_shingles", "d1", "d2", "s1", "s2", "keys"],
                 )
 
     return profile
 
 
-def _sketch_limit(similarity: float) -> int:
-    """Most differing sketch bits of a pair that may be linked."""
-    p = (1 - similarity) / 2
-    return min(TOKENS, math.floor(TOKENS * p + 4.5 * math.sqrt(TOKENS * p * (1 - p))))
+def _sketch_limit(similarity: float, recall: float) -> int:
+    """Most differing sketch bits of a pair that may be linked: at the threshold, more differ with a tenth of ``1 - recall`` at most."""
+    differ = _binomial(TOKENS, (1 - similarity) / 2)
+    return next(k for k in range(TOKENS + 1) if sum(differ[k + 1 :]) <= 0.1 * (1 - recall))
 
 
 def _comparer(limit: int, small_node: int):
@@ -297,26 +316,54 @@ def _between_components(again: DataFrame, parts: DataFrame, sets: DataFrame, per
     return stored(met.select(F.least("rep", "rep_x").alias("a"), F.greatest("rep", "rep_x").alias("b")).distinct(), "near-left")
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, recall: float = 0.999999, small_node: int = 64, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: doc_id, n_shingles, component_id (the smallest doc_id reachable by links), kept."""
+ROW = ("doc_id", "h1", "h2")
+
+
+def _same_row(x: DataFrame, y: DataFrame) -> Column:
+    return x["doc_id"].eqNullSafe(y["doc_id"]) & (x["h1"] == y["h1"]) & (x["h2"] == y["h2"])
+
+
+def _row_keys(id_col: str, text_col: str) -> list[Column]:
+    """What tells rows apart: doc_id and 128 bits of hashes of the text."""
+    return [F.col(id_col).cast("bigint").alias("doc_id"), F.xxhash64(text_col).alias("h1"), F.xxhash64(F.lit(1), F.col(text_col)).alias("h2")]
+
+
+def decide(docs: DataFrame, width: int = 5, percent: int = 80, recall: float = 0.99999, small_node: int = 64, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """Per row (doc_id, h1, h2, n_shingles, lead): ``lead`` (no_id, doc_id, h1, h2) is its component's first row, null for empty sets.
+
+    And, stored, the rows (doc_id, h1, h2) that occur more than once.
+    """
     spark = docs.sparkSession
-    lean_batches(spark)
-    plain = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
+    plain = docs.select(*_row_keys(id_col, text_col), F.col(text_col).alias("text"))
     trees, branches = plan_trees(plain.select("doc_id").count(), percent / 100, recall)
-    schema = "doc_id bigint, n_shingles bigint, d1 bigint, d2 bigint, s1 bigint, s2 bigint, keys array<bigint>"
+    limit = _sketch_limit(percent / 100, recall)
+    schema = "doc_id bigint, h1 bigint, h2 bigint, n_shingles bigint, d1 bigint, d2 bigint, s1 bigint, s2 bigint, keys array<bigint>"
     profiles = kept(plain.mapInArrow(_profiler(width, trees, branches), schema))
+    repeated = stored(profiles.groupBy(*ROW).count().where("count > 1").drop("count"), "near-repeated")
+    some_repeat = not repeated.isEmpty()
+
+    full = profiles.where("n_shingles > 0")
+    clash = stored(full.groupBy("d1").agg(F.min("d2").alias("lo"), F.max("d2").alias("hi")).where("lo <> hi").select("d1", F.lit(True).alias("clash")), "near-clash")
+    if clash.isEmpty():
+        full = full.withColumn("rep", F.col("d1"))
+    else:
+        full = full.join(small(clash)(clash), "d1", "left").withColumn("rep", F.when(F.col("clash"), F.xxhash64("d1", "d2")).otherwise(F.col("d1")))
+    row = F.struct(F.col("doc_id").isNull().alias("no_id"), *ROW)
+    classes = full.groupBy("rep").agg(F.min("s1").alias("s1"), F.min("s2").alias("s2"), F.first("keys").alias("keys"))
+    leads = stored(full.select("rep", row.alias("row")).groupBy("rep").agg(F.min("row").alias("lead")), "near-leads")
 
-    classes = profiles.where("n_shingles > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.min("s1").alias("s1"), F.min("s2").alias("s2"), F.first("keys").alias("keys")).where("rep is not null")
     nodes = classes.select(F.explode("keys").alias("key"), "rep", "s1", "s2")
     n = max(partitions(spark), spark.sparkContext.defaultParallelism)
     ordered = nodes.repartition(n, "key").sortWithinPartitions("key", "rep")
-    compared = ordered.mapInArrow(_comparer(_sketch_limit(percent / 100), small_node), "a bigint, b bigint, key bigint, rep bigint, s1 bigint, s2 bigint")
-    compared = kept(compared)
+    compared = kept(ordered.mapInArrow(_comparer(limit, small_node), "a bigint, b bigint, key bigint, rep bigint, s1 bigint, s2 bigint"))
     pairs = compared.where("a is not null").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     again = compared.where("rep is not null").select("key", "rep", "s1", "s2")
-    involved = stored(compared.select(F.explode(F.array("a", "b", "rep")).alias("rep")).where("rep is not null").distinct(), "near-involved")
-    sets = plain.withColumnRenamed("doc_id", "rep").join(small(involved, 1_000_000)(involved), "rep", "left_semi")
-    sets = kept(sets.mapInArrow(_set_writer(width), "rep bigint, members binary, n bigint, odd array<bigint>"))
+    involved = compared.select(F.explode(F.array("a", "b", "rep")).alias("rep")).where("rep is not null").distinct().join(leads, "rep").select("rep", "lead.doc_id", "lead.h1", "lead.h2")
+    involved = stored(involved, "near-involved")
+    texts = plain.join(small(involved, 1_000_000)(involved), _same_row(plain, involved)).select("rep", "text")
+    if some_repeat:
+        texts = texts.dropDuplicates(["rep"])
+    sets = kept(texts.mapInArrow(_set_writer(width), "rep bigint, members binary, n bigint, odd array<bigint>"))
 
     def tested(candidates: DataFrame) -> DataFrame:
         """Stored pairs whose full sets are similar enough."""
@@ -326,24 +373,47 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, recall:
 
     links = tested(pairs)
     parts = components(links)
-    left = _between_components(again, parts, sets, percent, _sketch_limit(percent / 100))
+    left = _between_components(again, parts, sets, percent, limit)
     if not left.isEmpty():
         parts = components(links.union(tested(left)))
 
-    linked = classes.select("d1", "d2", "rep").join(parts, F.col("rep") == F.col("id"), "left").select("d1", "d2", F.coalesce("component", "rep").alias("component_id"))
-    linked = stored(linked, "near-classes")
-    full = profiles.where("n_shingles > 0").select("doc_id", "n_shingles", "d1", "d2").join(linked, ["d1", "d2"], "left").select("doc_id", "n_shingles", "component_id")
-    empty = profiles.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return full.union(empty).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
-
-
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The documents with one (the smallest id) left of each component; all columns stay."""
-    gone = stored(near_duplicates(docs, id_col=id_col, **options).where("not kept").select(F.col("doc_id").alias("gone_id")).distinct(), "near-gone")
-    return docs.join(small(gone, 1_000_000)(gone), docs[id_col].cast("bigint") == F.col("gone_id"), "left_anti")
+    linked = parts.select(F.col("id").alias("rep"), "component").join(leads, "rep")
+    first = linked.groupBy("component").agg(F.min("lead").alias("first"))
+    named = linked.select("rep", "component").join(first, "component").select("rep", "first")
+    named = stored(leads.join(named, "rep", "left").select("rep", F.coalesce("first", "lead").alias("lead")), "near-classes")
+    found = full.select(*ROW, "n_shingles", "rep").join(named, "rep", "left").select(*ROW, "n_shingles", "lead")
+    empty = profiles.where("n_shingles = 0").select(*ROW, "n_shingles", F.lit(None).cast(found.schema["lead"].dataType).alias("lead"))
+    return found.union(empty), repeated
+
+
+def near_duplicates(docs: DataFrame, **options) -> DataFrame:
+    """Per row: doc_id, n_shingles, component_id (the smallest doc_id reachable by links), kept. Options: see :func:`decide`."""
+    rows, _ = decide(docs, **options)
+    component = F.when(F.col("lead").isNull(), F.col("doc_id")).otherwise(F.col("lead.doc_id"))
+    return rows.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The documents with one row left of each component; all columns stay."""
+    rows, repeated = decide(docs, id_col=id_col, text_col=text_col, **options)
+    own = F.struct(F.col("doc_id").isNull().alias("no_id"), *ROW)
+    gone = rows.where(F.col("lead").isNotNull() & (F.col("lead") != own)).select(*ROW).distinct()
+    full = rows.where(F.col("lead").isNotNull() & (F.col("lead") == own)).select(*ROW)
+    once = None
+    if not repeated.isEmpty():
+        once = stored(repeated.join(full.distinct(), _same_row(repeated, full), "left_semi"), "near-once")
+        gone = gone.union(once)
+    gone = stored(gone, "near-gone")
+    keyed = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("document"), *_row_keys(id_col, text_col))
+    left = keyed.join(small(gone, 1_000_000)(gone), _same_row(keyed, gone), "left_anti").select("document")
+    if once is not None:
+        twice = keyed.join(once, _same_row(keyed, once), "left_semi")
+        left = left.union(twice.groupBy(*ROW).agg(F.min_by("document", F.xxhash64("document")).alias("document")).select("document"))
+    return left.select("document.*")
 
 
 def op10_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lean_batches(spark)
     return near_duplicates(table(spark, sf_dir, "documents"), width=2)
 
 
