@@ -16,7 +16,7 @@ number ``u`` from a digest of the document's id, documents rank by ``(u / (1 - u
 with ``p`` of at least 1 are certain. The first round aims at 15/16 of what is short, the second samples the
 documents that are left for the rest, so that the sizes of the sampled documents hardly matter for the total.
 
-Scale. The k-th rank of a class comes from a histogram of the ranks (``2**12`` bins, counted before any
+Scale. The k-th rank of a class comes from a histogram of the ranks (``2**9`` bins for each class, counted before any
 shuffle); only the documents of one bin per class are ever put in order. The table of sources, one row
 each, is ordered in one task; a source's classes (at most 500) are planned in one row.
 
@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from kmerloom.llm._common import kept, small, stored, table
 
 WORD = r"[^\x20\x09-\x0D]+"
-BINS = 1 << 12
+BINS = 1 << 9
 SEED = 17
 #: What each round aims at, as a share of what is short when it begins.
 AIMS = (0.9375, 1.0)
