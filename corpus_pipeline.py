@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir) and all that its predecessor kept, written as Parquet and read
 again. All but the last return the columns of documents.
+
+Defined results, as the operators state them: null and empty texts are clean, lose no line, are linked with nothing, hold no
+benchmark window and are mixed with size 0; texts of any length are read whole; repeated rows are one document after the third
+stage; ties go to the least doc_id, then to a hash of the text; null columns stay null; empty tables give empty results. Further columns
+pass through whatever their names.
 """
 
 from __future__ import annotations
@@ -10,33 +15,38 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kmerloom.llm import decontaminate, line_dedup, mixing, near_dup, toxicity
-from kmerloom.llm._common import stored, table
+from kmerloom.llm._common import lean_batches, stored, table
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the ordinal model finds toxic go."""
+    lean_batches(spark)
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
     return toxicity.grade_toxicity(docs, model).where("not toxic").select("row.*")
 
 
 def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that are boilerplate of their source go; all documents stay."""
+    lean_batches(spark)
     out = line_dedup.line_dedup(docs).select("row.*")
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays (shingles of five words, similarity 0.8)."""
+    lean_batches(spark)
     return near_dup.drop_near_duplicates(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a benchmark window go."""
+    lean_batches(spark)
     return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents with size, source_size, target and taken."""
+    lean_batches(spark)
     return mixing.mix(docs).select("row.*", "size", "source_size", "target", "taken")
 
 
