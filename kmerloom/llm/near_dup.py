@@ -16,7 +16,7 @@ documents stay small.
 *Nodes.* Members of a node are compared by 128-bit sketches (one bit of each minwise token); pairs that differ in so
 many bits as a pair at the threshold does with a tenth of ``1 - recall`` at most are left out. In the first round, a
 member of a node of up to ``small_node`` members is paired with the first member that it may be linked
-with; in a larger node, with the first of four pivots, while the node streams by in bounded memory.
+with; in a larger node, with the nearest of 64 pivots, while the node streams by in bounded memory.
 Full sets decide these pairs, and their links give components.
 
 *Second round.* Nodes with further possible pairs are looked at again with the components known: each
@@ -48,7 +48,7 @@ from kmerloom.llm._common import kept, lean_batches, partitions, small, stored,
 from kmerloom.llm.graph import components
 
 TOKENS = 128
-PIVOTS = 4
+PIVOTS = 64
 ODD_WORDS = 16
 _seeds = np.random.Generator(np.random.PCG64(77))
 TOKEN_MUL = _seeds.integers(1, 1 << 63, TOKENS, dtype=np.uint64) * T.U64(2) + T.U64(1)
@@ -235,12 +235,15 @@ def _comparer(limit: int, small_node: int):
             yield result(pairs, again)
 
     def against(pairs: list, reps: np.ndarray, sketches: np.ndarray, node: list) -> None:
+        """Each member with its nearest pivot."""
         sk = np.stack(node[2:], 1).view(np.uint64)
-        open_ = np.ones(len(sk), bool)
+        best, away = np.zeros(len(sk), np.int64), np.full(len(sk), limit + 1)
         for rep, own in zip(reps, sketches):
-            ok = open_ & (apart(sk, own) <= limit) & (node[1] != rep)
-            pairs.append((np.full(ok.sum(), rep), node[1][ok]))
-            open_ &= ~ok
+            d = np.where(node[1] == rep, limit + 1, apart(sk, own))
+            nearer = d < away
+            best[nearer], away[nearer] = rep, d[nearer]
+        ok = away <= limit
+        pairs.append((best[ok], node[1][ok]))
 
     def in_small(pairs: list, again: list, now: list, sk: np.ndarray, begin: np.ndarray, size: np.ndarray) -> None:
         rep, place = now[1], np.arange(len(now[0])) - np.repeat(begin, size)
