@@ -1,19 +1,22 @@
 """Benchmark decontamination by Wu-Manber multi-pattern search over words.
 
 Patterns are the windows of 10 consecutive benchmark words (an item with fewer words is one
-window). For each pattern length the classical tables are built once: a block shift table (block of
-two words) that says how far a search position may move, and suffix-hash buckets that list the
+window); equal windows are one pattern with the list of its items. For each pattern length the classical tables are built once: a
+block shift table (block of two words) that says how far a search position may move, and suffix-hash buckets that list the
 patterns whose last block has that hash. Documents are cut into overlapping lanes; all lanes of a
 chunk advance together, each by its own shift, so that impossible positions are never looked at.
-Positions with shift 0 look up their bucket, and a direct comparison of all words confirms.
+Positions with shift 0 look up their bucket, and a direct comparison of all words confirms, by word number and
+then byte by byte.
 
-The pattern tables are broadcast only up to ``max_block_bytes`` of benchmark text. A larger
-benchmark is dealt into blocks by item, searched one after another, each pass adding its hits to
-what the earlier ones found (written to the shared folder in between).
+Patterns are places in one array of word numbers, and the hash tables have at most ``2**22`` entries, so that the tables of a
+block of benchmark text are a small multiple of its bytes (``Patterns.nbytes``). They are broadcast only up to ``max_block_bytes`` of benchmark
+text. A larger benchmark is dealt into blocks by item, searched one after another; each pass stores only the texts with hits (by 128
+bits of hashes of the text), which are joined at the end.
 
 Defined results: a null or empty text has no words (all counts 0); null item texts or items without
 words are never found; repeated document rows give repeated result rows; items that repeat an id
-count once; null item ids are ignored. Extra columns are never looked at.
+count once; null item ids are ignored. Very long texts are searched whole, a text over 1 MiB as a chunk of its own. Extra columns are
+never looked at. Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -29,28 +32,59 @@ from kmerloom.llm import _text as T
 from kmerloom.llm._common import bytes_of, lean_batches, stored, table
 
 LANE = 256
-STATE = "doc_id {id}, text string, n_words bigint, hits array<bigint>, items array<string>"
+MOST_BITS = 22
+_BLOCK = T.U64(0xD6E8FEB86659FD93)
+
+
+def _block_hash(codes: np.ndarray, block: int, bits: int) -> np.ndarray:
+    """Hash of the block of words that ends at each place."""
+    h = codes.astype(np.uint64)
+    if block == 2 and len(h):
+        h[1:] += codes[:-1].astype(np.uint64) * _BLOCK
+    return (T.mix(h) >> T.U64(64 - bits)).astype(np.int32)
+
+
+def _ranges(first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """first[0], first[0] + 1, ... for each of the ranges, one after another."""
+    return np.repeat(first - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
 
 
 class WuManber:
-    """Tables for patterns of one length: ``patterns`` is (n, m) word codes, ``owner`` the item of each."""
-
-    def __init__(self, patterns: np.ndarray, owner: np.ndarray):
-        self.patterns, self.owner, self.m = patterns, owner, patterns.shape[1]
-        self.block = min(2, self.m)
-        self.bits = max(12, int(np.ceil(np.log2(max(1, patterns.size)))) + 4)
-        self.shift = np.full(1 << self.bits, self.m - self.block + 1, np.int64)
-        for end in range(self.block - 1, self.m):
-            np.minimum.at(self.shift, self._hash(patterns, end), self.m - 1 - end)
-        suffix = self._hash(patterns, self.m - 1)
-        self.order = np.argsort(suffix, kind="stable")
-        self.bucket = np.searchsorted(suffix[self.order], np.arange((1 << self.bits) + 1))
-
-    def _hash(self, words: np.ndarray, at: int) -> np.ndarray:
-        h = words[:, at].astype(np.uint64)
-        if self.block == 2:
-            h = h + words[:, at - 1].astype(np.uint64) * T.U64(0xD6E8FEB86659FD93)
-        return (T.mix(h) >> T.U64(64 - self.bits)).astype(np.int64)
+    """Tables for patterns of ``m`` words that start at the places ``at`` in ``codes``; ``owner`` is the item of each."""
+
+    def __init__(self, codes: np.ndarray, at: np.ndarray, owner: np.ndarray, m: int):
+        self.codes, self.m, self.block = codes, m, min(2, m)
+        self.bits = min(MOST_BITS, max(12, int(np.ceil(np.log2(max(1, len(at) * m)))) + 4))
+        # equal windows are one pattern
+        h = np.zeros(len(at), np.uint64)
+        for k in range(m):
+            h = T.mix(h * T.U64(0x9FB21C651E98DF25) + codes[at + k].astype(np.uint64))
+        order = np.lexsort((owner, h))
+        at, owner, h = at[order], owner[order], h[order]
+        new = np.ones(len(at), bool)
+        new[1:] = h[1:] != h[:-1]
+        for k in range(m):
+            new[1:] |= codes[at[1:] + k] != codes[at[:-1] + k]
+        pattern = np.cumsum(new) - 1
+        twice = np.zeros(len(at), bool)
+        twice[1:] = ~new[1:] & (owner[1:] == owner[:-1])
+        self.owner, self.owners_begin = owner[~twice], np.append(np.flatnonzero(new[~twice]), (~twice).sum()).astype(np.int32)
+        self.at = at[new]
+        del pattern, h, order
+        blocks = _block_hash(codes, self.block, self.bits)
+        self.shift = np.full(1 << self.bits, m - self.block + 1, np.int8 if m < 120 else np.int32)
+        for end in range(self.block - 1, m):  # later ends have smaller shifts
+            self.shift[blocks[self.at + end]] = m - 1 - end
+        suffix = blocks[self.at + m - 1]
+        order = np.argsort(suffix, kind="stable")
+        self.at, sizes = self.at[order], np.diff(self.owners_begin)[order]
+        self.owner = self.owner[_ranges(self.owners_begin[:-1][order].astype(np.int64), sizes)]
+        self.owners_begin = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+        self.bucket = np.zeros((1 << self.bits) + 1, np.int32)
+        np.cumsum(np.bincount(suffix, minlength=1 << self.bits), out=self.bucket[1:])
+
+    def nbytes(self) -> int:
+        return sum(x.nbytes for x in (self.at, self.owner, self.owners_begin, self.shift, self.bucket))
 
     def search(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Start positions and pattern numbers of all occurrences in a sequence of word codes."""
@@ -58,10 +92,7 @@ class WuManber:
         none = np.zeros(0, np.int64)
         if n < m:
             return none, none
-        h = codes.astype(np.uint64)
-        if self.block == 2:
-            h = np.concatenate([h[:1], h[1:] + h[:-1] * T.U64(0xD6E8FEB86659FD93)])
-        h = (T.mix(h) >> T.U64(64 - self.bits)).astype(np.int64)
+        h = _block_hash(codes, self.block, self.bits)
         pos = np.arange(m - 1, n, LANE, dtype=np.int64)
         stop = np.minimum(pos + LANE, n)
         found = []
@@ -76,59 +107,77 @@ class WuManber:
         if not found:
             return none, none
         ends = np.concatenate(found)
-        lo = self.bucket[h[ends]]
+        lo = self.bucket[h[ends]].astype(np.int64)
         size = self.bucket[h[ends] + 1] - lo
-        at = np.repeat(ends, size) - m + 1
-        within = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-        which = self.order[np.repeat(lo, size) + within]
+        at, which = np.repeat(ends, size) - m + 1, _ranges(lo, size)
         for k in range(m):  # direct comparison, word by word
-            same = codes[at + k] == self.patterns[which, k]
+            same = codes[at + k] == self.codes[self.at[which] + k]
             at, which = at[same], which[same]
         return at, which
 
+    def items(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Items of the patterns, and how many each has."""
+        first = self.owners_begin[which].astype(np.int64)
+        size = self.owners_begin[which + 1] - first
+        return self.owner[_ranges(first, size)], size
+
 
 class Patterns:
-    """All windows of a block of benchmark items, by length; words are known by number."""
+    """All windows of a block of benchmark items (ids and texts), by length; words are known by number."""
 
-    def __init__(self, items: list[tuple[str, str]], window: int):
-        self.ids = sorted({i for i, _ in items})
+    def __init__(self, ids: list[str], texts: pa.Array, window: int):
+        self.ids = sorted(set(ids))
         number = {x: k for k, x in enumerate(self.ids)}
-        self.vocabulary: dict[bytes, int] = {}
-        by_length: dict[int, list[tuple[list[int], int]]] = {}
-        for item, text in items:
-            data = np.frombuffer(text.encode(), np.uint8)
-            if not len(data):
-                continue
-            data = T.LOWER[data]
-            starts, ends, _ = T.words(data, np.array([0, len(data)]), T.ALNUM)
-            raw = data.tobytes()
-            codes = [self.vocabulary.setdefault(raw[s:e], len(self.vocabulary) + 1) for s, e in zip(starts, ends)]
-            m = min(window, len(codes))
-            for k in range(len(codes) - m + 1 if m else 0):
-                by_length.setdefault(m, []).append((codes[k : k + m], number[item]))
-        spelled = sorted(self.vocabulary.items(), key=lambda x: x[1])
-        joined = b"".join(w for w, _ in spelled)
-        ends = np.cumsum([len(w) for w, _ in spelled], dtype=np.int64)
-        starts = ends - np.array([len(w) for w, _ in spelled], np.int64)
-        hashes = T.word_hashes(np.frombuffer(joined, np.uint8), starts, ends) if spelled else np.zeros(0, np.uint64)
-        self.order = np.argsort(hashes)
-        self.hashes, self.joined, self.starts, self.ends = hashes[self.order], joined, starts, ends
-        self.tables = [WuManber(np.array([p for p, _ in x], np.int64), np.array([o for _, o in x])) for _, x in sorted(by_length.items())]
-
-    def codes(self, hashes: np.ndarray) -> np.ndarray:
-        """Word numbers by hash, 0 for words outside the benchmark (checked by 64-bit hash)."""
+        item = np.array([number[x] for x in ids], np.int32)
+        data, offsets = T.utf8(texts)
+        data, offsets = T.LOWER[data[offsets[0] : offsets[-1]]], offsets - offsets[0]
+        found = []
+        for i, j in T.runs(offsets):
+            lo = offsets[i]
+            part = data[lo : offsets[j]]
+            starts, ends, doc = T.words(part, offsets[i : j + 1] - lo, T.ALNUM)
+            found.append((starts + lo, ends + lo, (doc + i).astype(np.int32), T.word_hashes(part, starts, ends)))
+        starts, ends, doc, hashes = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, t) for t in (np.int64, np.int64, np.int32, np.uint64))
+        del found
+        self.hashes, first, codes = np.unique(hashes, return_index=True, return_inverse=True)
+        codes = (codes + 1).astype(np.int32)
+        del hashes
+        spelled = [data[s:e].tobytes() for s, e in zip(starts[first].tolist(), ends[first].tolist())]
+        self.joined = np.frombuffer(b"".join(spelled), np.uint8)
+        size = np.array([len(w) for w in spelled], np.int64)
+        self.ends = np.cumsum(size)
+        self.starts = self.ends - size
+        if not self.alike(data, starts, ends, codes).all():
+            raise ValueError("two benchmark words have the same 64-bit hash")
+        del starts, ends
+        count = np.bincount(doc, minlength=len(ids))
+        begin = np.cumsum(count) - count
+        m = np.minimum(count, window)
+        n_windows = np.where(count > 0, count - m + 1, 0)
+        at = _ranges(begin, n_windows).astype(np.int32)
+        owner, length = np.repeat(item, n_windows), np.repeat(m, n_windows)
+        self.codes = codes
+        self.tables = [WuManber(codes, at[length == k], owner[length == k], int(k)) for k in np.unique(length)]
+
+    def nbytes(self) -> int:
+        return sum(x.nbytes for x in (self.codes, self.hashes, self.joined, self.starts, self.ends)) + sum(t.nbytes() for t in self.tables)
+
+    def numbers(self, hashes: np.ndarray) -> np.ndarray:
+        """Word numbers by hash, 0 for words outside the benchmark."""
         if not len(self.hashes):
-            return np.zeros(len(hashes), np.int64)
+            return np.zeros(len(hashes), np.int32)
         k = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
-        return np.where(self.hashes[k] == hashes, self.order[k] + 1, 0)
+        return np.where(self.hashes[k] == hashes, k + 1, 0).astype(np.int32)
 
-    def spelled_alike(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, codes: np.ndarray) -> np.ndarray:
-        """Whether each word is, byte for byte, the vocabulary's word of that number."""
+    def alike(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """Whether each word is, byte for byte, the benchmark's word of that number."""
         c = codes - 1
-        same = (ends - starts) == (self.ends[c] - self.starts[c])
-        raw = data.tobytes() if len(c) else b""
-        for i in np.flatnonzero(same):
-            same[i] = raw[starts[i] : ends[i]] == self.joined[self.starts[c[i]] : self.ends[c[i]]]
+        size = ends - starts
+        same = size == self.ends[c] - self.starts[c]
+        for part in np.array_split(np.flatnonzero(same), 1 + int(size[same].sum()) // T.CHUNK):
+            own = size[part]
+            differ = data[_ranges(starts[part], own)] != self.joined[_ranges(self.starts[c[part]], own)]
+            same[part[np.repeat(np.arange(len(part)), own)[differ]]] = False
         return same
 
 
@@ -141,13 +190,11 @@ def _merge(spans: np.ndarray) -> np.ndarray:
     return np.stack([spans[first, 0], reach[np.concatenate([first[1:] - 1, [len(spans) - 1]])]], 1)
 
 
-def _searcher(patterns, keep_text: bool):
+def _searcher(patterns, only_hits: bool):
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p: Patterns = patterns.value
         for batch in batches:
             data, offsets = T.utf8(batch.column("text"))
-            before = batch.column("hits").to_pylist() if "hits" in batch.schema.names else None
-            known = batch.column("items").to_pylist() if before is not None else None
             counts, hits, items = [], [], []
             for i, j in T.runs(offsets):
                 lo = offsets[i]
@@ -156,11 +203,11 @@ def _searcher(patterns, keep_text: bool):
                 n = np.bincount(doc, minlength=j - i)
                 counts.append(n)
                 base = np.cumsum(n) - n
-                codes = p.codes(T.word_hashes(part, starts, ends))
+                codes = p.numbers(T.word_hashes(part, starts, ends))
                 spans: list[list] = [[] for _ in range(j - i)]
-                owners: list[set] = [set() for _ in range(j - i)]
+                owners: list[list] = [[] for _ in range(j - i)]
                 # a gap of code -1 between documents, so that no window crosses them
-                spread = np.full(len(codes) + j - i, -1, np.int64)
+                spread = np.full(len(codes) + j - i, -1, np.int32)
                 spread[np.arange(len(codes)) + doc] = codes
                 for t in p.tables:
                     at, which = t.search(spread)
@@ -169,45 +216,63 @@ def _searcher(patterns, keep_text: bool):
                     if len(w):
                         at_words = (w[:, None] + np.arange(t.m)).ravel()
                         seen, back = np.unique(at_words, return_inverse=True)
-                        good = p.spelled_alike(part, starts[seen], ends[seen], codes[seen])[back].reshape(-1, t.m).all(1)
+                        good = p.alike(part, starts[seen], ends[seen], codes[seen])[back].reshape(-1, t.m).all(1)
                         d, w, which = d[good], w[good], which[good]
                     for k in np.unique(d):
                         own = d == k
                         s = w[own] - base[k]
                         spans[k].append(np.stack([s, s + t.m], 1))
-                        owners[k].update(t.owner[which[own]].tolist())
+                        owners[k].append(np.unique(t.items(np.unique(which[own]))[0]))
                 for k in range(j - i):
-                    found = spans[k]
-                    names = {p.ids[x] for x in owners[k]}
-                    if before is not None and before[i + k]:
-                        found = [*found, np.array(before[i + k]).reshape(-1, 2)]
-                        names |= set(known[i + k])
-                    hits.append(_merge(np.concatenate(found)).ravel().tolist() if found else [])
-                    items.append(sorted(names))
+                    hits.append(_merge(np.concatenate(spans[k])).ravel().tolist() if spans[k] else [])
+                    items.append(sorted(p.ids[x] for x in np.unique(np.concatenate(owners[k]))) if owners[k] else [])
             n_words = np.concatenate(counts) if counts else np.zeros(0, np.int64)
-            text = batch.column("text") if keep_text else pa.nulls(len(batch), pa.string())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), text, pa.array(n_words, pa.int64()), pa.array(hits, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.string()))], ["doc_id", "text", "n_words", "hits", "items"])
+            names = [c for c in batch.schema.names if c != "text"]
+            out = pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], pa.array(n_words, pa.int64()), pa.array(hits, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.string()))], [*names, "n_words", "hits", "items"])
+            yield out.filter(pa.array([len(h) > 0 for h in hits], pa.bool_())) if only_hits else out
 
     return search
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_block_bytes: int = 32 << 20) -> DataFrame:
+def _merger(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Unites the hits and items of all blocks."""
+    for batch in batches:
+        hits, items = [], []
+        for h, more, known, others in zip(*(batch.column(c).to_pylist() for c in ("hits", "more_hits", "items", "more_items"))):
+            both = np.array([*h, *(more or ())], np.int64).reshape(-1, 2)
+            hits.append(_merge(both).ravel().tolist() if len(both) else [])
+            items.append(sorted({*known, *(others or ())}))
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_words"), pa.array(hits, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.string()))], ["doc_id", "n_words", "hits", "items"])
+
+
+RESULT = "n_words bigint, hits array<bigint>, items array<string>"
+
+
+def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_block_bytes: int = 16 << 20) -> DataFrame:
     """Per document: doc_id, n_words, hits (flat start, end word spans, merged), items (ids as strings, sorted)."""
     spark = docs.sparkSession
-    lean_batches(spark)
     bench = benchmark.select(F.col("item_id").cast("string").alias("item"), F.coalesce("text", F.lit("")).alias("text")).where("item is not null")
-    size = bytes_of(bench, F.col("text"))
-    n_blocks = max(1, -(-size // max_block_bytes))
-    state = docs.select("doc_id", "text")
-    schema = STATE.format(id=docs.schema["doc_id"].dataType.simpleString())
-    for b in range(n_blocks):
-        block = bench if n_blocks == 1 else bench.where(F.pmod(F.xxhash64("item"), F.lit(n_blocks)) == b)
-        patterns = spark.sparkContext.broadcast(Patterns([tuple(r) for r in block.collect()], window))
-        last = b == n_blocks - 1
-        state = state.mapInArrow(_searcher(patterns, not last), schema)
-        if not last:
-            state = stored(state, "decontaminate")
-    return state.drop("text")
+    n_blocks = max(1, -(-bytes_of(bench, F.col("text")) // max_block_bytes))
+
+    def tables(b: int):
+        block = (bench if n_blocks == 1 else bench.where(F.pmod(F.xxhash64("item"), F.lit(n_blocks)) == b)).toArrow()
+        return spark.sparkContext.broadcast(Patterns(block.column("item").to_pylist(), pa.concat_arrays([c.cast(pa.large_string()) for c in block.column("text").chunks] or [pa.array([], pa.large_string())]), window))
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    if n_blocks == 1:
+        return docs.select("doc_id", "text").mapInArrow(_searcher(tables(0), False), f"doc_id {kind}, {RESULT}")
+    keyed = docs.select("doc_id", F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2"), "text")
+    more = None
+    for b in range(1, n_blocks):
+        own = tables(b)
+        found = stored(keyed.drop("doc_id").mapInArrow(_searcher(own, True), f"h1 bigint, h2 bigint, {RESULT}").select("h1", "h2", "hits", "items").hint("rebalance"), "decontaminate")
+        own.destroy()
+        more = found if more is None else more.union(found)
+    # repeated texts have the same hits
+    more = more.groupBy("h1", "h2").agg(F.flatten(F.collect_set("hits")).alias("more_hits"), F.flatten(F.collect_set("items")).alias("more_items"))
+    first = keyed.mapInArrow(_searcher(tables(0), False), f"doc_id {kind}, h1 bigint, h2 bigint, {RESULT}")
+    joined = first.join(more, ["h1", "h2"], "left").select("doc_id", "n_words", "hits", "items", "more_hits", "more_items")
+    return joined.mapInArrow(_merger, f"doc_id {kind}, {RESULT}")
 
 
 def contamination_report(found: DataFrame) -> DataFrame:
@@ -236,6 +301,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame
 
 
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lean_batches(spark)
     return contamination_report(find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 

@@ -1,6 +1,10 @@
 import hashlib
 import re
 
+import numpy as np
+import pyarrow as pa
+from conftest import prose
+
 from kmerloom.llm import decontaminate as dc
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -51,9 +55,41 @@ def test_filter_keeps_clean_documents(spark, odd, empty):
 
 
 def test_wu_manber_tables_skip():
-    import numpy as np
-
-    t = dc.WuManber(np.array([[1, 2, 3, 4, 5, 6, 7, 8, 9, 10]]), np.array([0]))
+    t = dc.WuManber(np.arange(11, dtype=np.int32), np.array([1], np.int32), np.array([7], np.int32), 10)
     assert t.shift.max() == 9 and t.shift.min() == 0
-    at, which = t.search(np.array([0, 0, 1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 1, 2]))
-    assert at.tolist() == [2] and which.tolist() == [0]
+    at, which = t.search(np.array([0, 0, 1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 1, 2], np.int32))
+    assert at.tolist() == [2] and which.tolist() == [0] and t.items(which)[0].tolist() == [7]
+
+
+def test_equal_windows_are_one_pattern():
+    passage = " ".join(f"w{k}" for k in range(12))
+    p = dc.Patterns([str(k) for k in range(500)], pa.array([passage] * 500, pa.large_string()), 10)
+    (t,) = p.tables
+    assert len(t.at) == 3 and len(t.owner) == 1500
+
+
+def test_tables_are_a_small_multiple_of_the_text():
+    """4 MB of benchmark: the tables stay under 12 bytes per byte, whatever is fixed included."""
+    r = np.random.default_rng(4)
+    words = np.array([f"w{k:x}" for k in range(40_000)])
+    texts = [" ".join(words[r.integers(0, 40_000, 400)]) for _ in range(1700)]
+    size = sum(len(x) for x in texts)
+    p = dc.Patterns([str(k) for k in range(len(texts))], pa.array(texts, pa.large_string()), 10)
+    assert size > 3_500_000 and p.nbytes() < 12 * size
+    probe = texts[5].split()[100:140]
+    data = np.frombuffer((" ".join(["zz", *probe, "zz"])).encode(), np.uint8)
+    starts, ends, _ = dc.T.words(data, np.array([0, len(data)]), dc.T.ALNUM)
+    at, which = p.tables[0].search(p.numbers(dc.T.word_hashes(data, starts, ends)))
+    assert sorted(at.tolist()) == list(range(1, 32)) and {p.ids[x] for x in p.tables[0].items(which)[0]} == {"5"}
+
+
+def test_a_text_over_a_chunk(spark):
+    """A window at the very end of a text of over 1 MiB is found."""
+    window = " ".join(f"needle{k}" for k in range(10))
+    long = prose(5, 250_000, 40_000) + " " + window
+    assert len(long.encode()) > 1 << 20
+    docs = spark.createDataFrame([(1, long), (2, "x " + window + " y")], "doc_id bigint, text string")
+    bench = spark.createDataFrame([(1, window)], "item_id bigint, text string")
+    got = {r.doc_id: (r.n_words, list(r.hits)) for r in dc.find_contamination(docs, bench).collect()}
+    n = len(words(long))
+    assert got == {1: (n, [n - 10, n]), 2: (12, [1, 11])}
