@@ -52,10 +52,24 @@ def window_starts(length: Column, rule: str = "cpu", width: int = WINDOW, slide:
     return F.when(last >= 0, F.sequence(F.lit(0), F.greatest(last, F.lit(0)), F.lit(slide))).otherwise(F.array().cast("array<int>"))
 
 
+def bound(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, however often a lambda refers to it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def windows(df: DataFrame, seq_col: str = "sequence", rule: str = "cpu", width: int = WINDOW, slide: int = SLIDE) -> DataFrame:
-    """One row per window: all columns, window_start (0-based), window."""
+    """One row per window: all columns, window_start (0-based), window.
+
+    Windows are cut before they become rows, by byte offsets where the sequence is ASCII, so no row carries the whole sequence.
+    """
     starts = window_starts(F.length(seq_col), rule, width, slide)
-    return df.withColumn("window_start", F.explode(starts)).withColumn("window", F.substring(F.col(seq_col), F.col("window_start") + 1, F.lit(width)))
+
+    def cut(whole: Column) -> Column:
+        return bound(whole, lambda s: F.transform(starts, lambda x: F.struct(x.alias("window_start"), F.substring(s, x + 1, F.lit(width)).cast("string").alias("window"))))
+
+    ascii_only = F.length(seq_col) == F.octet_length(seq_col)
+    found = F.when(ascii_only, cut(F.col(seq_col).cast("binary"))).otherwise(cut(F.col(seq_col)))
+    return df.select("*", F.inline(found))
 
 
 def nmers(spark: SparkSession, n: int) -> DataFrame:

@@ -11,33 +11,42 @@ RESULT = "struct<start:int,end:int,min_errors:int,aligned_reference:string,symbo
 GAP = "-"
 
 
-def _costs(reference: str, query: str) -> np.ndarray:
-    """Edit costs of each query prefix against references that end at each place.
+def _costs(reference: str, query: str) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
+    """Edit costs of the whole query against references that end at each place, and for each query prefix two bits a place.
 
-    A row follows from the one above; the left-to-right insertions of a row are a running minimum of cost - place.
+    The bits say whether a cost is one more than the one above, and one more than the one to the left. A row follows from the one
+    above; the left-to-right insertions of a row are a running minimum of cost - place. Only two rows of costs are held.
     """
     r = np.frombuffer(reference.encode("utf-32-le"), np.uint32)
     q = np.frombuffer(query.encode("utf-32-le"), np.uint32)
     places = np.arange(len(r) + 1)
-    table = np.zeros((len(q) + 1, len(r) + 1), np.int32)
+    above = np.zeros(len(r) + 1, np.int64)
+    ups, lefts = [], []
     for i, symbol in enumerate(q, 1):
-        row = np.empty(len(r) + 1, np.int32)
+        row = np.empty(len(r) + 1, np.int64)
         row[0] = i
-        row[1:] = np.minimum(table[i - 1, 1:] + 1, table[i - 1, :-1] + (r != symbol))
-        table[i] = np.minimum.accumulate(row - places) + places
-    return table
+        row[1:] = np.minimum(above[1:] + 1, above[:-1] + (r != symbol))
+        row = np.minimum.accumulate(row - places) + places
+        ups.append(np.packbits(row == above + 1))
+        lefts.append(np.packbits(np.concatenate([[False], row[1:] == row[:-1] + 1])))
+        above = row
+    return above, ups, lefts
+
+
+def _bit(bits: np.ndarray, at: int) -> bool:
+    return bool(bits[at >> 3] >> (7 - (at & 7)) & 1)
 
 
 def align(reference: str, query: str) -> dict:
     """First end with the fewest errors; on the way back a query symbol alone comes before a reference symbol alone, before a pair."""
-    table = _costs(reference, query)
-    j = end = int(table[-1].argmin())
+    costs, ups, lefts = _costs(reference, query)
+    j = end = int(costs.argmin())
     i = len(query)
     steps: list[tuple[str, str]] = []
     while i:
-        if table[i, j] == table[i - 1, j] + 1:
+        if _bit(ups[i - 1], j):
             i, pair = i - 1, (GAP, query[i - 1])
-        elif j and table[i, j] == table[i, j - 1] + 1:
+        elif j and _bit(lefts[i - 1], j):
             j, pair = j - 1, (reference[j - 1], GAP)
         else:
             i, j, pair = i - 1, j - 1, (reference[j - 1], query[i - 1])
@@ -47,7 +56,7 @@ def align(reference: str, query: str) -> dict:
     return {
         "start": j,
         "end": end,
-        "min_errors": int(table[-1, end]),
+        "min_errors": int(costs[end]),
         "aligned_reference": "".join(a for a, _ in steps),
         "symbols": "".join(sign(a, b) for a, b in steps),
         "aligned_query": "".join(b for _, b in steps),

@@ -87,6 +87,29 @@ def norms(lists: list[np.ndarray]) -> np.ndarray:
     return ((c @ g) * c).sum(1)
 
 
+_padded: dict[str, np.ndarray] = {}
+
+
+def window_norms(ids: np.ndarray, starts: np.ndarray, per: int) -> np.ndarray:
+    """Squared lengths of the windows of ``per`` k-mers that start at ``starts``: running sums of G along its diagonals.
+
+    An unknown k-mer (-1) is a row of zeros. All sums are integers below 2**53.
+    """
+    if not len(starts):
+        return np.zeros(0)
+    if "g" not in _padded:
+        g = hv.gram()
+        _padded["g"] = np.pad(g, ((0, 1), (0, 1)))
+    g, n = _padded["g"], len(_padded["g"])
+    rows = np.where(ids < 0, n - 1, ids).astype(np.int64)
+    flat, base = g.ravel(), rows * n
+    out = np.zeros(len(starts))
+    for lag in range(min(per, len(ids))):
+        total = np.concatenate([[0.0], np.cumsum(flat[base[: len(ids) - lag] + rows[lag:]])])
+        out += (total[starts + per - lag] - total[starts]) * (2 if lag else 1)
+    return out
+
+
 def encode_sequences(df: DataFrame, seq_col: str = "sequence") -> DataFrame:
     """All columns plus ids (array<smallint>) and norm2 (bigint) of the whole sequence. Null encodes as empty."""
 
@@ -108,12 +131,20 @@ def encode_windows(df: DataFrame, seq_col: str = "sequence", rule: str = "cpu",
         for batch in batches:
             for lo in range(0, len(batch), 256):
                 part = batch.slice(lo, 256)
-                rows, starts, ids = [], [], []
+                rows, starts, ids, lengths = [], [], [], []
                 for r, s in enumerate(_bytes(part.column(seq_col))):
-                    for t, own in window_lists(sequence_ids(s), len(s), rule, mode):
-                        rows.append(r), starts.append(t), ids.append(own)
-                kept = [part.column(c).take(pa.array(rows, pa.int64())) for c in rest]
-                yield pa.RecordBatch.from_arrays([*kept, pa.array(starts, pa.int32()), _lists(ids), pa.array(norms(ids).astype(np.int64))], [*rest, "window_start", "ids", "norm2"])
+                    every = sequence_ids(s)
+                    own = window_lists(every, len(s), rule, mode)
+                    if not own:
+                        continue
+                    at = np.array([t for t, _ in own])
+                    rows.append(np.full(len(own), r)), starts.append(at), ids.extend(x for _, x in own)
+                    plain = mode == "direct" and len(every) >= len(own[0][1]) > 0 and (len(own) == 1 or len(own[-1][1]) == len(own[0][1]))
+                    lengths.append(window_norms(every, at, len(own[0][1])) if plain else norms([x for _, x in own]))
+                row = pa.array(np.concatenate(rows) if rows else np.zeros(0, np.int64))
+                flat = [np.concatenate(x) if x else np.zeros(0) for x in (starts, lengths)]
+                kept = [part.column(c).take(row) for c in rest]
+                yield pa.RecordBatch.from_arrays([*kept, pa.array(flat[0].astype(np.int32)), _lists(ids), pa.array(flat[1].astype(np.int64))], [*rest, "window_start", "ids", "norm2"])
 
     fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in df.schema if f.name in rest)
     return df.select(*rest, seq_col).mapInArrow(encode, f"{fields}window_start int, ids array<smallint>, norm2 bigint")
@@ -146,6 +177,32 @@ def kmer_counts_native(df: DataFrame, *keys: str, seq_col: str = "sequence") ->
     return exploded.groupBy(*keys, "kmer").agg(F.count(F.lit(1)).cast("bigint").alias("n"))
 
 
+def window_kmer_counts(df: DataFrame, key: str, seq_col: str = "sequence", width: int = dna.WINDOW, slide: int = dna.SLIDE, k: int = dna.KMER_SIZE) -> DataFrame:
+    """(key, window_start, kmer, n): the sliding sum by k-mer: each window takes in ``slide`` new k-mers and lets as many old ones go."""
+    names = pa.array(hv.canonical_kmers(k))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r, s in enumerate(_bytes(batch.column(key + "_sequence"))):
+                ids = sequence_ids(s, k)
+                starts = np.arange(0, len(s) - width, slide)
+                held = np.zeros(len(names) + 1, np.int64)  # the last place is for unknown k-mers
+                np.add.at(held, ids[: width - k + 1], 1)
+                own, at, n = [], [], []
+                for t in starts.tolist():
+                    if t:
+                        np.add.at(held, ids[t + width - k + 1 - slide : t + width - k + 1], 1)
+                        np.add.at(held, ids[t - slide : t], -1)
+                    some = np.flatnonzero(held[:-1])
+                    own.append(some), at.append(np.full(len(some), t)), n.append(held[some])
+                if not own:
+                    continue
+                size = sum(map(len, own))
+                yield pa.RecordBatch.from_arrays([batch.column(key).take(pa.array(np.full(size, r))), pa.array(np.concatenate(at).astype(np.int32)), names.take(pa.array(np.concatenate(own))), pa.array(np.concatenate(n))], [key, "window_start", "kmer", "n"])
+
+    return df.select(key, F.col(seq_col).alias(key + "_sequence")).mapInArrow(count, f"`{key}` {df.schema[key].dataType.simpleString()}, window_start int, kmer string, n bigint")
+
+
 def sliding_kmer_counts(df: DataFrame, key: str, seq_col: str = "sequence", width: int = dna.WINDOW, slide: int = dna.SLIDE, k: int = dna.KMER_SIZE) -> DataFrame:
     """(key, window_start, n_known): known k-mers of each window, as differences of running sums."""
 

@@ -24,22 +24,23 @@ def _ordinal(df: DataFrame) -> DataFrame:
 def read_fasta(spark: SparkSession, path: str, header: str = "full", keep_empty: bool = False, glob: str | None = None) -> DataFrame:
     """(seq_id, description, sequence, file, ord).
 
-    Records are split at '>' by the reader, so large files are read in parallel. ``header``: 'full' (the whole
-    line is the id), 'token' (the first word), 'lineage' (id up to the first space, the rest in description). Records with an
-    empty sequence are dropped unless ``keep_empty``. A missing path gives no rows.
+    Records are split by the reader where a line begins with '>', so large files are read in parallel. ``header``: 'full' (the whole
+    line is the id), 'token' (the first word), 'colon' (what is before the first ':' of the first word), 'lineage' (id up to the
+    first space, the rest in description). Records with an empty sequence are dropped unless ``keep_empty``. A missing path gives no rows.
     """
     schema = StructType([StructField(c, StringType()) for c in ("seq_id", "description", "sequence", "file")] + [StructField("ord", LongType())])
     if not exists(spark, path):
         return spark.createDataFrame([], schema)
-    reader = spark.read.option("lineSep", ">")
+    reader = spark.read.option("lineSep", "\n>")
     if glob:
         reader = reader.option("pathGlobFilter", glob)
     raw = reader.text(path).select("value", F.col("_metadata.file_name").alias("file"))
-    lines = F.transform(F.split(F.col("value"), "\n"), lambda x: F.regexp_replace(x, r"\s+$", ""))
+    # only the first record of a file still has its mark
+    lines = F.transform(F.split(F.regexp_replace("value", "^>", ""), "\n"), lambda x: F.regexp_replace(x, r"\s+$", ""))
     rows = _ordinal(raw).where(F.trim("value") != "").select(lines.alias("lines"), "file", "ord")
     head = F.element_at("lines", 1)
     sequence = F.array_join(F.slice("lines", 2, F.size("lines")), "")
-    seq_id: Column = {"full": head, "token": F.element_at(F.split(F.trim(head), r"\s+"), 1), "lineage": F.substring_index(head, " ", 1)}[header]
+    seq_id: Column = {"full": head, "token": F.element_at(F.split(F.trim(head), r"\s+"), 1), "colon": F.substring_index(F.element_at(F.split(F.trim(head), r"\s+"), 1), ":", 1), "lineage": F.substring_index(head, " ", 1)}[header]
     description = F.when(F.contains(head, F.lit(" ")), F.regexp_replace(head, r"^\S* ", "")).otherwise(F.lit(""))
     out = rows.select(seq_id.alias("seq_id"), description.alias("description"), sequence.alias("sequence"), "file", "ord")
     return out if keep_empty else out.where(F.length("sequence") > 0)
