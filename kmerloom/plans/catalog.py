@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from kmerloom.functions import dna, hv, lineage
 from kmerloom.operators import align, encode, identify, propagate, sample, similarity, taxonomy
 from kmerloom.operators.induct import induct_pairs
-from kmerloom.session import stored
+from kmerloom.session import spread, stored
 
 FLAGSHIP = "emb_cosine_topk_k10"
 
@@ -31,7 +31,7 @@ REVCOMP_SQL = "reverse(translate(regexp_replace({0}, '[^ACGT]', 'N', 'g'), 'ACGT
 
 
 def documents_dna(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", whole_dna(F.coalesce("text", F.lit(""))).alias("sequence"))
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", whole_dna(F.coalesce("text", F.lit(""))).alias("sequence"))
 
 
 def lineages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -312,7 +312,7 @@ def prefixed_taxonomy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _library(spark: SparkSession, sf_dir: str):
     """Documents as a library: lineage by language and source, sequence from the text."""
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text"))
     label = F.concat(F.lit("k__Docs; p__"), "lang", F.lit("; c__"), "lang", F.lit("-"), "source")
     return docs.select(F.col("doc_id").cast("string").alias("seq_id"), whole_dna(F.coalesce("text", F.lit(""))).alias("sequence"), label.alias("lineage"))
 

@@ -25,6 +25,8 @@ def shared_dir(spark: SparkSession) -> str:
     if not path and context.getCheckpointDir().isDefined():
         return context.getCheckpointDir().get()
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="kmerloom-")
     if not context.getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(path)
@@ -38,5 +40,11 @@ def stored(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows dealt out evenly if the scan has fewer splits than there are cores (a small or unsplittable file), else as they are."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= n else df.repartition(n)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
