@@ -302,9 +302,8 @@ def prefixed_taxonomy(spark: SparkSession, sf_dir: str) -> DataFrame:
     known = n.join(r, F.col("n_regionkey") == F.col("r_regionkey")).where("r_name <> 'ASIA'")
     first = known.select(F.concat(F.lit("Bacteria;"), "r_name", F.lit(";")).alias("path"), F.lit("phylum").alias("rank")).distinct()
     second = known.select(F.concat(F.lit("Bacteria;"), "r_name", F.lit(";"), "n_name", F.lit(";")).alias("path"), F.lit("class").alias("rank"))
-    from kmerloom.sources.fasta import rank_map
-
-    return rows.select(F.col("c_custkey").alias("seq_id"), lineage.prefixed_taxonomy(path, rank_map(first.union(second))).alias("lineage"))
+    named = rows.select(F.col("c_custkey").alias("seq_id"), path.alias("description"))
+    return named.join(lineage.prefixed_lineages(named, first.union(second)), F.col("description") == F.col("path"), "left").select("seq_id", "lineage")
 
 
 # ---- database ----
@@ -363,7 +362,30 @@ def identify_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("query_id", "name", F.array_join("path", ";").alias("path"), F.transform("path_scores", lambda x: F.round(x, 6)).alias("path_scores"), "status")
 
 
-@query()
+#: Rows of the cost table as lists (``d`` by prefix length ``i``), then the way back from the first end with the fewest errors.
+_ALIGN_SQL = f"""
+WITH RECURSIVE s AS (SELECT item_id, {WHOLE_SQL} AS s FROM benchmark),
+p AS MATERIALIZED (SELECT q.item_id AS id, r.s AS r, q.s AS q FROM s q JOIN s r ON r.item_id = q.item_id - 1),
+d(id, i, costs) AS (
+  SELECT id, 0::BIGINT, list_transform(range(length(r) + 1), lambda x: 0::BIGINT) FROM p
+  UNION ALL
+  SELECT id, i + 1, list_reduce(list_transform(base, lambda x: [x]), lambda a, b: list_append(a, least(b[1], a[-1] + 1))) FROM (
+    SELECT d.id, d.i, list_prepend(d.i + 1, list_transform(range(length(r)), lambda j: least(d.costs[j + 2] + 1, d.costs[j + 1] + CASE WHEN substr(r, (j + 1)::BIGINT, 1) = substr(q, (d.i + 1)::BIGINT, 1) THEN 0 ELSE 1 END))) AS base
+    FROM d JOIN p USING (id) WHERE d.i < length(q))),
+c AS MATERIALIZED (SELECT * FROM d),
+e AS MATERIALIZED (SELECT p.id, list_position(costs, list_min(costs)) - 1 AS stop, list_min(costs) AS errors FROM p JOIN c ON c.id = p.id AND c.i = length(q)),
+b(id, i, j, ar, sy, aq) AS (
+  SELECT p.id, length(q)::BIGINT, stop::BIGINT, '', '', '' FROM p JOIN e USING (id)
+  UNION ALL
+  SELECT id, CASE WHEN step = 2 THEN i ELSE i - 1 END, CASE WHEN step = 1 THEN j ELSE j - 1 END,
+    CASE WHEN step = 1 THEN '-' ELSE x END || ar, CASE step WHEN 1 THEN 'I' WHEN 2 THEN 'D' ELSE CASE WHEN x = y THEN '|' ELSE '*' END END || sy, CASE WHEN step = 2 THEN '-' ELSE y END || aq
+  FROM (SELECT b.*, substr(r, b.j, 1) AS x, substr(q, b.i, 1) AS y, CASE WHEN now.costs[b.j + 1] = above.costs[b.j + 1] + 1 THEN 1 WHEN b.j > 0 AND now.costs[b.j + 1] = now.costs[b.j] + 1 THEN 2 ELSE 3 END AS step
+    FROM b JOIN p ON p.id = b.id JOIN c now ON now.id = b.id AND now.i = b.i JOIN c above ON above.id = b.id AND above.i = b.i - 1))
+SELECT e.id::VARCHAR AS name, j::INT AS start, stop::INT AS "end", errors::INT AS min_errors, ar AS aligned_reference, sy AS symbols, aq AS aligned_query FROM b JOIN e ON e.id = b.id WHERE i = 0
+"""
+
+
+@query(_ALIGN_SQL)
 def align_semiglobal(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each benchmark item against the item before it."""
     q = _queries(spark, sf_dir)
@@ -372,7 +394,25 @@ def align_semiglobal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("name", "a.*")
 
 
-@query()
+def _unit(text: str) -> str:
+    return f"((('0x' || substr(md5({text}), 1, 10))::BIGINT::DOUBLE + 0.5) / 1099511627776.0::DOUBLE)"
+
+
+_SIMULATE_SQL = f"""
+WITH lib AS MATERIALIZED (SELECT 's__' || lang || '-' || source AS category, doc_id::VARCHAR AS seq_id, {WHOLE_SQL} AS s, 'k__Docs; p__' || lang || '; c__' || lang || '-' || source AS lineage FROM documents WHERE lang IS NOT NULL AND source IS NOT NULL),
+own AS (SELECT * FROM lib WHERE s <> ''),
+taxa AS (SELECT category, -ln({_unit("'1:w:' || category")}) AS w FROM (SELECT DISTINCT category FROM own) ORDER BY md5('1:' || category) LIMIT 25),
+shares AS (SELECT category, greatest(1, floor(w / sum(w) OVER () * 10000))::BIGINT AS n FROM taxa),
+topped AS MATERIALIZED (SELECT category, n + short // 25 + CASE WHEN row_number() OVER (ORDER BY category) - 1 < short % 25 THEN 1 ELSE 0 END AS n FROM shares, (SELECT greatest(0, 10000 - sum(n))::BIGINT AS short FROM shares)),
+templates AS MATERIALIZED (SELECT * FROM (SELECT own.*, row_number() OVER (PARTITION BY category ORDER BY md5('1:' || seq_id), seq_id) - 1 AS t FROM own JOIN topped USING (category)) WHERE t < 50),
+sizes AS (SELECT category, count(*) AS k FROM templates GROUP BY category),
+reads AS (SELECT category, r, floor({_unit("'1:t:' || category || ':' || r")} * k)::BIGINT AS t, (90 + floor({_unit("'1:l:' || category || ':' || r")} * 36))::INT AS final_len FROM (SELECT category, unnest(range(1, n + 1)) AS r FROM topped) JOIN sizes USING (category)),
+cut AS (SELECT category, r, lineage, seq_id, final_len, substr(s, (floor({_unit("'1:s:' || category || ':' || r")} * (greatest(length(s) - 125, 0) + 1)) + 1)::BIGINT, 125) AS piece FROM reads JOIN templates USING (category, t))
+SELECT printf('read_%08d', row_number() OVER (ORDER BY category, r)) AS read_id, lineage AS taxonomy, seq_id AS template_id, 125 AS orig_len, final_len, piece[1:final_len] AS sequence, repeat('I', final_len) AS quality FROM cut WHERE length(piece) >= final_len
+"""
+
+
+@query(_SIMULATE_SQL)
 def simulate_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _library(spark, sf_dir)
     library = rows.select(F.concat(F.lit("s__"), F.regexp_extract("lineage", "c__(.*)$", 1)).alias("category"), "seq_id", "sequence")
@@ -386,3 +426,6 @@ def window_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     order = Window.orderBy("source")
     before = F.sum("n_docs").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("n_docs")
     return per.select("source", "n_docs", before.cast("bigint").alias("first_offset"), F.row_number().over(order).cast("bigint").alias("ordinal"))
+
+
+from kmerloom.plans import files, search  # noqa: E402, F401  these register their queries

@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from kmerloom.functions import lineage
 from kmerloom.functions.dna import safe_name
 
 
@@ -100,14 +99,6 @@ def read_rank_lookup(spark: SparkSession, path: str) -> DataFrame:
     return trimmed.groupBy("path").agg(F.max_by("rank", "ord").alias("rank"))
 
 
-def rank_map(ranks: DataFrame) -> Column:
-    """The lookup as a literal map column (a rank table has a few thousand rows)."""
-    rows = ranks.where(F.col("rank").isin(*lineage.RANK_TO_PREFIX)).collect()
-    if not rows:
-        return F.create_map().cast("map<string,string>")
-    return F.map_from_arrays(F.array(*[F.lit(r["path"]) for r in rows]), F.array(*[F.lit(r["rank"]) for r in rows]))
-
-
 def category_files(spark: SparkSession, folder: str, prefix: str = "s__") -> DataFrame:
     """(category) of the FASTA files in a folder whose names start with the prefix, sorted."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", f"{prefix}*.fasta").load(folder).select(F.regexp_extract("path", r"([^/]+)\.fasta$", 1).alias("category"))
