@@ -10,17 +10,19 @@ the weight votes for it. A text without words has fingerprint 0.
 first document of each range is sent to the range before as well, so that ``lead`` within a range sees the true
 next document and no task orders all rows.
 
-*Search.* ``within_radius`` cuts fingerprints into ``radius + 2`` blocks. Two of them within the radius agree in
-two blocks at least; for each pair of blocks a table holds the fingerprints permuted so that these blocks
-stand first, and equal leading blocks are joined. A pair counts in its first such table only.
+*Search.* ``within_radius`` cuts fingerprints into ``radius + k`` blocks. Two of them within the radius agree in
+``k`` blocks at least; for each choice of ``k`` blocks a table holds the fingerprints permuted so that these blocks
+stand first, and equal leading blocks are joined. A pair counts in its first such table only. ``k`` grows with the number of fingerprints, so
+that the leading blocks have about as many bits as tell that many apart, and unrelated candidates stay few.
 
 Defined results: null texts are empty; ties of doc_id are ordered by a hash of the text; a null doc_id comes
-first; a single document is its own next one. Repeated rows are fingerprinted each. Other columns are never
-looked at. Empty tables give empty results.
+first; a single document is its own next one. Repeated rows are fingerprinted each. Texts of any length are read whole: their words become
+rows, summed where they are read. Other columns are never looked at. Empty tables give empty results.
 """
 
 from __future__ import annotations
 
+import math
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -52,7 +54,7 @@ def simhash(texts: DataFrame, text_col: str, *keys: str) -> DataFrame:
     words = F.filter(F.split(F.col(text_col), r"[\x20\x09-\x0D]+", -1), lambda w: w != "")
     listed = texts.select(*keys, words.alias("words"))
     terms = listed.select(*keys, F.inline_outer(F.arrays_zip(F.col("words").alias("w"), F.slice("words", 2, F.greatest(F.size("words"), F.lit(1))).alias("next"))).alias("w", "next"))
-    weight = F.coalesce(F.least(F.length("w"), F.lit(8)), F.lit(0)).cast("bigint")
+    weight = F.when(F.col("w").isNull(), 0).otherwise(F.least(F.length("w"), F.lit(8))).cast("bigint")
     hashed = terms.select(*keys, F.xxhash64("w", "next").alias("h"), weight.alias("k"))
     return hashed.groupBy(*keys).agg(F.sum("k").alias("weight"), *_votes(F.col("h"), F.col("k"))).select(*keys, _bits().alias("fingerprint"))
 
@@ -96,25 +98,31 @@ def hamming(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
 
 
-def within_radius(queries: DataFrame, rows: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """(q, f) all fingerprints f of ``rows`` within ``radius`` bits of each fingerprint q of ``queries`` (distinct columns of longs)."""
-    blocks = radius + 2
+def leading_blocks(n: int, radius: int = RADIUS) -> int:
+    """Blocks that must agree so that about log2(n) - 2 bits lead, at least 2 (64 bits in ``radius`` more blocks than that)."""
+    need = max(0.0, math.log2(max(1, n)) - 2)
+    return next((k for k in range(2, 9) if 64 * k / (radius + k) >= need), 8)
+
+
+def within_radius(queries: DataFrame, rows: DataFrame, radius: int = RADIUS, leading: int = 2) -> DataFrame:
+    """(q, f, ...) all fingerprints f of ``rows`` within ``radius`` bits of each fingerprint q of ``queries`` (distinct columns of longs), with the other columns of ``rows``."""
+    blocks = radius + leading
     edges = [64 * k // blocks for k in range(blocks + 1)]
     mask = lambda k: ((1 << (edges[k + 1] - edges[k])) - 1) << edges[k]
     signed = lambda x: F.lit(x - (1 << 64) if x >> 63 else x).cast("bigint")
-    chosen = list(combinations(range(blocks), 2))
+    chosen = [sum(mask(b) for b in own) for own in combinations(range(blocks), leading)]
 
     def tables(df: DataFrame, name: str) -> DataFrame:
-        keys = [F.struct(F.lit(i).alias("t"), F.col(name).bitwiseAND(signed(mask(a) | mask(b))).alias("k")) for i, (a, b) in enumerate(chosen)]
-        return df.select(name, F.inline(F.array(*keys)))
+        keys = [F.struct(F.lit(i).alias("t"), F.col(name).bitwiseAND(signed(m)).alias("k")) for i, m in enumerate(chosen)]
+        return df.select("*", F.inline(F.array(*keys)))
 
     x, y = tables(queries, "q").alias("x"), tables(rows, "f").alias("y")
     differ = F.col("q").bitwiseXOR(F.col("f"))
     first = F.lit(len(chosen))
-    for i, (a, b) in reversed(list(enumerate(chosen))):
-        first = F.when(differ.bitwiseAND(signed(mask(a) | mask(b))) == 0, F.lit(i)).otherwise(first)
+    for i, m in reversed(list(enumerate(chosen))):
+        first = F.when(differ.bitwiseAND(signed(m)) == 0, F.lit(i)).otherwise(first)
     on = (F.col("x.t") == F.col("y.t")) & (F.col("x.k") == F.col("y.k")) & (hamming(F.col("q"), F.col("f")) <= radius) & (first == F.col("x.t"))
-    return x.join(y.hint("merge"), on).select("q", "f")
+    return x.join(y.hint("merge"), on).select("q", *rows.columns)
 
 
 def fingerprint_documents(docs: DataFrame) -> DataFrame:
@@ -131,9 +139,9 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
     per_row = prints.groupBy("rid", "next_rid", "doc_id").agg(F.max("n_chars").alias("n_chars"), F.max("sha").alias("edited_sha256"), F.max(F.when(~F.col("is_new"), F.col("fingerprint"))).alias("f"), F.max(F.when(F.col("is_new"), F.col("fingerprint"))).alias("e"))
     per_row = kept(per_row)
     after = per_row.select(F.col("rid").alias("id2"), F.col("f").alias("next_f"))
-    same = per_row.groupBy("f").agg(F.count(F.lit(1)).alias("copies"))
+    same = kept(per_row.groupBy("f").agg(F.count(F.lit(1)).alias("copies")))
     asked = per_row.where(F.col("doc_id") % QUERY_EVERY == 0).select(F.col("f").alias("q")).distinct()
-    near = within_radius(asked, same.select("f")).join(same.withColumnRenamed("f", "g"), F.col("f") == F.col("g")).groupBy("q").agg(F.sum("copies").alias("n_near"))
+    near = within_radius(asked, same, leading=leading_blocks(same.count())).groupBy("q").agg(F.sum("copies").alias("n_near"))
     near = stored(near, "fingerprints-near")
     asking = F.when(F.col("doc_id") % QUERY_EVERY == 0, F.col("f"))
     joined = per_row.join(after, F.col("next_rid") == F.col("id2"), "left").withColumn("asks", asking)
