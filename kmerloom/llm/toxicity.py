@@ -1,20 +1,22 @@
 """Toxicity grades by cumulative-link ordinal regression on sparse text features.
 
-Grades are 0 (clean), 1 (mild) and 2 (severe). ``labels.toxic`` gives 0 or not 0; toxic training
-documents are graded 2 if they hold at least the median number of indicative words, else 1. The model is
+Grades are the labels' own values in order, 0 being clean; how severe a text is can be told apart only as far as the labels tell it
+(labels with two values have one threshold, and the expected severity is then the probability of being toxic). The model is
 the proportional-odds one: P(grade >= k) = sigmoid(w . x - threshold_k) with the same weights w for all
 ordered thresholds; x has log(1 + count) of each selected word. Words are selected by a
-significance test of their document frequency in toxic against clean documents, after texts of a label that agree in a
+significance test of their document frequency in toxic (above the least grade) against clean documents, after texts of a grade that agree in a
 band of minwise word pairs (near copies) were reduced to one, so that a copied document does not make its words
 indicative. The result is P(grade >= 1), the expected severity sum_k P(grade >= k) and the likeliest grade.
 
-Clean and toxic documents weigh the same in all. The fit uses at most ``max_per_label`` labelled rows of each label, taken in order of a hash of
+Clean and toxic documents weigh the same in all. The fit uses at most ``max_per_label`` labelled rows of each grade, taken in order of a hash of
 doc_id, and never rows with crc32(doc_id as text) mod 4 = 2, which stay for held-out tests; the scores
-cover all rows and whole texts.
+cover all rows and whole texts. Texts of the sample are reduced to hashed counts by the executors; the driver gets the bands of
+the sampled documents, at most ``max_words`` words and the sample's counts of these.
 
-Defined results: null, empty and wordless texts have no features and score as such; labels that are null, repeat or
-belong to no document are ignored (of repeated labels, toxic wins); without labels of both kinds
-every score is 0. Repeated rows are scored each; other columns are never looked at.
+Defined results: null, empty and wordless texts have no features and score as such; texts of any length are read whole; labels that are null, repeat or
+belong to no document are ignored (of repeated labels, the greatest grade wins, negative ones count as 0); of documents that share a labelled id
+one trains; without labels of two grades every score is 0. Repeated rows are scored each; other columns are never looked at and pass
+through. Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -28,9 +30,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kmerloom.llm import _text as T
-from kmerloom.llm._common import lean_batches, table
+from kmerloom.llm._common import lean_batches, stored, table
 
 MAX_PER_LABEL = 3000
+MAX_WORDS = 2000
+MAX_GRADES = 16
 Z_LEAST = 6.0
 
 
@@ -54,7 +58,7 @@ class OrdinalModel:
     def at_least(self, score: np.ndarray) -> np.ndarray:
         """P(grade >= k) for each k from 1, as columns."""
         if not len(self.thresholds):
-            return np.zeros((len(score), 2))
+            return np.zeros((len(score), 1))
         return _sigmoid(score[:, None] - self.thresholds[None, :])
 
     def score(self, doc: np.ndarray, words: np.ndarray, counts: np.ndarray, n_docs: int) -> np.ndarray:
@@ -100,9 +104,30 @@ def fit_ordinal(x: np.ndarray, grade: np.ndarray, n_grades: int = 3, penalty: fl
     return w, t[0] + np.concatenate([[0.0], np.cumsum(np.exp(t[1:]))])
 
 
-def _one_of_copies(data: np.ndarray, offsets: np.ndarray, toxic: np.ndarray, bands: int = 6, band: int = 3) -> np.ndarray:
-    """True for the first document of each label in every group of texts that agree in a band of minwise word pairs."""
-    leader = np.arange(len(offsets) - 1)
+BANDS, BAND = 6, 3
+SAMPLE = "doc_id bigint, grade int, digest bigint, bands array<bigint>, words array<bigint>, counts array<bigint>"
+
+
+def bands(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """(documents, BANDS) hashes of the minwise word pairs of each band; 0 for texts of fewer than two words."""
+    data = T.LOWER[data]
+    starts, ends, doc = T.words(data, offsets, T.ALNUM)
+    h = T.word_hashes(data, starts, ends)
+    at = np.flatnonzero(doc[1:] == doc[:-1]) if len(h) else np.zeros(0, np.int64)
+    pair, owner = T.mix(h[at] * T.U64(3) + h[at + 1]), doc[at]
+    out = np.zeros((len(offsets) - 1, BANDS), np.uint64)
+    begin = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]])) if len(owner) else np.zeros(0, np.int64)
+    for b in range(BANDS if len(begin) else 0):
+        key = np.full(len(begin), b + 1, np.uint64)
+        for r in range(BAND):
+            key = T.mix(key * T.U64(0x9FB21C651E98DF25) + np.minimum.reduceat(T.mix(pair ^ T.U64(b * BAND + r + 1)), begin))
+        out[owner[begin], b] = key
+    return out
+
+
+def one_of_copies(keys: np.ndarray, grade: np.ndarray) -> np.ndarray:
+    """True for the first document of each grade in every group that agrees in a band, directly or by way of others."""
+    leader = np.arange(len(keys))
     seen: dict[tuple, int] = {}
 
     def root(k: int) -> int:
@@ -110,65 +135,73 @@ def _one_of_copies(data: np.ndarray, offsets: np.ndarray, toxic: np.ndarray, ban
             leader[k] = k = leader[leader[k]]
         return k
 
-    for i, j in T.runs(offsets):
-        part = T.LOWER[data[offsets[i] : offsets[j]]]
-        starts, ends, doc = T.words(part, offsets[i : j + 1] - offsets[i], T.ALNUM)
-        h = T.word_hashes(part, starts, ends)
-        at = np.flatnonzero(doc[1:] == doc[:-1]) if len(h) else np.zeros(0, np.int64)
-        pair, owner = T.mix(h[at] * T.U64(3) + h[at + 1]), doc[at]
-        begin = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]])) if len(owner) else np.zeros(0, np.int64)
-        for b in range(bands if len(begin) else 0):
-            least = np.stack([np.minimum.reduceat(T.mix(pair ^ T.U64(b * band + r + 1)), begin) for r in range(band)], 1)
-            for k, values in zip((owner[begin] + i).tolist(), map(tuple, least.tolist())):
-                other = root(seen.setdefault((b, values, int(toxic[k])), k))
-                own = root(k)
+    for k, (own_keys, g) in enumerate(zip(keys.tolist(), grade.tolist())):
+        for b, key in enumerate(own_keys):
+            if key:
+                other, own = root(seen.setdefault((b, key, g), k)), root(k)
                 leader[max(own, other)] = min(own, other)
-    full = np.diff(offsets) > 0
-    return full & (leader == np.arange(len(leader)))
+    return leader == np.arange(len(leader))
+
+
+def _featurizer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        data, offsets = T.utf8(batch.column("text"))
+        for i, j in T.runs(offsets):
+            part, edges = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
+            doc, words, counts = word_counts(part, edges)
+            begin = pa.array(np.searchsorted(doc, np.arange(j - i + 1)).astype(np.int32))
+            digest = np.zeros(j - i, np.uint64)
+            np.add.at(digest, doc, T.mix(words + counts.astype(np.uint64)))
+            lists = [pa.ListArray.from_arrays(begin, pa.array(x.view(np.int64))) for x in (words, counts.astype(np.int64))]
+            keys = pa.FixedSizeListArray.from_arrays(pa.array(bands(part, edges).ravel().view(np.int64)), BANDS).cast(pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([*[batch.column(c).slice(i, j - i) for c in ("doc_id", "grade")], pa.array(digest.view(np.int64)), keys, *lists], ["doc_id", "grade", "digest", "bands", "words", "counts"])
 
 
-def fit(texts: pa.ChunkedArray, toxic: np.ndarray) -> OrdinalModel:
+def train(docs: DataFrame, labels: DataFrame, max_per_label: int = MAX_PER_LABEL, max_words: int = MAX_WORDS, z_least: float = Z_LEAST) -> OrdinalModel:
+    """Fit on a bounded sample of labelled documents (see the module text)."""
+    spark = docs.sparkSession
     none = OrdinalModel(np.zeros(0, np.uint64), np.zeros(0), np.zeros(0))
-    data, offsets = T.utf8(pa.concat_arrays([c.cast(pa.large_string()) for c in texts.chunks]) if texts.num_chunks else pa.array([], pa.large_string()))
-    parts = [word_counts(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]) + (i,) for i, j in T.runs(offsets)]
-    if not parts or len(np.unique(toxic)) < 2:
+    known = labels.where("doc_id is not null and toxic is not null").where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 != 2)
+    one = known.groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).agg(F.greatest(F.max(F.col("toxic").cast("int")), F.lit(0)).alias("value"))
+    values = sorted(r["value"] for r in one.select("value").distinct().limit(MAX_GRADES + 1).collect())
+    if len(values) > MAX_GRADES:
+        raise ValueError(f"more than {MAX_GRADES} grades")
+    if len(values) < 2:
         return none
-    doc, h, count = np.concatenate([p[0] + p[3] for p in parts]), np.concatenate([p[1] for p in parts]), np.concatenate([p[2] for p in parts])
-    chosen = _one_of_copies(data, offsets, toxic)
-    # words that stand in significantly more toxic than clean documents
-    keep = chosen[doc]
-    vocabulary, code = np.unique(h[keep], return_inverse=True)
-    label = toxic[doc[keep]] == 1
-    pos, neg = np.bincount(code[label], minlength=len(vocabulary)), np.bincount(code[~label], minlength=len(vocabulary))
-    n_pos, n_neg = (chosen & (toxic == 1)).sum(), (chosen & (toxic == 0)).sum()
+    picked = None
+    for grade, value in enumerate(values):
+        own = one.where(F.col("value") == value).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_per_label).select("doc_id", F.lit(grade).alias("grade"))
+        picked = own if picked is None else picked.union(own)
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(F.broadcast(picked), "doc_id").select("doc_id", "grade", "text")
+    sample = stored(texts.mapInArrow(_featurizer, SAMPLE), "toxicity-sample")
+    # of documents that share an id the one with the least digest
+    first = sample.groupBy("doc_id").agg(F.min("digest").alias("digest"))
+    heads = sample.join(first, ["doc_id", "digest"]).select("doc_id", "digest", "grade", "bands").where(F.size("bands") > 0).dropDuplicates(["doc_id"]).orderBy("doc_id").toArrow().combine_chunks()
+    if not heads.num_rows:
+        return none
+    ids, digest, grade = (heads.column(c).to_numpy() for c in ("doc_id", "digest", "grade"))
+    chosen = one_of_copies(heads.column("bands").combine_chunks().flatten().to_numpy().reshape(len(ids), BANDS), grade)
+    ids, digest, grade = ids[chosen], digest[chosen], grade[chosen].astype(np.int64)
+    n_pos, n_neg = int((grade > 0).sum()), int((grade == 0).sum())
     if not n_pos or not n_neg:
         return none
-    share = (pos + neg + 1) / (n_pos + n_neg + 2)
-    z = (pos / n_pos - neg / n_neg) / np.sqrt(share * (1 - share) * (1 / n_pos + 1 / n_neg))
-    chosen_words = vocabulary[z >= Z_LEAST]
-    if not len(chosen_words):
+    rows = spark.createDataFrame(list(zip(range(len(ids)), ids.tolist(), digest.tolist())), "number int, doc_id bigint, digest bigint")
+    used = sample.join(F.broadcast(rows), ["doc_id", "digest"]).dropDuplicates(["number"])
+    words = used.select("number", "grade", F.inline(F.arrays_zip("words", "counts"))).toDF("number", "grade", "word", "count")
+    # words that stand in significantly more toxic than clean documents
+    frequency = words.groupBy("word").agg(F.count(F.when(F.col("grade") > 0, 1)).alias("pos"), F.count(F.when(F.col("grade") == 0, 1)).alias("neg"))
+    share = (F.col("pos") + F.col("neg") + 1) / (n_pos + n_neg + 2)
+    z = (F.col("pos") / n_pos - F.col("neg") / n_neg) / F.sqrt(share * (1 - share) * (1 / n_pos + 1 / n_neg))
+    selected = np.array([r["word"] for r in frequency.withColumn("z", z).where(F.col("z") >= z_least).orderBy(F.desc("z"), "word").limit(max_words).select("word").collect()], np.int64)
+    if not len(selected):
         return none
-    k = np.minimum(np.searchsorted(chosen_words, h), len(chosen_words) - 1)
-    own = chosen_words[k] == h
-    x = np.zeros((len(texts), len(chosen_words)))
-    x[doc[own], k[own]] = np.log1p(count[own])
-    hits = np.bincount(doc[own], count[own], len(texts))
-    bad = chosen & (toxic == 1) & (hits > 0)
-    middle = np.median(hits[bad]) if bad.any() else 1
-    grade = np.where(toxic == 1, np.where(hits >= max(2, middle), 2, 1), 0)
-    balance = np.where(toxic == 1, 0.5 / n_pos, 0.5 / n_neg)[chosen]
-    weights, thresholds = fit_ordinal(x[chosen], grade[chosen], weight=balance)
-    return OrdinalModel(chosen_words, weights, thresholds)
-
-
-def train(docs: DataFrame, labels: DataFrame, max_per_label: int = MAX_PER_LABEL) -> OrdinalModel:
-    """Fit on a bounded sample of labelled documents (see the module text)."""
-    known = labels.where("doc_id is not null and toxic is not null").where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 != 2)
-    one = known.groupBy("doc_id").agg(F.max((F.col("toxic") > 0).cast("int")).alias("toxic"))
-    picked = [one.where(F.col("toxic") == v).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_per_label) for v in (0, 1)]
-    sample = docs.select("doc_id", "text").join(F.broadcast(picked[0].union(picked[1])), "doc_id").orderBy("doc_id").limit(2 * max_per_label)
-    rows = sample.select("text", "toxic").toArrow()
-    return fit(rows.column("text"), rows.column("toxic").to_numpy().astype(np.int64))
+    vocabulary = np.sort(selected.view(np.uint64))
+    listed = spark.createDataFrame([(w,) for w in selected.tolist()], "word bigint")
+    cells = words.join(F.broadcast(listed), "word").select("number", "word", "count").toArrow()
+    x = np.zeros((len(ids), len(vocabulary)))
+    x[cells.column("number").to_numpy(), np.searchsorted(vocabulary, cells.column("word").to_numpy().view(np.uint64))] = np.log1p(cells.column("count").to_numpy())
+    weights, thresholds = fit_ordinal(x, grade, len(values), weight=np.where(grade > 0, 0.5 / n_pos, 0.5 / n_neg))
+    return OrdinalModel(vocabulary, weights, thresholds)
 
 
 def _scorer(model):
@@ -189,12 +222,12 @@ def grade_toxicity(docs: DataFrame, model: OrdinalModel, keep: list[str] | None
     """Columns row (those in ``keep``, all by default), p_toxic, expected_severity, grade, toxic."""
     rows = docs.select(F.struct(*[F.col(c) for c in keep or docs.columns]).alias("row"), F.col("text"))
     kind = rows.schema["row"].dataType.simpleString()
-    lean_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     return rows.mapInArrow(_scorer(shared), f"row {kind}, p_toxic double, expected_severity double, grade int, toxic boolean")
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lean_batches(spark)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = train(docs, table(spark, sf_dir, "labels"))
     return grade_toxicity(docs, model, ["doc_id"]).select("row.doc_id", "p_toxic", "expected_severity", "grade", "toxic")
