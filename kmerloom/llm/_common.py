@@ -21,6 +21,8 @@ def shared_dir(spark: SparkSession) -> str:
         have = spark.sparkContext._jsc.sc().getCheckpointDir()
         if have.isDefined():
             return have.get()
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="kmerloom-checkpoint-")
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(path)
@@ -57,9 +59,14 @@ def bytes_of(df: DataFrame, *cols: Column) -> int:
     return df.agg(F.coalesce(F.sum(total), F.lit(0)).alias("b")).first()[0]
 
 
+def is_small(df: DataFrame, most_rows: int = 200_000) -> bool:
+    """Whether a stored table has few rows. For tables of a few short columns, so that rows bound the bytes."""
+    return df.limit(most_rows + 1).count() <= most_rows
+
+
 def small(df: DataFrame, most_rows: int = 200_000):
-    """``F.broadcast`` if a stored table has few rows, else nothing (the join then shuffles, and AQE splits skew)."""
-    return F.broadcast if df.limit(most_rows + 1).count() <= most_rows else lambda x: x
+    """``F.broadcast`` if a stored table of short rows is small, else nothing (the join then shuffles, and AQE splits skew)."""
+    return F.broadcast if is_small(df, most_rows) else lambda x: x
 
 
 def lean_batches(spark: SparkSession, rows: int = 1000, size: int = 4 << 20) -> None:

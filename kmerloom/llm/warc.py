@@ -10,17 +10,20 @@ lost or repeated tasks leave at most files that nobody reads. An archive is clos
 data, bad CRC or length) or holds no valid record (no version line, unparsable header, wrong length, wrong payload
 digest), the reader searches for the next place from which a member or, in plain archives, a version
 line can be read, goes on from there, and reports the bytes in between as a quarantined gap. Archives are
-read in blocks; memory is bounded by the longest record.
+read in blocks. A record, packed or not, that claims to be longer than ``longest`` is not valid, so that damage never makes the reader hold
+more than that and a block; the manifest has each archive's longest record, foreign archives are read with ``MAX_RECORD``.
+``log_gaps`` writes the gaps of a set beside it and logs how many bytes are quarantined.
 
 Defined results: a null payload is empty; a null id makes a record without an id, never a response for
 others; rows that repeat an id and payload are each written, the response being one of them (ties: all
 rows with the largest id are responses); empty tables give an empty archive set. Other columns are
-never looked at.
+never looked at. Payloads of any length are written and read whole.
 """
 
 from __future__ import annotations
 
 import hashlib
+import logging
 import os
 import re
 import uuid
@@ -29,20 +32,21 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kmerloom.llm._common import lean_batches, partitions, table, work_dir
+from kmerloom.llm._common import is_small, kept, lean_batches, partitions, stored, table, work_dir
 
 MIN_REVISIT = 1000
 VERSION = b"WARC/1.1\r\n"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 BLOCK = 1 << 16
 SALTS = 16
-MANIFEST = "path string, records bigint, bytes bigint"
+#: Longest record of an archive that says nothing about it.
+MAX_RECORD = 1 << 28
+MANIFEST = "path string, records bigint, bytes bigint, longest bigint"
 RECORDS = "path string, start bigint, stop bigint, page_id bigint, url string, record_type string, payload_bytes bigint, payload_digest string, refers_to bigint, payload binary, problem string"
 
 
@@ -82,21 +86,22 @@ def _writer(folder: str, compress: bool, max_bytes: int):
         files.create_dir(base, recursive=True)
         task = TaskContext.get()
         name = f"{task.partitionId():06d}-{task.taskAttemptId()}-{uuid.uuid4().hex[:8]}"
-        done: list[tuple[str, int, int]] = []
-        out, path, n, size = None, "", 0, 0
+        done: list[tuple[str, int, int, int]] = []
+        out, path, n, size, longest = None, "", 0, 0, 0
 
         def close() -> None:
-            nonlocal out, n, size
+            nonlocal out, n, size, longest
             if out is not None:
                 out.close()
-                done.append((path, n, size))
-            out, n, size = None, 0, 0
+                done.append((path, n, size, longest))
+            out, n, size, longest = None, 0, 0, 0
 
         for batch in batches:
             for row in range(len(batch)):
                 page_id, url, html, n_bytes, digest, refers = (batch.column(k)[row] for k in range(6))
                 payload = html.as_buffer().to_pybytes() if html.is_valid else b""
                 record = encode_record(page_id.as_py(), url.as_py(), payload, n_bytes.as_py(), digest.as_py(), refers.as_py())
+                plain = len(record)
                 if compress:
                     record = gzip_member(record)
                 if out is None or size + len(record) > max_bytes:
@@ -104,32 +109,35 @@ def _writer(folder: str, compress: bool, max_bytes: int):
                     path = f"{folder}/{name}-{len(done):04d}.warc{'.gz' * compress}"
                     out = files.open_output_stream(f"{base}/{os.path.basename(path)}", compression=None)
                 out.write(record)
-                n, size = n + 1, size + len(record)
+                n, size, longest = n + 1, size + len(record), max(longest, plain, len(record))
         close()
-        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in done], t) for k, t in enumerate((pa.string(), pa.int64(), pa.int64()))], ["path", "records", "bytes"])
+        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in done], t) for k, t in enumerate((pa.string(), pa.int64(), pa.int64(), pa.int64()))], ["path", "records", "bytes", "longest"])
 
     return write
 
 
-def mark_revisits(pages: DataFrame, min_bytes: int = MIN_REVISIT) -> DataFrame:
+def mark_revisits(pages: DataFrame, min_bytes: int = MIN_REVISIT, broadcast_rows: int = 200_000) -> DataFrame:
     """Rows (page_id, url, html, n_bytes, digest, refers_to); refers_to is null for responses.
 
-    The largest id of each payload comes from plain partial aggregation. Only payloads that occur more
-    than once are joined back, by (digest, salt), so that a payload of many pages is dealt out.
+    The largest id of each payload comes from plain partial aggregation. Payloads that occur more than once are stored and
+    joined back: broadcast if they are few, so that no page is shuffled, else by (digest, salt), so that a payload of many pages is dealt out.
     """
     body = F.coalesce(F.col("html").cast("binary"), F.lit(b""))
     own = pages.select("page_id", "url", body.alias("html")).withColumn("n_bytes", F.octet_length("html").cast("bigint")).withColumn("digest", F.sha1("html"))
-    shared = own.where(F.col("n_bytes") >= min_bytes).groupBy("digest", "n_bytes").agg(F.max("page_id").alias("response"), F.count(F.lit(1)).alias("n")).where("n > 1 and response is not null")
-    dealt = shared.select(F.col("digest").alias("d"), F.col("n_bytes").alias("b"), "response", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("s"))
+    shared = own.where(F.col("n_bytes") >= min_bytes).groupBy("digest", "n_bytes").agg(F.max("page_id").alias("response"), F.count(F.lit(1)).alias("n")).where("n > 1 and response is not null").select(F.col("digest").alias("d"), F.col("n_bytes").alias("b"), "response")
+    shared = stored(shared, "warc-shared")
+    refers = F.when(~F.col("page_id").eqNullSafe(F.col("response")), F.col("response")).alias("refers_to")
+    same = (F.col("digest") == F.col("d")) & (F.col("n_bytes") == F.col("b"))
+    columns = ["page_id", "url", "html", "n_bytes", "digest", refers]
+    if is_small(shared, broadcast_rows):
+        return own.join(F.broadcast(shared), same, "left").select(*columns)
+    dealt = shared.select("d", "b", "response", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("s"))
     salted = own.withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int"))
-    joined = salted.join(dealt, (F.col("digest") == F.col("d")) & (F.col("n_bytes") == F.col("b")) & (F.col("salt") == F.col("s")), "left")
-    refers = F.when(~F.col("page_id").eqNullSafe(F.col("response")), F.col("response"))
-    return joined.select("page_id", "url", "html", "n_bytes", "digest", refers.alias("refers_to"))
+    return salted.join(dealt, same & (F.col("salt") == F.col("s")), "left").select(*columns)
 
 
 def write_archives(pages: DataFrame, folder: str, compress: bool = True, min_revisit: int = MIN_REVISIT, max_bytes: int = 256 << 20) -> DataFrame:
-    """Write all pages (page_id, url, html); gives the stored manifest (path, records, bytes)."""
-    lean_batches(pages.sparkSession)
+    """Write all pages (page_id, url, html); gives the stored manifest (path, records, bytes, longest)."""
     manifest = mark_revisits(pages, min_revisit).mapInArrow(_writer(f"{folder}/archives", compress, max_bytes), MANIFEST)
     manifest.write.parquet(f"{folder}/manifest")
     return pages.sparkSession.read.schema(MANIFEST).parquet(f"{folder}/manifest")
@@ -165,7 +173,7 @@ class _Source:
         self.buffer, self.start = self.buffer[n:], self.start + n
 
 
-def _parse(data: bytes) -> tuple[dict[str, str], bytes, int] | str:
+def _parse(data: bytes, longest: int) -> tuple[dict[str, str], bytes, int] | str:
     """Header, payload and length of the record that ``data`` begins with, or what is wrong ('more' if it is cut off)."""
     if not data.startswith(b"WARC/1."):
         return "no version line"
@@ -182,6 +190,8 @@ def _parse(data: bytes) -> tuple[dict[str, str], bytes, int] | str:
         return "bad content length"
     body = end + 4
     stop = body + int(header["content-length"])
+    if stop + 4 > longest:
+        return "longer than any record"
     if len(data) < stop + 4:
         return "more"
     if data[stop : stop + 4] != b"\r\n\r\n":
@@ -193,24 +203,27 @@ def _parse(data: bytes) -> tuple[dict[str, str], bytes, int] | str:
     return header, payload, stop + 4
 
 
-def _member(source: _Source) -> tuple[bytes, int] | str:
+def _member(source: _Source, longest: int) -> tuple[bytes, int] | str:
     """Unpacked bytes and packed length of the gzip member at the window's start, or what is wrong."""
-    unpack, out, used = zlib.decompressobj(31), [], 0
+    unpack, out, used, size = zlib.decompressobj(31), [], 0, 0
     try:
         while not unpack.eof:
             source.fill(used + 1)
             piece = source.buffer[used : used + BLOCK]
             if not piece:
                 return "member is cut off"
-            out.append(unpack.decompress(piece))
+            out.append(unpack.decompress(piece, longest - size + 1))
             used += len(piece)
+            size += len(out[-1])
+            if size > longest or used > longest + BLOCK:
+                return "longer than any record"
     except zlib.error as e:
         return f"bad member: {e}"
     return b"".join(out), used - len(unpack.unused_data)
 
 
-def salvage(stream) -> Iterator[Salvaged]:
-    """Records and gaps of an archive, of gzip members or plain records (both may alternate)."""
+def salvage(stream, longest: int = MAX_RECORD) -> Iterator[Salvaged]:
+    """Records and gaps of an archive, of gzip members or plain records (both may alternate), none longer than ``longest``."""
     source = _Source(stream)
     gap_start, gap_problem = None, ""
     while True:
@@ -219,11 +232,11 @@ def salvage(stream) -> Iterator[Salvaged]:
             break
         problem, found, length = "neither a member nor a version line", None, 0
         if source.buffer.startswith(b"\x1f\x8b\x08"):
-            member = _member(source)
+            member = _member(source, longest)
             if isinstance(member, str):
                 problem = member
             else:
-                parsed = _parse(member[0])
+                parsed = _parse(member[0], longest)
                 if isinstance(parsed, str):
                     problem = "record is cut off" if parsed == "more" else parsed
                 elif parsed[2] != len(member[0]):
@@ -232,7 +245,7 @@ def salvage(stream) -> Iterator[Salvaged]:
                     found, length = parsed, member[1]
         elif source.buffer.startswith(b"WARC/1."):
             need = BLOCK
-            while (parsed := _parse(source.buffer)) == "more" and not source.ended:
+            while (parsed := _parse(source.buffer, longest)) == "more" and not source.ended:
                 source.fill(need := max(2 * need, len(source.buffer) + BLOCK))
             if isinstance(parsed, str):
                 problem = "record is cut off" if parsed == "more" else parsed
@@ -276,10 +289,10 @@ def _reader(with_payload: bool):
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, size = [], 0
         for batch in batches:
-            for path in pc.unique(batch.column("path")).to_pylist():
+            for path, longest in zip(batch.column("path").to_pylist(), batch.column("longest").to_pylist()):
                 files, at = _open(re.sub(r"^file:/+", "file:///", path))
                 with files.open_input_stream(at, compression=None) as stream:
-                    for x in salvage(stream):
+                    for x in salvage(stream, MAX_RECORD if longest is None else longest):
                         h = x.header
                         digest = h.get("warc-payload-digest", "").removeprefix("sha1:") or hashlib.sha1(x.payload).hexdigest()
                         own = (h.get("warc-target-uri"), h.get("warc-type"), number(h, "x-payload-length"), digest, number(h, "x-refers-to-page-id"), x.payload if with_payload else None) if not x.problem else (None,) * 6
@@ -295,14 +308,27 @@ def _reader(with_payload: bool):
 
 def read_archives(spark: SparkSession, manifest: DataFrame, with_payload: bool = False) -> DataFrame:
     """All records (``problem`` null) and quarantined gaps of the manifest's files, one task for each few files."""
-    paths = manifest.select("path").repartition(max(partitions(spark), spark.sparkContext.defaultParallelism), "path")
+    paths = manifest.groupBy("path").agg(F.max("longest").alias("longest")).repartition(max(partitions(spark), spark.sparkContext.defaultParallelism), "path")
     return paths.mapInArrow(_reader(with_payload), RECORDS)
 
 
+def log_gaps(found: DataFrame, folder: str) -> int:
+    """Number of quarantined gaps of :func:`read_archives`; if there are any, they are written to ``folder``/quarantine and a warning is logged."""
+    gaps = found.where("problem is not null").select("path", "start", "stop", "problem")
+    n, size = gaps.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.col("stop") - F.col("start")), F.lit(0))).first()
+    if n:
+        gaps.write.mode("append").parquet(f"{folder}/quarantine")
+        logging.getLogger(__name__).warning("%d gaps with %d bytes are quarantined, see %s/quarantine", n, size, folder)
+    return n
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lean_batches(spark)
     folder = work_dir(spark, "warc")
     manifest = write_archives(table(spark, sf_dir, "pages"), folder)
-    return read_archives(spark, manifest).where("problem is null").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    found = kept(read_archives(spark, manifest))
+    log_gaps(found, folder)
+    return found.where("problem is null").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 OP7_SQL = f"""

@@ -78,3 +78,58 @@ def test_mixed_plain_and_packed_and_empty():
 def test_empty(spark, tmp_path):
     pages = spark.createDataFrame([], "page_id bigint, url string, html string")
     assert warc.read_archives(spark, warc.write_archives(pages, f"{tmp_path}/e")).count() == 0
+
+
+def test_wrong_lengths_hold_no_more_than_the_longest_record():
+    """A wrong digit in a length, or a member that never ends, makes the reader hold at most the longest record and a few blocks."""
+    plain = records(400)
+    longest = max(map(len, plain))
+    data = b"".join(plain)
+    at = data.index(b"Content-Length: ") + len(b"Content-Length: ")
+    wrong = data[:at] + b"9999999" + data[at:]
+
+    class Watched(io.BytesIO):
+        most = taken = 0
+
+    def held(archive):
+        stream, most, found = Watched(archive), 0, []
+        for x in warc.salvage(stream, longest):
+            found.append(x)
+            most = max(most, stream.tell() - x.stop)
+        return found, most
+
+    found, most = held(wrong)
+    assert ids(found) == list(range(1, 400)) and most <= longest + 3 * warc.BLOCK
+    bomb = warc.gzip_member(plain[0][:200] + b"0" * 50_000_000)
+    found, most = held(bomb + b"".join(map(warc.gzip_member, plain)))
+    assert ids(found) == list(range(400)) and most <= longest + 3 * warc.BLOCK
+
+
+def test_damaged_archives_are_logged_and_the_rest_is_read(spark, tmp_path):
+    pages = spark.createDataFrame([(k, f"u{k}", f"page {k} " * (100 + k)) for k in range(60)], "page_id bigint, url string, html string").coalesce(1)
+    manifest = warc.write_archives(pages, f"{tmp_path}/set", max_bytes=1 << 14)
+    paths = sorted(r.path for r in manifest.collect())
+    hurt = paths[0]
+    with open(hurt, "r+b") as f:
+        f.seek(150)
+        f.write(b"\x00" * 20)
+    found = warc.read_archives(spark, manifest)
+    assert warc.log_gaps(found, str(tmp_path)) >= 1
+    log = spark.read.parquet(f"{tmp_path}/quarantine").collect()
+    assert {r.path for r in log} == {hurt} and all(r.stop > r.start for r in log)
+    left = {r.page_id for r in found.where("problem is null").collect()}
+    assert 58 <= len(left) < 60
+    assert warc.log_gaps(warc.read_archives(spark, manifest.where(manifest.path != hurt)), str(tmp_path)) == 0
+
+
+def test_many_shared_payloads_are_joined_by_salt(spark):
+    pages = spark.createDataFrame([(*p, "clash", "clash") for p in PAGES], "page_id bigint, url string, html string, digest string, salt string")
+    few, many = (sorted(((r.page_id, r.digest, r.refers_to) for r in warc.mark_revisits(pages, broadcast_rows=n).collect()), key=repr) for n in (1000, 0))
+    assert few == many
+
+
+def test_a_payload_over_a_mebibyte(spark, tmp_path):
+    html = "<p>é" * 400_000
+    manifest = warc.write_archives(spark.createDataFrame([(1, "u", html), (2, "v", html)], "page_id bigint, url string, html string"), f"{tmp_path}/long")
+    got = {r.page_id: (r.payload_bytes, r.record_type, r.refers_to) for r in warc.read_archives(spark, manifest).collect()}
+    assert got == {2: (len(html.encode()), "response", None), 1: (len(html.encode()), "revisit", 2)}
