@@ -5,12 +5,15 @@ Lines above ``ratio`` that stand on at least ``min_pages`` pages are boilerplate
 host's pages. Lines are split at ``\\n`` and compared whole (by 128 bits of hashes, so that no line text
 is shuffled); lines of white space only are never dropped.
 
+The host is a column: ``url_host`` takes it from a URL; where documents have no URL, their source stands for it.
+
 Each page adds each distinct line once, so that (host, line) pairs are counted by plain partial sums. A
 host has at most ``mean distinct lines of a page / ratio`` boilerplate lines; the table of these is stored,
-and broadcast only if that is small, else joined by (host, salt), so that a hot host is dealt out.
+and broadcast only if that is small, else joined by (host, salt), so that a hot host is dealt out. A page's lines meet
+the host's lines as a set of hashes, once a page; only pages with a hit compare line by line.
 
 Defined results: a null text stays null and has no lines; the empty text has one empty line; a null
-host is a host of its own; repeated rows count as pages of their own; all columns are kept as they are
+host is a host of its own; texts of any length are split whole; repeated rows count as pages of their own; all columns are kept as they are
 but ``text``. An empty table gives an empty table.
 """
 
@@ -26,6 +29,12 @@ MIN_PAGES = 5
 SALTS = 64
 
 
+def url_host(url: Column) -> Column:
+    """The lower-cased host of a URL, without user and port; null where there is none."""
+    host = F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]+)", 1)
+    return F.nullif(F.lower(host), F.lit(""))
+
+
 def _split(text: Column) -> Column:
     return F.split(text, "\n", -1)
 
@@ -54,7 +63,9 @@ def drop_lines(pages: DataFrame, host_lines: DataFrame, host_col: str = "source"
     else:
         dealt = host_lines.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         joined = rows.withColumn("own", F.pmod(F.xxhash64("row"), F.lit(SALTS))).join(dealt, same & (F.col("own") == F.col("salt")), "left")
-    # array_position finds the key's hash; most documents' lines meet few boilerplate lines.
+    own = joined.withColumn("hits", F.array_intersect(F.transform("all_lines", lambda x: F.xxhash64(x)), F.transform("lines", lambda x: x["a"])))
+    own = own.withColumn("own_lines", F.when(F.size("hits") > 0, F.filter("lines", lambda x: F.array_contains(F.col("hits"), x["a"]))))
+    joined = own.withColumn("lines", F.col("own_lines"))
     kept = F.when(F.col("lines").isNull(), F.col("all_lines")).otherwise(F.filter("all_lines", lambda x: ~F.array_contains(F.col("lines"), _key(x)) | (F.length(F.trim(x)) == 0)))
     out = joined.select("row", "all_lines", kept.alias("kept"))
     text = F.array_join("kept", "\n")

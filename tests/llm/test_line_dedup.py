@@ -42,3 +42,18 @@ def test_lines_far_under_a_tenth_of_the_site_go(spark):
     got = {r.doc_id: r.n_dropped for r in ld.line_dedup(spark.createDataFrame(rows, "doc_id bigint, text string, source string")).select("row.doc_id", "n_dropped").collect()}
     # 100 and 20 of 2,000 pages are boilerplate; 8 of 2,000 and 4 of 30 (fewer than five pages) are not
     assert got == {i: (i < 2000 and i % 20 == 0) + (i < 2000 and i % 100 == 0) for i, _, _ in rows}
+
+
+def test_hosts_of_urls(spark):
+    urls = ["http://A.example.com:80/x?y#z", "https://me:pw@b.org", "ftp://c.net?q", "no url", "", None, "//d.org/x"]
+    got = [r.h for r in spark.createDataFrame([(u,) for u in urls], "url string").select(ld.url_host(ld.F.col("url")).alias("h")).collect()]
+    assert got == ["a.example.com", "b.org", "c.net", None, None, None, None]
+    pages = spark.createDataFrame([(k, f"http://{h}.org/{k}", f"menu {h}\npage {k}") for k, h in enumerate("aaaaaabbbbbbb" + "c" * 4)], "page_id bigint, url string, text string")
+    out = ld.line_dedup(pages.withColumn("host", ld.url_host(ld.F.col("url"))), host_col="host")
+    assert {(r.row.page_id, r.n_dropped) for r in out.select("row", "n_dropped").collect()} == {(k, int(k < 13)) for k in range(17)}
+
+
+def test_a_text_over_a_mebibyte(spark):
+    rows = [(1, "menu\n" + "\n".join(f"line {k}" for k in range(150_000)), "a")] + [(k, f"menu\nown {k}", "a") for k in range(2, 9)]
+    got = {r.doc_id: (r.n_lines, r.n_dropped) for r in ld.line_dedup(spark.createDataFrame(rows, "doc_id bigint, text string, source string")).select("row.doc_id", "n_lines", "n_dropped").collect()}
+    assert got == {1: (150_001, 1)} | {k: (2, 1) for k in range(2, 9)}
