@@ -9,7 +9,8 @@ crc32(doc_id as text) mod 4 = 2. Only the text enters a score.
 
 Defined results: null and empty texts have all statistics 0 and get the score of that row; null labels are
 ignored, of repeated labels the larger counts; without labels of both kinds, every score is 0.5. Repeated
-rows are scored each. A null doc_id is not held out. Other columns are never looked at.
+rows are scored each; of documents that share a labelled id one trains. A null doc_id is not held out. Texts over 1 MiB are whole
+rows of statistics like any other. Other columns are never looked at. Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -183,7 +184,8 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, **option
         return pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("y"), pa.array(list(x), pa.list_(pa.float64()))], ["doc_id", "y", "x"])
 
     joined = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").mapInArrow(_per_batch(finish), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, y int, x array<double>")
-    rows = joined.orderBy("doc_id", "x").limit(max_rows).toArrow()
+    # of documents that share an id one trains
+    rows = joined.groupBy("doc_id").agg(F.min(F.struct("x", "y")).alias("first")).select("first.x", "first.y").orderBy("x", "y").toArrow()
     n = rows.num_rows
     x = rows.column("x").combine_chunks().flatten().to_numpy().reshape(n, -1) if n else np.zeros((0, 1))
     return fit_forest(x, rows.column("y").to_numpy().astype(float), **options)
@@ -191,7 +193,6 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, **option
 
 def score_quality(docs: DataFrame, forest: Forest) -> DataFrame:
     """doc_id, held_out, score (0 to 1), predicted."""
-    lean_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(forest)
 
     def finish(part: pa.RecordBatch, x: np.ndarray) -> pa.RecordBatch:
@@ -202,5 +203,6 @@ def score_quality(docs: DataFrame, forest: Forest) -> DataFrame:
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lean_batches(spark)
     docs = table(spark, sf_dir, "documents")
     return score_quality(docs, train(docs, table(spark, sf_dir, "labels")))

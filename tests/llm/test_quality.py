@@ -1,3 +1,8 @@
+import collections
+import math
+import re
+import zlib
+
 import numpy as np
 
 from kmerloom.llm import quality
@@ -35,3 +40,41 @@ def test_odd_documents(spark, odd, empty):
     assert quality.score_quality(empty, quality.train(empty, labels)).count() == 0
     none = labels.where("doc_id < 0")
     assert {r.score for r in quality.score_quality(odd, quality.train(odd, none)).collect()} == {0.5}
+
+
+def plain_statistics(text):
+    """The statistics of one text, byte by byte."""
+    data = (text or "").encode()
+    names = {**dict.fromkeys(range(32), 11), **dict.fromkeys(range(97, 123), 1), **dict.fromkeys(range(65, 91), 2), **dict.fromkeys(range(48, 58), 3), 32: 4, 9: 4, 10: 5, 13: 5}
+    names |= dict.fromkeys(range(192, 256), 6) | dict.fromkeys(range(128, 192), 7) | dict.fromkeys(b".!?", 8) | dict.fromkeys(b",;:-", 9) | dict.fromkeys(b"\'\"()[]{}<>", 10)
+    kind = lambda b: names.get(b, 0)
+    words, lines = re.findall(rb"[^ \t\n\x0b\x0c\r]+", data), re.findall(rb"[^\n]+", data)
+    ratio = lambda a, b: a / b if b else 0.0
+    most = lambda xs: max(collections.Counter(xs).values(), default=0)
+    n, sizes = len(words), [len(w) for w in words]
+    mean = ratio(sum(sizes), n)
+    upper, lower = [sum(kind(b) == 2 for b in w) for w in words], [sum(kind(b) == 1 for b in w) for w in words]
+    pairs = list(zip(words, words[1:]))
+    out = [math.log1p(len(data)), math.log1p(n), math.log1p(len(lines)), mean, math.sqrt(max(0, ratio(sum(s * s for s in sizes), n) - mean**2))]
+    out += [ratio(len(set(words)), n), ratio(most(words), n), ratio(len(set(pairs)), len(pairs)), ratio(most(pairs), len(pairs))]
+    out += [ratio(sum(x), n) for x in ([u > 1 and v == 0 for u, v in zip(upper, lower)], [kind(w[0]) == 2 and v > 0 for w, v in zip(words, lower)], [kind(w[-1]) == 0 or w[-1] == 33 for w in words], [kind(w[-1]) == 8 for w in words], [len(w) <= 2 and kind(w[-1]) == 0 for w in words])]
+    out += [ratio(len(set(lines)), len(lines)), ratio(most(lines), len(lines)), ratio(sum(kind(x[-1]) == 8 for x in lines), len(lines)), ratio(n, len(lines))]
+    return out + [ratio(sum(kind(b) == c for b in data), len(data)) for c in range(12)]
+
+
+def test_statistics_equal_the_plain_form(odd):
+    texts = [r.text or "" for r in odd.select("text").collect()] + ["A!! BB!! b. \n\n#$%\nb b b b", "\r\x00 x", "Zz " * 400_000]
+    data = np.frombuffer("".join(texts).encode(), np.uint8)
+    offsets = np.concatenate([[0], np.cumsum([len(t.encode()) for t in texts])])
+    got = np.concatenate([quality.statistics(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]) for i, j in quality.T.runs(offsets)])
+    assert len(texts[-1]) > 1 << 20
+    np.testing.assert_allclose(got, [plain_statistics(t) for t in texts], rtol=1e-9, atol=1e-9)
+
+
+def test_repeated_ids_push_no_labelled_row_out(spark):
+    rows = [(1, f"copy {k}") for k in range(50)] + [(k, f"text {'!!' * k}") for k in range(2, 12)]
+    labels = spark.createDataFrame([(k, k % 2, 0) for k in range(1, 12)], "doc_id bigint, quality int, toxic int")
+    forest = quality.train(spark.createDataFrame(rows, "doc_id bigint, text string"), labels, max_rows=12, least=0.0)
+    n = sum(zlib.crc32(str(k).encode()) % 4 != 2 for k in range(1, 12))
+    ones = sum(zlib.crc32(str(k).encode()) % 4 != 2 for k in range(1, 12, 2))
+    assert math.isclose(forest.base, math.log(ones / (n - ones)))
