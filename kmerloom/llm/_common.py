@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -34,9 +36,34 @@ def work_dir(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
 
+#: What the innermost open ``scratch`` block has made: folders, and tables kept on the executors' disks.
+_made: list[tuple[list[str], list[DataFrame]]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Intermediates made within the block go at its end: stored folders are removed, kept tables let go.
+
+    For programs: whatever is to last must be written before the block ends, as results are lazy.
+    """
+    _made.append(([], []))
+    try:
+        yield
+    finally:
+        folders, tables = _made.pop()
+        for df in tables:
+            df.unpersist()
+        hadoop = spark.sparkContext._jsc.hadoopConfiguration()
+        for folder in folders:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(hadoop).delete(path, True)
+
+
 def stored(df: DataFrame, what: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back: the lineage ends there."""
     path = work_dir(df.sparkSession, what)
+    if _made:
+        _made[-1][0].append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -46,6 +73,8 @@ def kept(df: DataFrame) -> DataFrame:
 
     The lineage stays, so the part of a lost executor is computed again. Small tables that end a lineage are ``stored``.
     """
+    if _made:
+        _made[-1][1].append(df)
     return df.persist(StorageLevel.DISK_ONLY)
 
 

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kmerloom.llm import _text as T
-from kmerloom.llm._common import lean_batches, stored, table
+from kmerloom.llm._common import kept, lean_batches, table
 
 MAX_PER_LABEL = 3000
 MAX_WORDS = 2000
@@ -173,7 +173,7 @@ def train(docs: DataFrame, labels: DataFrame, max_per_label: int = MAX_PER_LABEL
         own = one.where(F.col("value") == value).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_per_label).select("doc_id", F.lit(grade).alias("grade"))
         picked = own if picked is None else picked.union(own)
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(F.broadcast(picked), "doc_id").select("doc_id", "grade", "text")
-    sample = stored(texts.mapInArrow(_featurizer, SAMPLE), "toxicity-sample")
+    sample = kept(texts.mapInArrow(_featurizer, SAMPLE))
     # of documents that share an id the one with the least digest
     first = sample.groupBy("doc_id").agg(F.min("digest").alias("digest"))
     heads = sample.join(first, ["doc_id", "digest"]).select("doc_id", "digest", "grade", "bands").where(F.size("bands") > 0).dropDuplicates(["doc_id"]).orderBy("doc_id").toArrow().combine_chunks()

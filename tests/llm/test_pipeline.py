@@ -41,3 +41,17 @@ def test_stages_keep_columns_and_take_odd_rows(spark, odd, empty):
                 assert out.count() == n
             elif name != "mixing":
                 assert n == 0 or out.count() >= n - 8
+
+
+def test_scratch_removes_what_was_made_in_it(spark):
+    from pathlib import Path
+
+    from kmerloom.llm import _common
+
+    outside = _common.stored(spark.range(5).toDF("id"), "outside")
+    with _common.scratch(spark):
+        inside = _common.stored(spark.range(7).toDF("id"), "inside")
+        table = _common.kept(spark.range(9).toDF("id"))
+        assert inside.count() == 7 and table.count() == 9 and table.is_cached
+    assert not table.is_cached and outside.count() == 5
+    assert not list(Path(_common.shared_dir(spark).removeprefix("file:")).glob("inside-*"))
