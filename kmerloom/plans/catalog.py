@@ -107,35 +107,6 @@ def emb_norm_affine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _next_vectors(spark, sf_dir).select("vec_id", F.round(1 / similarity.norm(a), 6).alias("inv_norm"), F.round(2 * (similarity.cosine(a, b) - 0.5), 6).alias("score"))
 
 
-def _agreement(inputs: DataFrame, db: DataFrame) -> DataFrame:
-    found = stored(similarity.cosine_topk(inputs, db, 5), "topk")
-    return similarity.topk_agreement(found, similarity.cosine_pairs(inputs, db))
-
-
-@query("""
-WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings),
-s AS (SELECT a.vec_id AS input_id, b.vec_id AS db_id, list_dot_product(a.v, b.v) / (sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v))) AS s FROM v a JOIN v b ON a.vec_id % 2 = 0 AND b.vec_id % 2 = 1),
-r AS (SELECT *, row_number() OVER (PARTITION BY input_id ORDER BY s DESC, db_id) AS rank, max(s) OVER (PARTITION BY input_id) AS top FROM s)
-SELECT count(*) AS n, count(*) FILTER (s >= top - 0.00001) AS n_agree FROM r WHERE rank = 1
-""")
-def topk_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Even vectors searched among odd ones; the top answer of five against all pairs computed on their own."""
-    e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    return _agreement(e.where("vec_id % 2 = 0"), e.where("vec_id % 2 = 1"))
-
-
-@query("""
-WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings),
-s AS (SELECT a.vec_id AS input_id, b.vec_id AS db_id, list_dot_product(a.v, b.v) / (sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v))) AS s FROM v a, v b),
-r AS (SELECT *, row_number() OVER (PARTITION BY input_id ORDER BY s DESC, db_id) AS rank, max(s) OVER (PARTITION BY input_id) AS top FROM s)
-SELECT count(*) AS n, count(*) FILTER (s >= top - 0.00001) AS n_agree FROM r WHERE rank = 1
-""")
-def topk_agreement_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As ``topk_agreement``, all vectors searched among all."""
-    e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    return _agreement(e, e)
-
-
 # ---- DNA ----
 
 

@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from kmerloom.functions import hv
 from kmerloom.operators import encode, similarity
+from kmerloom.functions import hv
+from kmerloom.operators import encode, harness
 from kmerloom.plans import catalog
 
 
@@ -97,12 +99,29 @@ def test_agreement(spark):
     assert tuple(similarity.topk_agreement(found, truth).first()) == (2, 1)
 
 
-@pytest.mark.parametrize(("name", "n"), [("topk_agreement", 10), ("topk_agreement_all", 20)])
-def test_agreement_queries_see_wrong_answers(spark, tmp_path, monkeypatch, name, n):
-    v = np.random.default_rng(6).normal(size=(20, 8))
-    spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id bigint, embedding array<double>").write.parquet(f"{tmp_path}/embeddings.parquet")
-    assert tuple(catalog.QUERIES[name](spark, str(tmp_path)).first()) == (n, n)
-    search = similarity.cosine_topk
-    # the second-best answer in place of the best
-    monkeypatch.setattr(similarity, "cosine_topk", lambda *a, **k: search(*a, **k).where("rank > 1").withColumn("rank", F.col("rank") - 1))
-    assert tuple(catalog.QUERIES[name](spark, str(tmp_path)).first()) == (n, 0)
+def test_agreement_sees_wrong_answers(spark, tmp_path, monkeypatch):
+    r = np.random.default_rng(6)
+    texts = ["".join(r.choice(list("abcdefgh "), 200)) for _ in range(12)] + ["short"]
+    spark.createDataFrame(list(enumerate(texts)), "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    # 13 items: six are asked, each has a window
+    assert tuple(catalog.QUERIES["read_search_agreement"](spark, str(tmp_path)).first()) == (6, 6)
+    search = harness.read_search
+    # the fortieth answer in place of the best
+    monkeypatch.setattr(harness, "read_search", lambda *a, **k: search(*a, k=40).where("rank = 40").withColumn("rank", F.lit(1)))
+    n, agree = catalog.QUERIES["read_search_agreement"](spark, str(tmp_path)).first()
+    assert n == 6 and agree < 6
+
+
+def test_read_search_equals_plain_python(spark):
+    r = np.random.default_rng(7)
+    rows = [(k, "".join(r.choice(list("ACGT"), n))) for k, n in enumerate([140, 90, 155, 130, 200, 60, 170, 125, 145])]
+    got = {(x.read_id, x.rank): (x.db_read, x.window_start, x.cosine) for x in harness.read_search(spark.createDataFrame(rows, "read_id bigint, sequence string"), k=4).collect()}
+    g = hv.gram()
+    count = lambda s: encode.counts_of(encode.sequence_ids(s[:124].encode()))  # noqa: E731  a window of this rule has 120 k-mers
+    windows = [(k, t, count(s[t:])) for k, s in rows[4:] for t in range(0, len(s) - 124, 10)]
+    asked = [(k, count(s)) for k, s in rows[:4] if len(s) >= 125]
+    assert {k for k, _ in got} == {k for k, _ in asked} == {0, 2, 3}
+    for k, q in asked:
+        order = sorted(((-(q @ g @ c) / np.sqrt((q @ g @ q) * (c @ g @ c)), d, t) for d, t, c in windows))
+        for rank, (minus, d, t) in enumerate(order[:4], 1):
+            assert got[k, rank][:2] == (d, t) and abs(got[k, rank][2] + minus) < 1e-12
