@@ -58,10 +58,13 @@ def read_category(library: DataFrame, category: str) -> DataFrame:
 def read_fastq(spark: SparkSession, path: str) -> DataFrame:
     """(read_id, sequence, quality, ord); four lines per record, '@' stripped; a file cut off within a record raises.
 
-    Records are told apart by line numbers within a file, so each file is numbered on its own.
+    Records are told apart by line numbers within a file. A line's number is its place in its split plus the lines of the
+    splits before, so that a large file is numbered by many tasks; only the table of splits, one row each, is put in order by file.
     """
-    lines = _ordinal(spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file")))
-    numbered = lines.withColumn("n", F.row_number().over(Window.partitionBy("file").orderBy("ord")) - 1)
+    lines = _ordinal(spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"))).withColumn("split", F.shiftright("ord", 33))
+    splits = lines.groupBy("file", "split").agg(F.count(F.lit(1)).alias("lines"), F.min("ord").alias("first"))
+    before = F.coalesce(F.sum("lines").over(Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    numbered = lines.join(splits.select("file", "split", "first", before.alias("before")), ["file", "split"]).withColumn("n", F.col("before") + F.col("ord") - F.col("first"))
     part = lambda k: F.max(F.when(F.col("n") % 4 == k, F.regexp_replace("value", r"\s+$", "")))
     records = numbered.groupBy("file", F.floor(F.col("n") / 4).alias("rec")).agg(part(0).alias("h"), part(1).alias("sequence"), part(3).alias("quality"), F.count(F.lit(1)).alias("lines"), F.min("ord").alias("ord"))
     whole = F.when((F.col("lines") == 4) & F.col("h").startswith("@"), F.substring(F.col("h"), F.lit(2), F.length("h"))).otherwise(F.raise_error(F.concat(F.lit("broken FASTQ record in "), F.col("file"))).cast("string"))

@@ -1,8 +1,9 @@
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from kmerloom.functions import lineage
-from kmerloom.operators import align, identify, propagate, sample, taxonomy
+from kmerloom.operators import align, encode, identify, propagate, sample, similarity, taxonomy
 from kmerloom.operators.induct import induct_headers, induct_pairs, induct_two_files
 from kmerloom.operators.induct import write as write_induced
 from kmerloom.sources import fasta
@@ -169,3 +170,61 @@ def test_category_files(spark, tmp_path):
     for name in ("s__b.fasta", "s__a.fasta", "g__c.fasta", "s__d.txt"):
         (tmp_path / name).write_text(">x\nA\n")
     assert [r.category for r in fasta.category_files(spark, str(tmp_path)).collect()] == ["s__a", "s__b"]
+
+
+def test_marks_within_headers_and_colons(spark, tmp_path):
+    (tmp_path / "x.fasta").write_text(">id1 Bacteria;A->B;C\r\nAC\r\nGT\r\n>id2:7:x > y\nT>T\n\n>id3\nA")
+    path = f"{tmp_path}/x.fasta"
+    got = [(r.seq_id, r.description, r.sequence) for r in fasta.read_fasta(spark, path, "lineage").orderBy("ord").collect()]
+    assert got == [("id1", "Bacteria;A->B;C", "ACGT"), ("id2:7:x", "> y", "T>T"), ("id3", "", "A")]
+    assert [r.seq_id for r in fasta.read_fasta(spark, path, "colon").orderBy("ord").collect()] == ["id1", "id2", "id3"]
+
+
+def test_ranks_by_join_equal_ranks_by_map(spark):
+    paths = ["Bacteria;P;C;X;Sp one", "Root;Bacteria; ;P;Uncultured", "Bacteria;P;unidentified;S", "Archaea;P", "Bacteria", "Bacteria;Solo", "Bacteria;P;C", "x;Bacteria;Bacteria;P;q"]
+    known = {"Bacteria;P;": "phylum", "Bacteria;P;C;": "class", "Bacteria;P;C;X;": "odd"}
+    ranks = spark.createDataFrame(list(known.items()), "path string, rank string")
+    as_map = F.create_map(*[F.lit(x) for kv in known.items() for x in kv])
+    rows = spark.createDataFrame([(p,) for p in paths] * 2, "description string")
+    want = {r.description: r.l for r in rows.select("description", lineage.prefixed_taxonomy(F.col("description"), as_map).alias("l")).collect()}
+    got = {r.path: r.lineage for r in lineage.prefixed_lineages(rows, ranks).collect()}
+    assert got == {p: v for p, v in want.items() if v is not None}
+
+
+def test_coverage():
+    assert sample.coverage(100, 125, 5000) == 2.5
+
+
+@pytest.mark.parametrize("mode", ["direct", "incremental"])
+def test_reference_pieces_hold_the_windows(spark, mode, monkeypatch):
+    """Scores over pieces of sequences equal the best over all windows, one by one."""
+    monkeypatch.setattr(identify, "PIECE_WINDOWS", 3)
+    rows = [("a", "1", random_dna(5, 900)), ("a", "2", random_dna(6, 125)), ("a", "3", random_dna(7, 40)), ("b", "4", random_dna(8, 136)), ("b", "5", "N" * 300)]
+    library = spark.createDataFrame(rows, "category string, seq_id string, sequence string")
+    asked = encode.encode_sequences(spark.createDataFrame([(1, rows[0][2][300:425]), (2, random_dna(9, 125))], "query_id bigint, sequence string")).select("query_id", "ids")
+    pairs = asked.crossJoin(library.select("category").distinct())
+    got = {(r.query_id, r.category): r.score for r in identify.score_candidates(pairs, identify.reference_blocks(library, mode), mode=mode).collect()}
+    windows = encode.encode_windows(library, mode=mode).collect()
+    for q in asked.collect():
+        for c in "ab":
+            lists = [np.array(w.ids, np.int64) for w in windows if w.category == c]
+            scores = similarity.score_matrix(encode.counts_of(np.array(q.ids))[None], np.stack([encode.counts_of(x) for x in lists]))
+            assert abs(got[q.query_id, c] - max(-1.0, scores.max())) < 1e-12
+    blocks = identify.reference_blocks(library, mode).collect()
+    assert sorted(x for b in blocks for x in b.norm2) == sorted(w.norm2 for w in windows)
+
+
+def test_fastq_over_many_splits(spark, tmp_path):
+    """Records that lie across the splits of a file come out whole, in order."""
+    for name, n in (("a", 400), ("b", 90)):
+        (tmp_path / f"{name}.fastq").write_text("".join(f"@{name}{k}\n{'ACGT' * (k % 5)}A\n+\n{'@III' * (k % 5)}I\n" for k in range(n)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+        rows = fasta.read_fastq(spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    want = [(f"{name}{k}", "ACGT" * (k % 5) + "A", "@III" * (k % 5) + "I") for name, n in (("a", 400), ("b", 90)) for k in range(n)]
+    assert sorted((r.read_id, r.sequence, r.quality) for r in rows) == sorted(want)
+    own = sorted((r for r in rows if r.read_id[0] == "a"), key=lambda r: r.ord)
+    assert [r.read_id for r in own] == [f"a{k}" for k in range(400)]
