@@ -352,7 +352,7 @@ b(id, i, j, ar, sy, aq) AS (
     CASE WHEN step = 1 THEN '-' ELSE x END || ar, CASE step WHEN 1 THEN 'I' WHEN 2 THEN 'D' ELSE CASE WHEN x = y THEN '|' ELSE '*' END END || sy, CASE WHEN step = 2 THEN '-' ELSE y END || aq
   FROM (SELECT b.*, substr(r, b.j, 1) AS x, substr(q, b.i, 1) AS y, CASE WHEN now.costs[b.j + 1] = above.costs[b.j + 1] + 1 THEN 1 WHEN b.j > 0 AND now.costs[b.j + 1] = now.costs[b.j] + 1 THEN 2 ELSE 3 END AS step
     FROM b JOIN p ON p.id = b.id JOIN c now ON now.id = b.id AND now.i = b.i JOIN c above ON above.id = b.id AND above.i = b.i - 1))
-SELECT e.id::VARCHAR AS name, j::INT AS start, stop::INT AS "end", errors::INT AS min_errors, ar AS aligned_reference, sy AS symbols, aq AS aligned_query FROM b JOIN e ON e.id = b.id WHERE i = 0
+SELECT e.id::VARCHAR AS name, j::INT AS start, stop::INT AS stop, errors::INT AS min_errors, ar AS aligned_reference, sy AS symbols, aq AS aligned_query FROM b JOIN e ON e.id = b.id WHERE i = 0
 """
 
 
@@ -362,7 +362,7 @@ def align_semiglobal(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = _queries(spark, sf_dir)
     before = q.select((F.col("ord") + 1).alias("ord"), F.col("sequence").alias("reference"))
     found = q.join(before, "ord").select("name", align.semiglobal(F.col("reference"), F.col("sequence")).alias("a"))
-    return found.select("name", "a.*")
+    return found.select("name", "a.*").withColumnRenamed("end", "stop")
 
 
 def _unit(text: str) -> str:
