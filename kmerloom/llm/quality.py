@@ -185,10 +185,12 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, **option
 
     joined = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").mapInArrow(_per_batch(finish), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, y int, x array<double>")
     # of documents that share an id one trains
-    rows = joined.groupBy("doc_id").agg(F.min(F.struct("x", "y")).alias("first")).select("first.x", "first.y").orderBy("x", "y").toArrow()
+    rows = joined.groupBy("doc_id").agg(F.min(F.struct("x", "y")).alias("first")).select("first.x", "first.y").toArrow()
     n = rows.num_rows
     x = rows.column("x").combine_chunks().flatten().to_numpy().reshape(n, -1) if n else np.zeros((0, 1))
-    return fit_forest(x, rows.column("y").to_numpy().astype(float), **options)
+    y = rows.column("y").to_numpy().astype(float)
+    order = np.lexsort(np.vstack([y, x.T]))  # sums of gradients do not depend on the order in which rows arrive
+    return fit_forest(x[order], y[order], **options)
 
 
 def score_quality(docs: DataFrame, forest: Forest) -> DataFrame:
