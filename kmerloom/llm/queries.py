@@ -9,11 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 from kmerloom.llm import (
     decontaminate,
     fingerprints,
+    html_text,
+    importance,
     line_dedup,
     mixing,
     near_dup,
     pii,
     quality,
+    runs,
     suffix_dedup,
     toxicity,
     warc,
@@ -32,6 +35,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_fingerprints": fingerprints.op8_fingerprints,
         "op9_mix": mixing.op9_mix,
         "op10_near_dup": near_dup.op10_near_dup,
+        "op11_html_text": html_text.op11_html_text,
+        "op12_importance": importance.op12_importance,
+        "op13_runs": runs.op13_runs,
     }
 
 
@@ -43,4 +49,5 @@ def oracle_sql() -> dict[str, str]:
         "op7_warc": warc.OP7_SQL,
         "op9_mix": mixing.OP9_SQL,
         "op10_near_dup": near_dup.OP10_SQL,
+        "op12_importance": importance.OP12_SQL,
     }
