@@ -255,7 +255,36 @@ WITH RECURSIVE e AS ({_EDGES_SQL}), d(ancestor, descendant, path) AS (
 SELECT ancestor, descendant, path FROM d
 """)
 def descendant_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return taxonomy.descendants(taxonomy.edges(lineages(spark, sf_dir))).select("ancestor", "descendant", F.array_join("path", "|").alias("path"))
+    return taxonomy.descendants_of(lineages(spark, sf_dir)).select("ancestor", "descendant", F.array_join("path", "|").alias("path"))
+
+
+def _tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as leaves of a tree of region, nation and segment: labels carry their parents', so that each has one way."""
+    label = F.concat(F.lit("k__World; p__"), "r_name", F.lit("; c__"), "n_name", F.lit("; o__"), "n_name", F.lit("-"), "c_mktsegment", F.lit("; s__"), F.col("c_custkey").cast("string"))
+    c, n, r = (table(spark, sf_dir, t) for t in ("customer", "nation", "region"))
+    return c.join(n, F.col("c_nationkey") == F.col("n_nationkey")).join(r, F.col("n_regionkey") == F.col("r_regionkey")).select(label.alias("lineage"))
+
+
+_TREE_SQL = """
+WITH t AS (SELECT ['k__World', 'p__' || r_name, 'c__' || translate(n_name, ' ', '_'), 'o__' || translate(n_name || '-' || c_mktsegment, ' ', '_'), 's__' || c_custkey] AS t
+  FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey),
+w AS (SELECT DISTINCT list_transform(t[1 : k], lambda x: translate(x, ' ', '_')) AS way FROM t, range(1, 6) r(k)),
+n AS (SELECT way, way[-1] AS node, row_number() OVER (ORDER BY array_to_string(list_transform(way, lambda x: encode(x)::VARCHAR), chr(1))) - 1 AS first FROM w),
+e AS (SELECT n.node, n.way, n.first, n.first + (SELECT count(*) FROM n d WHERE d.way[len(n.way)] = n.node) - 1 AS last FROM n)
+"""
+
+
+@query(_TREE_SQL + "SELECT node, way[-2] AS parent, len(way) AS depth, first, last FROM e")
+def taxonomy_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Euler-tour numbers of all nodes."""
+    return taxonomy.intervals(stored(taxonomy.paths(_tree(spark, sf_dir)), "paths"))
+
+
+@query(_TREE_SQL + "SELECT a.node AS ancestor, d.node AS descendant, d.first FROM e a JOIN e d ON d.first > a.first AND d.first <= a.last WHERE starts_with(a.node, 'c__')")
+def taxonomy_subtrees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All descendants of each class, by intervals."""
+    tour = stored(taxonomy.intervals(stored(taxonomy.paths(_tree(spark, sf_dir)), "paths")), "tour")
+    return taxonomy.subtrees(tour.where(F.col("node").startswith("c__")), tour)
 
 
 @query("""
