@@ -65,7 +65,7 @@ def file_fasta_lineage(spark: SparkSession, sf_dir: str) -> DataFrame:
 def file_last_by_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of records with one id the last stays."""
     path = folder(spark, "last")
-    rows = documents_dna(spark, sf_dir).coalesce(1).sortWithinPartitions("doc_id")
+    rows = documents_dna(spark, sf_dir).repartitionByRange(8, "doc_id").sortWithinPartitions("doc_id")  # files in order of ids
     fasta.write_fasta(_header(rows, F.concat(F.lit("d"), F.col("doc_id") % 50)), path)
     return fasta.last_by_id(fasta.read_fasta(spark, path, keep_empty=True)).select("seq_id", _md5("sequence").alias("sequence_md5"))
 
@@ -109,11 +109,11 @@ def file_taxonomy_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fasta.read_taxonomy_index(spark, path, header=False, strict=True).select("seq_id", "lowest", "lineage")
 
 
-@query(f"SELECT seq_id::VARCHAR AS seq_id, {_LOWEST} AS lowest, lineage FROM ({LINEAGES_SQL}) WHERE seq_id > (SELECT min(c_custkey) FROM customer)")
+@query(f"SELECT seq_id::VARCHAR AS seq_id, {_LOWEST} AS lowest, lineage FROM ({LINEAGES_SQL})")
 def file_taxonomy_index_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The scan that leaves out a file's first line."""
+    """The scan that leaves out the first line of each of many files, a header here."""
     path = folder(spark, "scan")
-    fasta.write_taxonomy_index(_index(spark, sf_dir).coalesce(1).sortWithinPartitions("seq_id"), path)
+    _index(spark, sf_dir).repartition(5, "seq_id").write.option("sep", "\t").option("header", True).csv(path)
     return fasta.read_taxonomy_index(spark, path).select("seq_id", "lowest", "lineage")
 
 
@@ -121,7 +121,7 @@ def file_taxonomy_index_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def file_taxonomy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two columns; of a repeated id the last line stays."""
     path = folder(spark, "taxonomy")
-    rows = lineages(spark, sf_dir).coalesce(1).sortWithinPartitions("seq_id")
+    rows = lineages(spark, sf_dir).repartitionByRange(8, "seq_id").sortWithinPartitions("seq_id")  # files in order of ids
     rows.select(F.concat_ws("\t", F.col("seq_id") % 100, "lineage").alias("value")).write.text(path)
     return fasta.read_taxonomy(spark, path)
 
@@ -134,6 +134,22 @@ def file_rank_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fasta.read_rank_lookup(spark, path).select("path", "rank")
 
 
+@query("SELECT 's__' || r_name AS category, count(*)::BIGINT AS n_sequences FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY r_name")
+def file_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The categories of a folder by the names of its FASTA files, and how many sequences each file has; another prefix and a missing file have none."""
+    path = folder(spark, "categories")
+    rows = _nations(spark, sf_dir)
+    for r in table(spark, sf_dir, "region").select("r_name").collect():
+        own = rows.where(F.col("r_name") == r.r_name)
+        for prefix in ("s__", "g__"):
+            fasta.write_fasta(own.select(F.col("n_name").alias("seq_id"), F.lit("ACGT").alias("sequence")), f"{path}/{prefix}{r.r_name}.fasta")
+    found = None
+    for c in [*fasta.category_files(spark, path).collect(), ("s__missing",)]:
+        own = fasta.read_fasta(spark, f"{path}/{c[0]}.fasta").select(F.lit(c[0]).alias("category"))
+        found = own if found is None else found.union(own)
+    return found.groupBy("category").agg(F.count(F.lit(1)).cast("bigint").alias("n_sequences"))
+
+
 def _nations(spark: SparkSession, sf_dir: str) -> DataFrame:
     n, r = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
     return n.join(r, F.col("n_regionkey") == F.col("r_regionkey"))

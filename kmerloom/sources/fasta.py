@@ -2,46 +2,39 @@
 
 from __future__ import annotations
 
+import pyarrow.fs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from kmerloom.functions.dna import safe_name
+from kmerloom.sources import formats
 
 
-def exists(spark: SparkSession, path: str) -> bool:
-    """Whether a path exists, asked of its own file system."""
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+def exists(path: str) -> bool:
+    """Whether a path has a file or folder, asked of its own file system."""
+    fs, inner = formats.opened(path)
+    return fs.get_file_info(inner).type != pyarrow.fs.FileType.NotFound
 
 
-def _ordinal(df: DataFrame) -> DataFrame:
-    """Place of each record over all files: file name, then block, then row."""
-    return df.withColumn("ord", F.monotonically_increasing_id())
+def read(spark: SparkSession, form: str, path: str, **options) -> DataFrame:
+    """Rows of one of the :mod:`kmerloom.sources.formats`."""
+    formats.register(spark)
+    given = {k: str(v).lower() if isinstance(v, bool) else str(v) for k, v in options.items() if v is not None}
+    return spark.read.format(form).options(**given).load(path)
 
 
-def read_fasta(spark: SparkSession, path: str, header: str = "full", keep_empty: bool = False, glob: str | None = None) -> DataFrame:
+def read_fasta(spark: SparkSession, path: str, header: str = "full", keep_empty: bool = False, glob: str | None = None, range_bytes: int | None = None) -> DataFrame:
     """(seq_id, description, sequence, file, ord).
 
-    Records are split by the reader where a line begins with '>', so large files are read in parallel. ``header``: 'full' (the whole
+    Records begin where a line begins with '>'; large files are read in byte ranges by many tasks. ``header``: 'full' (the whole
     line is the id), 'token' (the first word), 'colon' (what is before the first ':' of the first word), 'lineage' (id up to the
     first space, the rest in description). Records with an empty sequence are dropped unless ``keep_empty``. A missing path gives no rows.
     """
-    schema = StructType([StructField(c, StringType()) for c in ("seq_id", "description", "sequence", "file")] + [StructField("ord", LongType())])
-    if not exists(spark, path):
-        return spark.createDataFrame([], schema)
-    reader = spark.read.option("lineSep", "\n>")
-    if glob:
-        reader = reader.option("pathGlobFilter", glob)
-    raw = reader.text(path).select("value", F.col("_metadata.file_name").alias("file"))
-    # only the first record of a file still has its mark
-    lines = F.transform(F.split(F.regexp_replace("value", "^>", ""), "\n"), lambda x: F.regexp_replace(x, r"\s+$", ""))
-    rows = _ordinal(raw).where(F.trim("value") != "").select(lines.alias("lines"), "file", "ord")
-    head = F.element_at("lines", 1)
-    sequence = F.array_join(F.slice("lines", 2, F.size("lines")), "")
-    seq_id: Column = {"full": head, "token": F.element_at(F.split(F.trim(head), r"\s+"), 1), "colon": F.substring_index(F.element_at(F.split(F.trim(head), r"\s+"), 1), ":", 1), "lineage": F.substring_index(head, " ", 1)}[header]
+    rows = read(spark, "fasta", path, glob=glob, rangeBytes=range_bytes)
+    head, word = F.col("header"), F.element_at(F.split(F.trim("header"), r"\s+"), 1)
+    seq_id: Column = {"full": head, "token": word, "colon": F.substring_index(word, ":", 1), "lineage": F.substring_index(head, " ", 1)}[header]
     description = F.when(F.contains(head, F.lit(" ")), F.regexp_replace(head, r"^\S* ", "")).otherwise(F.lit(""))
-    out = rows.select(seq_id.alias("seq_id"), description.alias("description"), sequence.alias("sequence"), "file", "ord")
+    out = rows.select(seq_id.alias("seq_id"), description.alias("description"), "sequence", "file", "ord")
     return out if keep_empty else out.where(F.length("sequence") > 0)
 
 
@@ -55,20 +48,9 @@ def read_category(library: DataFrame, category: str) -> DataFrame:
     return library.where(F.col("category") == category)
 
 
-def read_fastq(spark: SparkSession, path: str) -> DataFrame:
-    """(read_id, sequence, quality, ord); four lines per record, '@' stripped; a file cut off within a record raises.
-
-    Records are told apart by line numbers within a file. A line's number is its place in its split plus the lines of the
-    splits before, so that a large file is numbered by many tasks; only the table of splits, one row each, is put in order by file.
-    """
-    lines = _ordinal(spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"))).withColumn("split", F.shiftright("ord", 33))
-    splits = lines.groupBy("file", "split").agg(F.count(F.lit(1)).alias("lines"), F.min("ord").alias("first"))
-    before = F.coalesce(F.sum("lines").over(Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    numbered = lines.join(splits.select("file", "split", "first", before.alias("before")), ["file", "split"]).withColumn("n", F.col("before") + F.col("ord") - F.col("first"))
-    part = lambda k: F.max(F.when(F.col("n") % 4 == k, F.regexp_replace("value", r"\s+$", "")))
-    records = numbered.groupBy("file", F.floor(F.col("n") / 4).alias("rec")).agg(part(0).alias("h"), part(1).alias("sequence"), part(3).alias("quality"), F.count(F.lit(1)).alias("lines"), F.min("ord").alias("ord"))
-    whole = F.when((F.col("lines") == 4) & F.col("h").startswith("@"), F.substring(F.col("h"), F.lit(2), F.length("h"))).otherwise(F.raise_error(F.concat(F.lit("broken FASTQ record in "), F.col("file"))).cast("string"))
-    return records.select(whole.alias("read_id"), "sequence", "quality", "ord")
+def read_fastq(spark: SparkSession, path: str, range_bytes: int | None = None) -> DataFrame:
+    """(read_id, sequence, quality, ord); four lines per record, '@' stripped; a file cut off within a record raises."""
+    return read(spark, "fastq", path, rangeBytes=range_bytes).select("read_id", "sequence", "quality", "ord")
 
 
 def read_taxonomy_index(spark: SparkSession, path: str, header: bool = True, strict: bool = False) -> DataFrame:
@@ -76,36 +58,28 @@ def read_taxonomy_index(spark: SparkSession, path: str, header: bool = True, str
 
     ``header`` skips the first line of each file; blank lines are skipped; ``strict`` raises on fewer than three parts.
     """
-    lines = _ordinal(spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file")))
-    if header:
-        first = lines.groupBy("file").agg(F.min("ord").alias("first"))
-        lines = lines.join(first, "file").where(F.col("ord") != F.col("first"))
-    parts = F.split("value", "\t", 3)
-    rows = lines.where(F.trim("value") != "").select(parts.alias("p"), "ord")
-    third = F.get("p", F.lit(2))
-    if strict:
-        third = F.coalesce(third, F.raise_error(F.lit("taxonomy line with fewer than three columns")).cast("string"))
-    return rows.select(F.trim(F.get("p", F.lit(0))).alias("seq_id"), F.trim(F.get("p", F.lit(1))).alias("lowest"), F.trim(third).alias("lineage"), "ord")
+    return read(spark, "taxonomy_index", path, header=header, strict=strict).select("seq_id", "lowest", "lineage", "ord")
 
 
 def read_taxonomy(spark: SparkSession, path: str) -> DataFrame:
-    """(seq_id, lineage): two parts at the first tab, no header; a repeated id keeps its last line; a line without tab raises."""
-    lines = _ordinal(spark.read.text(path)).select(F.split(F.regexp_replace("value", r"\s+$", ""), "\t", 2).alias("p"), "ord")
+    """(seq_id, lineage): two parts at the first tab, no header; a repeated id keeps its last line, in order of file names and lines; a line without tab raises."""
+    lines = read(spark, "numbered_lines", path).select(F.split(F.regexp_replace("value", r"\s+$", ""), "\t", 2).alias("p"), "ord")
     value = F.coalesce(F.get("p", F.lit(1)), F.raise_error(F.lit("taxonomy line without a tab")).cast("string"))
     return lines.select(F.get("p", F.lit(0)).alias("seq_id"), value.alias("lineage"), "ord").groupBy("seq_id").agg(F.max_by("lineage", "ord").alias("lineage"))
 
 
 def read_rank_lookup(spark: SparkSession, path: str) -> DataFrame:
-    """(path, rank) from columns 0 and 2 of a tab-separated file; shorter lines are skipped, the last of equal paths wins."""
-    lines = _ordinal(spark.read.text(path)).select(F.split("value", "\t").alias("p"), "ord").where(F.size("p") >= 3)
+    """(path, rank) from columns 0 and 2 of a tab-separated file; shorter lines are skipped, the last of equal paths wins, in order of file names and lines."""
+    lines = read(spark, "numbered_lines", path).select(F.split("value", "\t").alias("p"), "ord").where(F.size("p") >= 3)
     trimmed = lines.select(F.trim(F.get("p", F.lit(0))).alias("path"), F.trim(F.get("p", F.lit(2))).alias("rank"), "ord")
     return trimmed.groupBy("path").agg(F.max_by("rank", "ord").alias("rank"))
 
 
 def category_files(spark: SparkSession, folder: str, prefix: str = "s__") -> DataFrame:
-    """(category) of the FASTA files in a folder whose names start with the prefix, sorted."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", f"{prefix}*.fasta").load(folder).select(F.regexp_extract("path", r"([^/]+)\.fasta$", 1).alias("category"))
-    return files.orderBy("category")
+    """(category) of the FASTA files, or folders of part files, in a folder whose names start with the prefix, sorted."""
+    fs, inner = formats.opened(folder)
+    names = sorted(f.base_name.removesuffix(".fasta") for f in fs.get_file_info(pyarrow.fs.FileSelector(inner)) if f.base_name.startswith(prefix) and f.base_name.endswith(".fasta"))
+    return spark.createDataFrame([(n,) for n in names], "category string")
 
 
 def fasta_line(seq_id: Column, sequence: Column) -> Column:

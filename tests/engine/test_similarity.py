@@ -74,13 +74,13 @@ def test_best_window_takes_the_first_best(spark):
     assert got == {"r": (1.0, 10), "low": (-1.0, 0), "whole": (1.0, 0)}
 
 
-@pytest.mark.parametrize(("k", "limit"), [(1, 1 << 20), (4, 1 << 20), (4, 600), (50, 1 << 20)])
+@pytest.mark.parametrize(("k", "limit"), [(1, 1 << 20), (4, 1 << 20), (4, 100), (50, 1 << 20)])
 def test_topk_equals_brute_force(spark, k, limit):
     r = np.random.default_rng(3)
     v = r.integers(-2, 3, (40, 4)).astype(float)  # many ties and some zero vectors
     v[7] = 0
     df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)] + [(None, [1.0] * 4), (99, None)], "vec_id bigint, embedding array<double>").repartition(5)
-    got = {(x.input_id, x.rank): (x.db_id, x.score) for x in similarity.cosine_topk(df, df, k, block_rows=3, broadcast_bytes=limit).collect()}
+    got = {(x.input_id, x.rank): (x.db_id, x.score) for x in similarity.cosine_topk(df, df, k, tile=3, cell_bytes=limit).collect()}
     size = np.linalg.norm(v, axis=1)
     want = 0
     for i in range(40):

@@ -218,12 +218,13 @@ def test_fastq_over_many_splits(spark, tmp_path):
     """Records that lie across the splits of a file come out whole, in order."""
     for name, n in (("a", 400), ("b", 90)):
         (tmp_path / f"{name}.fastq").write_text("".join(f"@{name}{k}\n{'ACGT' * (k % 5)}A\n+\n{'@III' * (k % 5)}I\n" for k in range(n)))
-    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
-    try:
-        spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
-        rows = fasta.read_fastq(spark, str(tmp_path)).collect()
-    finally:
-        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    for size in (1000, 37, 1):
+        table = fasta.read_fastq(spark, str(tmp_path), range_bytes=size) if size > 1 else fasta.read_fastq(spark, str(tmp_path))
+        _fastq_rows(table.collect())
+    assert fasta.read_fastq(spark, str(tmp_path), range_bytes=1000).rdd.getNumPartitions() > 10
+
+
+def _fastq_rows(rows):
     want = [(f"{name}{k}", "ACGT" * (k % 5) + "A", "@III" * (k % 5) + "I") for name, n in (("a", 400), ("b", 90)) for k in range(n)]
     assert sorted((r.read_id, r.sequence, r.quality) for r in rows) == sorted(want)
     own = sorted((r for r in rows if r.read_id[0] == "a"), key=lambda r: r.ord)
