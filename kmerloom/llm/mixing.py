@@ -8,13 +8,14 @@ from prefix sums over the sources in order of limit / weight.
 Certain copies. A source's documents are to appear ``target / source_size`` times; the whole part of that is a
 number of certain copies of each document. What is then short of the target is sampled, in two rounds.
 
-Round. The documents of a source are put into classes of nearly equal size (eight to an octave). From the
-largest class down, each gets a fixed number of places: its share of what is still short, rounded up or down by a random
-number of the class, within the limits that the smaller classes can make up for. A class with ``k`` places is a Pareto order
-sample of that fixed size: with inclusion probabilities ``p = k * size / words of the class``, in proportion to size, and a uniform
+Round. Inclusion is in proportion to size over the whole source: ``p = rate * size``, at most 1, where ``rate`` is such that the expected words of the
+sample are what is short. The documents of a source are put into classes of nearly equal size (eight to an octave), so that the sample has few words too many or
+too few. From the largest class down, each gets a fixed number of places, ``n * p`` for the class's mean size, rounded up or down by a random
+number of the class, within the limits that the smaller classes can make up for; what a class takes more or less moves the rate of those below it. A class with ``k`` places is a Pareto order
+sample of that fixed size: with ``p = k * size / words of the class`` and a uniform
 number ``u`` from a digest of the document's id, documents rank by ``(u / (1 - u)) / (p / (1 - p))`` and the least ``k`` enter; those
 with ``p`` of at least 1 are certain. The first round aims at 15/16 of what is short, the second samples the
-documents that are left for the rest, so that the sizes of the sampled documents hardly matter for the total.
+documents that are left for the rest, again in proportion to size.
 
 Scale. The k-th rank of a class comes from a histogram of the ranks (``2**9`` bins for each class, counted before any
 shuffle); only the documents of one bin per class are ever put in order. The table of sources, one row
@@ -97,7 +98,11 @@ def places(classes: DataFrame, short: DataFrame, name: str) -> DataFrame:
     ``name`` goes into the digest of the random roundings.
     """
     draw = uniform(F.concat(F.lit(f"{name}:"), "source_key", F.lit(":"), F.col("class").cast("string")))
-    listed = classes.groupBy("source_key").agg(F.sort_array(F.collect_list(F.struct("class", "n", "words", draw.alias("draw"))), asc=False).alias("classes"), F.sum("words").alias("rest"))
+    upto = Window.partitionBy("source_key").orderBy("class").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    # the words that this class and the smaller ones would give at a rate of 1
+    square = F.sum(F.col("words").cast("double") * F.col("words").cast("double") / F.col("n").cast("double")).over(upto)
+    ranked = classes.withColumn("square", square)
+    listed = ranked.groupBy("source_key").agg(F.sort_array(F.collect_list(F.struct("class", "n", "words", draw.alias("draw"), "square")), asc=False).alias("classes"), F.sum("words").alias("rest"))
     kind = "array<struct<class:int,n:bigint,words:bigint,take:bigint>>"
     start = F.struct(F.col("short").cast("double").alias("short"), F.col("rest"), F.array().cast(kind).alias("out"))
 
@@ -106,7 +111,7 @@ def places(classes: DataFrame, short: DataFrame, name: str) -> DataFrame:
         smaller = acc["rest"] - c["words"]
         mean = words / n
         least, most = F.ceil((short - smaller) / mean).cast("double"), F.floor(short / mean).cast("double")
-        want = F.floor(short * n / (words + smaller.cast("double")) + c["draw"]).cast("double")
+        want = F.floor(n * F.least(F.lit(1.0), short * mean / c["square"]) + c["draw"]).cast("double")
         closer = F.when((short - smaller) / mean - most <= least - short / mean, most).otherwise(least)
         take = F.when(least <= most, F.least(F.greatest(want, least), most)).otherwise(closer)
         take = F.least(F.greatest(take, F.lit(0.0)), n)
@@ -210,6 +215,7 @@ def _round_sql(k: int, aim: float, rows: str, short: str) -> str:
     return f"""
 k{k} AS (SELECT key, cls, count(*)::DOUBLE AS n, sum(size)::DOUBLE AS words, row_number() OVER (PARTITION BY key ORDER BY cls DESC) AS place,
     coalesce(sum(sum(size)) OVER (PARTITION BY key ORDER BY cls ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE AS smaller,
+    sum(sum(size)::DOUBLE * sum(size)::DOUBLE / count(*)::DOUBLE) OVER (PARTITION BY key ORDER BY cls ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS square,
     (('0x' || substr(md5('{SEED}:{k}:' || key || ':' || cls), 1, 12))::BIGINT::DOUBLE + 0.5) / 281474976710656.0::DOUBLE AS draw
   FROM {rows} WHERE size > 0 GROUP BY key, cls),
 fold{k}(key, place, left_over, cls, take) AS (
@@ -219,7 +225,7 @@ fold{k}(key, place, left_over, cls, take) AS (
     SELECT key, place, left_over, mean, cls, least(greatest(
       CASE WHEN lo <= hi THEN least(greatest(want, lo), hi) WHEN (left_over - smaller) / mean - hi <= lo - left_over / mean THEN hi ELSE lo END, 0), n) AS take
     FROM (SELECT f.key, c.place, f.left_over, c.cls, c.n, c.smaller, c.words / c.n AS mean, ceil((f.left_over - c.smaller) / (c.words / c.n)) AS lo, floor(f.left_over / (c.words / c.n)) AS hi,
-        floor(f.left_over * c.n / (c.words + c.smaller) + c.draw) AS want
+        floor(c.n * least(1::DOUBLE, f.left_over * (c.words / c.n) / c.square) + c.draw) AS want
       FROM fold{k} f JOIN k{k} c ON c.key = f.key AND c.place = f.place + 1))),
 ranked{k} AS (
   SELECT *, row_number() OVER (PARTITION BY key, cls ORDER BY rank, doc_id) AS standing FROM (

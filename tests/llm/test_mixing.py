@@ -74,6 +74,21 @@ def test_inclusion_follows_the_probabilities(spark):
     assert first[first["size"] >= 100].share.mean() > first[first["size"] < 100].share.mean()
 
 
+def test_inclusion_is_in_the_ratio_of_sizes_over_a_source(spark):
+    """Sizes of 10, 100 and 1,000 words in one source enter in the ratio 1 : 10 : 100, and the sample has the words asked for."""
+    kinds = ((10, 60_000), (100, 6_000), (1_000, 600))
+    rows = [(10_000_000 * k + i, size) for k, (size, n) in enumerate(kinds) for i in range(n)]
+    frame = spark.createDataFrame(rows, "doc_id bigint, size bigint")
+    docs = frame.select(F.lit("s").alias("source"), F.lit("ss").alias("source_key"), "doc_id", "size", mixing.size_class("size").alias("class"), mixing.uniform(F.col("doc_id").cast("string")).alias("u"), F.col("doc_id").alias("tie")).cache()
+    rate = 0.0005  # p = 0.005, 0.05, 0.5
+    words = sum(n * size * size for size, n in kinds) * rate
+    cuts = mixing.sample(docs, spark.createDataFrame([("ss", int(words))], "source_key string, short bigint"), "t")
+    got = {r.size: (r.n, r.share) for r in mixing.entered(docs, cuts, "inside").groupBy("size").agg(F.sum(F.col("inside").cast("bigint")).alias("n"), F.avg(F.col("inside").cast("double")).alias("share")).collect()}
+    for size, n in kinds:
+        assert abs(got[size][0] - n * rate * size) <= 2, got  # places are fixed, rounded
+    assert abs(sum(size * n for size, (n, _) in got.items()) - words) <= 10
+
+
 def test_repeated_rows_and_null_ids(spark):
     rows = [(1, "a b c", "x")] * 3 + [(None, "d e", "x"), (None, "f g", "x"), (2, None, None), (3, "", None)] + [(10 + k, "w " * (5 + k), "x") for k in range(40)]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
