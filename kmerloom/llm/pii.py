@@ -13,8 +13,8 @@ word does not exist.
 *Bootstrap.* Seeds are instances that are base entities of a kind, and free tokens that look like a hexadecimal secret of at
 least 32 lower-case digits (kind ``secret``). Over the graph of distinct (pattern, instance) edges Spark iterates: a pattern's
 confidence for a kind is the sum of its instances' scores over their number plus a prior, so that instances of other kinds and
-of none count against it; an instance that is no seed gets the best confidence of its patterns. Patterns need ``support`` distinct
-instances. After ``rounds`` the patterns with confidence of at least ``least`` give their free tokens the kind (ties: the
+of none count against it; an instance that is no seed gets the best confidence of its patterns. Patterns whose instances could be of one kind by chance have
+none: the more patterns a corpus has, the more instances each needs (:func:`beyond_chance`). After ``rounds`` the patterns with confidence of at least ``least`` give their free tokens the kind (ties: the
 kind listed first; a token with several patterns: the most confident one). Found tokens are added as spans of that kind; base spans
 always stay, and what overlaps them is never added.
 
@@ -25,6 +25,8 @@ results. Other columns are never looked at.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -166,8 +168,22 @@ def _free_tokens(seen: DataFrame) -> DataFrame:
     return free.select("rid", "s", "e", "m", F.when(F.col("m").rlike(SECRET), len(KINDS)).cast("int").alias("seed"), "contexts")
 
 
-def learn_patterns(seen: DataFrame, free: DataFrame, rounds: int = 3, support: int = 3, least: float = 0.8, prior: float = 0.5) -> DataFrame:
-    """Stored (context, kind, confidence) of the patterns trusted after the last round."""
+def beyond_chance(hits: Column, n: Column, rate: float, n_patterns: int, alpha: float) -> Column:
+    """Whether none of ``n_patterns`` patterns is likely to have so many hits among n instances by chance, each with the given rate.
+
+    Chernoff's bound of the binomial tail, exp(-n KL(hits / n || rate)), times the number of patterns is at most ``alpha``; so the more patterns a corpus has the more instances
+    each one needs.
+    """
+    p = hits / n
+    miss = F.when(hits < n, (n - hits) * F.log((1 - p) / F.lit(1 - rate))).otherwise(0.0)
+    return (p > rate) & (hits * F.log(p / F.lit(rate)) + miss >= math.log(max(n_patterns, 1) / alpha))
+
+
+def learn_patterns(seen: DataFrame, free: DataFrame, rounds: int = 3, least: float = 0.8, prior: float = 0.5, alpha: float = 0.01) -> DataFrame:
+    """Stored (context, kind, confidence) of the patterns trusted after the last round.
+
+    In each round only patterns whose instances are of one kind :func:`beyond_chance` have a confidence; a kind's rate is its share of all (pattern, seed or free instance) pairs.
+    """
     seeds = seen.select(F.inline("base")).select("contexts", "m", F.col("kind").alias("seed"))
     edges = seeds.union(free.select("contexts", "m", "seed")).select(F.explode("contexts").alias("context"), F.xxhash64("m").alias("instance"), "seed")
     edges = edges.groupBy("context", "instance").agg(F.min("seed").alias("seed"))
@@ -175,11 +191,17 @@ def learn_patterns(seen: DataFrame, free: DataFrame, rounds: int = 3, support: i
     # Patterns with a single instance can never be trusted and lead nowhere.
     edges = stored(edges.join(often.where("n >= 2"), "context"), "pii-edges")
     kinds = range(len(ADDED))
+    shares = edges.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("context").alias("p"), *[F.count(F.when(F.col("seed") == k, 1)).alias(f"r{k}") for k in kinds]).first()
+    # half a pair more, so that a rate is between 0 and 1
+    rates = [(shares[f"r{k}"] + 0.5) / (shares["n"] + 1.0) for k in kinds]
     scores = edges.groupBy("instance").agg(F.min("seed").alias("seed")).select("instance", "seed", *[(F.col("seed") == k).cast("double").alias(f"s{k}") for k in kinds]).fillna(0.0, [f"s{k}" for k in kinds])
     scores = stored(scores, "pii-scores")
     for turn in range(rounds):
-        patterns = edges.drop("seed").join(scores.drop("seed"), "instance").groupBy("context").agg(F.first("n").alias("n"), *[(F.sum(f"s{k}") / (F.first("n") + prior)).alias(f"c{k}") for k in kinds])
-        patterns = stored(patterns.where(F.col("n") >= support), "pii-patterns")
+        summed = edges.drop("seed").join(scores.drop("seed"), "instance").groupBy("context").agg(F.first("n").alias("n"), *[F.sum(f"s{k}").alias(f"h{k}") for k in kinds])
+        real = [beyond_chance(F.col(f"h{k}"), F.col("n"), rates[k], shares["p"], alpha) for k in kinds]
+        sure = [F.when(real[k], F.col(f"h{k}") / (F.col("n") + prior)).otherwise(0.0).alias(f"c{k}") for k in kinds]
+        patterns = summed.select("context", "n", *sure)
+        patterns = stored(patterns.where(F.greatest(*[F.col(f"c{k}") for k in kinds]) > 0), "pii-patterns")
         if turn + 1 < rounds:
             reached = edges.join(patterns.drop("n"), "context").groupBy("instance").agg(*[F.max(f"c{k}").alias(f"b{k}") for k in kinds])
             new = scores.join(reached, "instance", "left")

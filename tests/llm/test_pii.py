@@ -1,3 +1,4 @@
+import math
 import hashlib
 import random
 import re
@@ -35,7 +36,8 @@ def test_hard_texts(spark):
 def test_contexts_discover_unseen_identifiers(spark):
     seeds = [f"please write to the address call me: +1 (437) 555-06{k:02d} thanks" for k in range(20)]
     unseen = ["kindly call me: 0437/555-0699x today", "just 0437/555-0699x alone", "no number call me soon"]
-    docs = spark.createDataFrame(list(enumerate(seeds + unseen)), "doc_id bigint, text string")
+    others = [f"page {k} of chapter {k * 7} has {k + 3} lines" for k in range(40)]  # most tokens of a corpus are no identifiers
+    docs = spark.createDataFrame(list(enumerate(seeds + unseen + others)), "doc_id bigint, text string")
     got = {r.doc_id: r for r in pii.find_pii(docs).collect()}
     found = got[20]
     assert [(pii.KINDS[x.kind], unseen[0][x.s : x.e]) for x in found.spans] == [("phone", "0437/555-0699x")]
@@ -64,7 +66,7 @@ def plain_contexts(text, s, e):
     return [f"{mark} {mask(words)}" for mark, words, n in out if len(words) == n]
 
 
-def plain_discovery(texts, rounds=3, support=3, least=0.8, prior=0.5):
+def plain_discovery(texts, rounds=3, least=0.8, prior=0.5, alpha=0.01):
     """Spans (text number, kind, s, e) that the bootstrap adds, by plain loops over the whole graph."""
     seeds, free = [], []
     for k, t in enumerate(texts):
@@ -90,8 +92,19 @@ def plain_discovery(texts, rounds=3, support=3, least=0.8, prior=0.5):
             if seed is not None:
                 fixed[m] = min(seed, fixed.get(m, seed))
     score = {m: [float(fixed.get(m) == k) for k in kinds] for xs in edges.values() for m in xs}
+    pairs = sum(map(len, edges.values()))
+    rates = [(sum(seed == k for xs in edges.values() for seed in xs.values()) + 0.5) / (pairs + 1) for k in kinds]
+
+    def sure(hits, n, rate):
+        """By the binomial tail's bound, with the pattern count as the number of trials."""
+        p = hits / n
+        if p <= rate:
+            return False
+        return len(edges) * math.exp(-(hits * math.log(p / rate) + ((n - hits) * math.log((1 - p) / (1 - rate)) if hits < n else 0))) <= alpha
+
     for turn in range(rounds):
-        trust = {c: [sum(score[m][k] for m in xs) / (len(xs) + prior) for k in kinds] for c, xs in edges.items() if len(xs) >= support}
+        sums = {c: [sum(score[m][k] for m in xs) for k in kinds] for c, xs in edges.items()}
+        trust = {c: [h / (len(edges[c]) + prior) if sure(h, len(edges[c]), rates[k]) else 0.0 for k, h in enumerate(hs)] for c, hs in sums.items()}
         if turn + 1 < rounds:
             score = {m: v if m in fixed else [max((trust[c][k] for c in trust if m in edges[c]), default=0.0) for k in kinds] for m, v in score.items()}
     trusted = {c: (-max(v), v.index(max(v))) for c, v in trust.items() if max(v) >= least}
@@ -108,8 +121,8 @@ def test_discovery_equals_the_plain_form(spark):
     hexes = lambda n: "".join(r.choice("0123456789abcdef") for _ in range(n))
     texts = [f"alpha {r.choice(['x', 'y'])} token = \"{hexes(40)}\" omega {k}" for k in range(12)]
     texts += [f'again TOKEN = "{hexes(40).upper()}" end', "no = token 7", 'see token = "A_1-b" here']
-    texts += [f"call me at +1 (437) 555-06{k:02d} today please" for k in range(9)] + ["call me at 0437/555x today please", "call at 5 today", "(id_7) me at 17 today"]
-    texts += [f"mail to bob{k}@example.com from {k}.1.2.3 ok" for k in range(6)] + ["mail to bob@localhost from here ok", "1 2 3 4 5 6 7", "", "a " * 300 + "7 " + "b" * 300 + " 8"]
+    texts += [f"call me at +1 (437) 555-06{k:02d} today please" for k in range(20)] + ["call me at 0437/555x today please", "call at 5 today", "(id_7) me at 17 today"]
+    texts += [f"mail to bob{k}@example.com from {k}.1.2.3 ok" for k in range(20)] + ["mail to bob@localhost from here ok", "1 2 3 4 5 6 7", "", "a " * 300 + "7 " + "b" * 300 + " 8"]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)
     want = plain_discovery(texts)
     got, base = set(), {}
@@ -121,6 +134,15 @@ def test_discovery_equals_the_plain_form(spark):
     assert {texts[12].split('"')[1], "A_1-b", "0437/555x", "bob@localhost"} <= {m for _, m in found}
 
 
+def test_chance_patterns_are_not_trusted(spark):
+    """Three instances that happen to be of one kind prove nothing; what needs no expression to be found is found."""
+    texts = [f"und {k}: write {w} bob{k}@example.com now" for k, w in enumerate(["zum", "zum", "zum", *[f"w{j}" for j in range(60)]])] + ["zum a7 he said", "word 5 b6"]
+    texts += [f"login with user-id U{k}/{k * 7919 % 1000} ok" for k in range(30)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    added = [(x.doc_id, y.s) for x in pii.find_pii(docs).collect() for y in x.spans if tuple(y) not in {tuple(b) for b in x.base}]
+    assert added == [] and plain_discovery(texts) == set()
+
+
 def test_many_matches_in_one_text(spark):
     """200,000 numbers in a text end in seconds, with the right places."""
     text = "1 " * 200_000 + "x@y.zz " * 3
