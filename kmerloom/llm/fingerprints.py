@@ -143,9 +143,11 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
     asked = per_row.where(F.col("doc_id") % QUERY_EVERY == 0).select(F.col("f").alias("q")).distinct()
     near = within_radius(asked, same, leading=leading_blocks(same.count())).groupBy("q").agg(F.sum("copies").alias("n_near"))
     near = stored(near, "fingerprints-near")
-    asking = F.when(F.col("doc_id") % QUERY_EVERY == 0, F.col("f"))
-    joined = per_row.join(after, F.col("next_rid") == F.col("id2"), "left").withColumn("asks", asking)
-    joined = joined.join(near, F.col("asks") == F.col("q"), "left")
+    asks = F.coalesce(F.col("doc_id") % QUERY_EVERY == 0, F.lit(False))
+    joined = per_row.join(after, F.col("next_rid") == F.col("id2"), "left")
+    # only the asking rows meet the search's results: the others would all share one key
+    told = joined.where(asks).join(near, F.col("f") == F.col("q"), "left").drop("q")
+    joined = told.unionByName(joined.where(~asks).withColumn("n_near", F.lit(None).cast("bigint")))
     text = lambda c: F.lower(F.lpad(F.hex(c), 16, "0"))
     like = lambda a, b: 1 - hamming(a, b) / 64.0
     return joined.select("doc_id", "n_chars", "edited_sha256", text(F.col("f")).alias("fingerprint"), text(F.col("e")).alias("edited_fingerprint"), like(F.col("f"), F.col("e")).alias("near_edited"), like(F.col("f"), F.col("next_f")).alias("near_next"), "n_near")
