@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -36,8 +37,20 @@ def work_dir(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
 
-#: What the innermost open ``scratch`` block has made: folders, and tables kept on the executors' disks.
-_made: list[tuple[list[str], list[DataFrame]]] = []
+def remove(spark: SparkSession, folder: str) -> None:
+    """Removes a folder of the shared folder."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+#: What the innermost open ``scratch`` block of a thread has made: folders, and tables kept on the executors' disks.
+_threads = threading.local()
+
+
+def _made() -> list[tuple[list[str], list[DataFrame]]]:
+    if not hasattr(_threads, "made"):
+        _threads.made = []
+    return _threads.made
 
 
 @contextmanager
@@ -46,24 +59,22 @@ def scratch(spark: SparkSession) -> Iterator[None]:
 
     For programs: whatever is to last must be written before the block ends, as results are lazy.
     """
-    _made.append(([], []))
+    _made().append(([], []))
     try:
         yield
     finally:
-        folders, tables = _made.pop()
+        folders, tables = _made().pop()
         for df in tables:
             df.unpersist()
-        hadoop = spark.sparkContext._jsc.hadoopConfiguration()
         for folder in folders:
-            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(hadoop).delete(path, True)
+            remove(spark, folder)
 
 
 def stored(df: DataFrame, what: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back: the lineage ends there."""
     path = work_dir(df.sparkSession, what)
-    if _made:
-        _made[-1][0].append(path)
+    if _made():
+        _made()[-1][0].append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -73,8 +84,8 @@ def kept(df: DataFrame) -> DataFrame:
 
     The lineage stays, so the part of a lost executor is computed again. Small tables that end a lineage are ``stored``.
     """
-    if _made:
-        _made[-1][1].append(df)
+    if _made():
+        _made()[-1][1].append(df)
     return df.persist(StorageLevel.DISK_ONLY)
 
 

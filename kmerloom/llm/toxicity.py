@@ -11,7 +11,7 @@ indicative. The result is P(grade >= 1), the expected severity sum_k P(grade >=
 Clean and toxic documents weigh the same in all. The fit uses at most ``max_per_label`` labelled rows of each grade, taken in order of a hash of
 doc_id, and never rows with crc32(doc_id as text) mod 4 = 2, which stay for held-out tests; the scores
 cover all rows and whole texts. Texts of the sample are reduced to hashed counts by the executors; the driver gets the bands of
-the sampled documents, at most ``max_words`` words and the sample's counts of these.
+the sampled documents, the words that stand in significantly more toxic ones (each in at least ``z_least ** 2`` of the sample's) and the sample's counts of these.
 
 Defined results: null, empty and wordless texts have no features and score as such; texts of any length are read whole; labels that are null, repeat or
 belong to no document are ignored (of repeated labels, the greatest grade wins, negative ones count as 0); of documents that share a labelled id
@@ -33,7 +33,6 @@ from kmerloom.llm import _text as T
 from kmerloom.llm._common import kept, lean_batches, table
 
 MAX_PER_LABEL = 3000
-MAX_WORDS = 2000
 MAX_GRADES = 16
 Z_LEAST = 6.0
 
@@ -157,7 +156,7 @@ def _featurizer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([*[batch.column(c).slice(i, j - i) for c in ("doc_id", "grade")], pa.array(digest.view(np.int64)), keys, *lists], ["doc_id", "grade", "digest", "bands", "words", "counts"])
 
 
-def train(docs: DataFrame, labels: DataFrame, max_per_label: int = MAX_PER_LABEL, max_words: int = MAX_WORDS, z_least: float = Z_LEAST) -> OrdinalModel:
+def train(docs: DataFrame, labels: DataFrame, max_per_label: int = MAX_PER_LABEL, z_least: float = Z_LEAST) -> OrdinalModel:
     """Fit on a bounded sample of labelled documents (see the module text)."""
     spark = docs.sparkSession
     none = OrdinalModel(np.zeros(0, np.uint64), np.zeros(0), np.zeros(0))
@@ -192,7 +191,7 @@ def train(docs: DataFrame, labels: DataFrame, max_per_label: int = MAX_PER_LABEL
     frequency = words.groupBy("word").agg(F.count(F.when(F.col("grade") > 0, 1)).alias("pos"), F.count(F.when(F.col("grade") == 0, 1)).alias("neg"))
     share = (F.col("pos") + F.col("neg") + 1) / (n_pos + n_neg + 2)
     z = (F.col("pos") / n_pos - F.col("neg") / n_neg) / F.sqrt(share * (1 - share) * (1 / n_pos + 1 / n_neg))
-    selected = np.array([r["word"] for r in frequency.withColumn("z", z).where(F.col("z") >= z_least).orderBy(F.desc("z"), "word").limit(max_words).select("word").collect()], np.int64)
+    selected = np.array([r["word"] for r in frequency.withColumn("z", z).where(F.col("z") >= z_least).orderBy(F.desc("z"), "word").select("word").collect()], np.int64)
     if not len(selected):
         return none
     vocabulary = np.sort(selected.view(np.uint64))

@@ -179,7 +179,7 @@ def _parse(data: bytes, longest: int) -> tuple[dict[str, str], bytes, int] | str
         return "no version line"
     end = data.find(b"\r\n\r\n")
     if end < 0:
-        return "more" if len(data) < 1 << 20 else "header without end"
+        return "more" if len(data) < longest else "header without end"
     header = {}
     for line in data[:end].decode("utf-8", "replace").split("\r\n")[1:]:
         name, colon, value = line.partition(":")
