@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kmerloom.llm import decontaminate, line_dedup, mixing, near_dup, toxicity
-from kmerloom.llm._common import lean_batches, scratch, table, work_dir
+from kmerloom.llm._common import lean_batches, remove, scratch, table, work_dir
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -63,12 +63,18 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rows of the last stage. A stage's intermediates are removed once its result is written."""
-    docs = table(spark, sf_dir, "documents")
+    """The rows of the last stage. A stage's intermediates are removed once its result is written, and its input if a stage wrote that.
+
+    What the last stage reads stays, as the result is lazy.
+    """
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         path = work_dir(spark, f"pipeline-{name}")
         with scratch(spark):
             out = stage(spark, docs, sf_dir)
             out.write.parquet(path)
         docs = spark.read.schema(out.schema).parquet(path)
+        if before:
+            remove(spark, before)
+        before = path
     return STAGES[-1][1](spark, docs, sf_dir)
