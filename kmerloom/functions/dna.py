@@ -92,3 +92,53 @@ def text_to_dna(text: Column, length: int) -> Column:
     """ASCII letters of the first ``length`` code points as bases, anything else as '.', for tables without DNA."""
     head = F.upper(F.regexp_replace(F.substring(text, 1, length), "[^A-Za-z]", "."))
     return F.translate(head, SPARK_LETTERS, (BASES * 7)[:26])
+
+
+#: Bases of a packed word.
+PACKED = 16
+
+
+def pack(s: Column) -> Column:
+    """Struct n, words (array<bigint>), unknown (array<int>): 16 bases a word, two bits each (A0 C1 G2 T3), the first base highest; ``unknown`` has a bit for each base that is none.
+
+    A last word is filled up with A. Null packs as the empty sequence.
+    """
+    pieces = F.regexp_extract_all(F.coalesce(s, F.lit("")), F.lit(rf"[\s\S]{{1,{PACKED}}}"), F.lit(0))
+    digits = F.transform(pieces, lambda x: F.rpad(F.translate(F.regexp_replace(x, "[^ACGT]", "A"), BASES, "0123"), PACKED, "0"))
+    marks = F.transform(pieces, lambda x: F.rpad(F.translate(F.regexp_replace(x, "[^ACGT]", "1"), BASES, "0000"), PACKED, "0"))
+    words = F.transform(digits, lambda x: F.conv(x, 4, 10).cast("bigint"))
+    unknown = F.transform(marks, lambda x: F.conv(x, 2, 10).cast("int"))
+    return F.struct(F.coalesce(F.length(s), F.lit(0)).alias("n"), words.alias("words"), unknown.alias("unknown"))
+
+
+def unpack(packed: Column, other: str = "N") -> Column:
+    """The sequence of a packed one; ``other`` stands for unknown bases."""
+
+    def piece(word: Column, unknown: Column) -> Column:
+        plain = F.translate(F.lpad(F.conv(word.cast("string"), 10, 4), PACKED, "0"), "0123", BASES)
+        marks = F.lpad(F.conv(unknown.cast("string"), 10, 2), PACKED, "0")
+        mixed = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(PACKED)), lambda i: F.when(F.substring(marks, i, F.lit(1)) == "1", other).otherwise(F.substring(plain, i, F.lit(1)))), "")
+        return F.when(unknown == 0, plain).otherwise(mixed)
+
+    return bound(packed, lambda p: F.substring(F.array_join(F.zip_with(p["words"], p["unknown"], piece), ""), F.lit(1), p["n"]))
+
+
+def packed_kmers(packed: Column, k: int = KMER_SIZE) -> Column:
+    """The base-4 number of the k-mer (k <= 16) at each place, -1 where a base is unknown: shifts over two neighbouring words."""
+    if not 1 <= k <= PACKED:
+        raise ValueError("a k-mer has 1 to 16 bases")
+
+    def every(p: Column) -> Column:
+        def at(i: Column) -> Column:
+            w, off = F.shiftright(i, 4), i.bitwiseAND(F.lit(PACKED - 1))
+            high, low = F.get(p["words"], w), F.coalesce(F.get(p["words"], w + 1), F.lit(0).cast("bigint"))
+            # the two words from the base on stand at the top of 64 bits
+            both = F.call_function("shiftleft", F.shiftleft(high, 32).bitwiseOR(low), 2 * off)
+            marks = F.shiftleft(F.get(p["unknown"], w), PACKED).bitwiseOR(F.coalesce(F.get(p["unknown"], w + 1), F.lit(0)))
+            bad = F.shiftrightunsigned(F.call_function("shiftleft", marks, off), 32 - k)
+            return F.when(bad == 0, F.shiftrightunsigned(both, 64 - 2 * k)).otherwise(F.lit(-1).cast("bigint"))
+
+        last = p["n"] - k
+        return F.when(last >= 0, F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), at)).otherwise(F.array().cast("array<bigint>"))
+
+    return bound(packed, every)

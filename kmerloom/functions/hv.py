@@ -131,6 +131,12 @@ def lanes(hvs: np.ndarray) -> np.ndarray:
     return np.unpackbits(np.ascontiguousarray(hvs).view(np.uint8), axis=-1, bitorder="little")[..., :HV_DIM]
 
 
+def lanes_column(words: Column) -> Column:
+    """The same of an array<bigint> column: array<int> of the used bits."""
+    bits = F.transform(words, lambda w: F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.call_function("shiftrightunsigned", w, i).bitwiseAND(F.lit(1)).cast("int")))
+    return F.slice(F.flatten(bits), 1, HV_DIM)
+
+
 @lru_cache
 def gram(k: int = KMER_SIZE) -> np.ndarray:
     """Integer dot products of all canonical k-mers' +-1 vectors, as exact float64."""

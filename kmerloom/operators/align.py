@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column
@@ -11,26 +13,22 @@ RESULT = "struct<start:int,end:int,min_errors:int,aligned_reference:string,symbo
 GAP = "-"
 
 
-def _costs(reference: str, query: str) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
-    """Edit costs of the whole query against references that end at each place, and for each query prefix two bits a place.
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le"), np.uint32)
+
+
+def _next_row(above: np.ndarray, r: np.ndarray, symbol: int, i: int, places: np.ndarray) -> np.ndarray:
+    """Edit costs of the query's first i symbols against references that end at each place, from the row before.
 
-    The bits say whether a cost is one more than the one above, and one more than the one to the left. A row follows from the one
-    above; the left-to-right insertions of a row are a running minimum of cost - place. Only two rows of costs are held.
+    The left-to-right insertions of a row are a running minimum of cost - place.
     """
-    r = np.frombuffer(reference.encode("utf-32-le"), np.uint32)
-    q = np.frombuffer(query.encode("utf-32-le"), np.uint32)
-    places = np.arange(len(r) + 1)
-    above = np.zeros(len(r) + 1, np.int64)
-    ups, lefts = [], []
-    for i, symbol in enumerate(q, 1):
-        row = np.empty(len(r) + 1, np.int64)
-        row[0] = i
-        row[1:] = np.minimum(above[1:] + 1, above[:-1] + (r != symbol))
-        row = np.minimum.accumulate(row - places) + places
-        ups.append(np.packbits(row == above + 1))
-        lefts.append(np.packbits(np.concatenate([[False], row[1:] == row[:-1] + 1])))
-        above = row
-    return above, ups, lefts
+    row = np.empty(len(above), np.int32)
+    row[0] = i
+    np.minimum(above[1:] + 1, above[:-1] + (r[: len(above) - 1] != symbol), out=row[1:])
+    row -= places[: len(row)]
+    np.minimum.accumulate(row, out=row)
+    row += places[: len(row)]
+    return row
 
 
 def _bit(bits: np.ndarray, at: int) -> bool:
@@ -38,25 +36,46 @@ def _bit(bits: np.ndarray, at: int) -> bool:
 
 
 def align(reference: str, query: str) -> dict:
-    """First end with the fewest errors; on the way back a query symbol alone comes before a reference symbol alone, before a pair."""
-    costs, ups, lefts = _costs(reference, query)
-    j = end = int(costs.argmin())
+    """First end with the fewest errors; on the way back a query symbol alone comes before a reference symbol alone, before a pair.
+
+    Memory is that of a few rows for each of ``sqrt(len(query))`` query symbols: going forward, every ``step``-th row is kept as its differences (-1, 0, 1); on the way
+    back the rows between two kept ones are made again, up to the place that is reached, as two bits for each place.
+    """
+    r, q = _codes(reference), _codes(query)
+    places = np.arange(len(r) + 1, dtype=np.int32)
+    step = math.isqrt(len(q)) + 1
+    row, kept = np.zeros(len(r) + 1, np.int32), []
+    for i, symbol in enumerate(q, 1):
+        if (i - 1) % step == 0:
+            kept.append(np.diff(row).astype(np.int8))
+        row = _next_row(row, r, symbol, i, places)
+    j = end = int(row.argmin())
+    errors = int(row[end])
     i = len(query)
     steps: list[tuple[str, str]] = []
     while i:
-        if _bit(ups[i - 1], j):
-            i, pair = i - 1, (GAP, query[i - 1])
-        elif j and _bit(lefts[i - 1], j):
-            j, pair = j - 1, (reference[j - 1], GAP)
-        else:
-            i, j, pair = i - 1, j - 1, (reference[j - 1], query[i - 1])
-        steps.append(pair)
+        # bits say whether a cost is one more than the one above, and one more than the one to the left
+        first = (i - 1) // step * step
+        row = np.concatenate([[first], kept.pop()[:j].astype(np.int32)]).cumsum(dtype=np.int32)
+        ups, lefts = [], []
+        for k in range(first, i):
+            above, row = row, _next_row(row, r, q[k], k + 1, places)
+            ups.append(np.packbits(row == above + 1))
+            lefts.append(np.packbits(np.concatenate([[False], row[1:] == row[:-1] + 1])))
+        while i > first:
+            if _bit(ups[i - 1 - first], j):
+                i, pair = i - 1, (GAP, query[i - 1])
+            elif j and _bit(lefts[i - 1 - first], j):
+                j, pair = j - 1, (reference[j - 1], GAP)
+            else:
+                i, j, pair = i - 1, j - 1, (reference[j - 1], query[i - 1])
+            steps.append(pair)
     steps.reverse()
     sign = lambda a, b: "|" if a == b else "I" if a == GAP else "D" if b == GAP else "*"
     return {
         "start": j,
         "end": end,
-        "min_errors": int(costs[end]),
+        "min_errors": errors,
         "aligned_reference": "".join(a for a, _ in steps),
         "symbols": "".join(sign(a, b) for a, b in steps),
         "aligned_query": "".join(b for _, b in steps),
@@ -81,3 +100,12 @@ RESET = "\033[0m"
 def coloured(aligned: str, symbols: str) -> str:
     """A line of an alignment with each symbol's colour."""
     return "".join(f"{COLOURS.get(s, '')}{a}{RESET}" for a, s in zip(aligned, symbols))
+
+
+def coloured_column(aligned: Column, symbols: Column) -> Column:
+    """The same of two columns."""
+    colours = F.create_map(*[F.lit(x) for kv in COLOURS.items() for x in kv])
+    one = lambda a, s: F.concat(F.coalesce(F.try_element_at(colours, s), F.lit("")), a, F.lit(RESET))
+    # the regular expression takes code points one by one; an empty line has none
+    each = lambda c: F.regexp_extract_all(c, F.lit(r"([\s\S])"), F.lit(1))
+    return F.array_join(F.zip_with(each(aligned), each(symbols), one), "")

@@ -167,6 +167,31 @@ def nmers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dna.nmers(spark, 4)
 
 
+@query(f"""
+WITH d AS (SELECT doc_id, {WHOLE_SQL} AS s FROM documents),
+k AS (SELECT doc_id, s[i : i + 10] AS x FROM (SELECT doc_id, s, unnest(range(1, length(s) - 9)) AS i FROM d WHERE length(s) >= 11))
+SELECT doc_id, count(*)::BIGINT AS n, sum(code)::BIGINT AS total, max(code)::BIGINT AS most, count(DISTINCT code)::BIGINT AS n_distinct FROM (
+  SELECT doc_id, list_reduce(list_transform(range(1, 12), lambda j: strpos('ACGT', x[j]) - 1), lambda a, b: 4 * a + b) AS code FROM k WHERE regexp_full_match(x, '[ACGT]{{11}}')) GROUP BY doc_id
+""")
+def doc_packed_kmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers of all known 11-mers of the packed documents, by shifts over the edges of words."""
+    packed = documents_dna(spark, sf_dir).select("doc_id", dna.pack(F.col("sequence")).alias("p"))
+
+    def summed(codes):
+        total = F.aggregate(codes, F.lit(0).cast("bigint"), lambda a, c: a + c)
+        return F.struct(F.size(codes).cast("bigint").alias("n"), total.alias("total"), F.array_max(codes).alias("most"), F.size(F.array_distinct(codes)).cast("bigint").alias("n_distinct"))
+
+    known = F.filter(dna.packed_kmers(F.col("p"), 11), lambda c: c >= 0)
+    return packed.select("doc_id", dna.bound(known, summed).alias("k")).select("doc_id", "k.*").where("n > 0")
+
+
+@query(f"SELECT doc_id, length(s)::BIGINT AS n_bases, ceil(length(s) / 16.0)::BIGINT AS n_words, md5(s) AS sequence_md5 FROM (SELECT doc_id, {WHOLE_SQL} AS s FROM documents)")
+def doc_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents packed, and what unpacking gives."""
+    packed = documents_dna(spark, sf_dir).select("doc_id", dna.pack(F.col("sequence")).alias("p"))
+    return packed.select("doc_id", F.col("p.n").cast("bigint").alias("n_bases"), F.size("p.words").cast("bigint").alias("n_words"), F.md5(dna.unpack(F.col("p"), ".").cast("binary")).alias("sequence_md5"))
+
+
 def _bits(base: str) -> str:
     return "".join("1" if x else "0" for x in hv.lanes(hv.bases()[base][None])[0])
 
@@ -186,6 +211,19 @@ g AS MATERIALIZED (SELECT x.kmer AS a, y.kmer AS b, (10000 - 2 * bit_count(xor(x
 """
 
 
+@query(f"""
+WITH {_gram_sql()}, n AS (SELECT n_nationkey, CASE WHEN k <= {REVCOMP_SQL.format('k')} THEN k ELSE {REVCOMP_SQL.format('k')} END AS kmer FROM (SELECT n_nationkey, substr('ACGTTGCAACCGGTTATTGACAGTACGTA', n_nationkey + 1, 5) AS k FROM nation))
+SELECT n_nationkey, kmer, bit_count(v)::BIGINT AS ones, list_sum(list_transform(range(10000), lambda i: i * get_bit(v, i::INT)))::BIGINT AS places FROM n JOIN h USING (kmer)
+""")
+def kmer_lanes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lanes of the vectors of nations' k-mers, unpacked from words."""
+    rows = table(spark, sf_dir, "nation").select("n_nationkey", dna.canonical(F.substring(F.lit("ACGTTGCAACCGGTTATTGACAGTACGTA"), (F.col("n_nationkey") + 1).cast("int"), F.lit(5))).alias("canonical"))
+    dimension = hv.kmer_dimension(spark).where("kmer = canon").select("kmer", "hv")
+    bits = rows.join(F.broadcast(dimension), F.col("canonical") == F.col("kmer")).select("n_nationkey", "kmer", hv.lanes_column(F.col("hv")).alias("lanes"))
+    places = F.aggregate(F.transform("lanes", lambda x, i: x * i), F.lit(0).cast("bigint"), lambda a, x: a + x)
+    return bits.select("n_nationkey", "kmer", F.aggregate("lanes", F.lit(0).cast("bigint"), lambda a, x: a + x).alias("ones"), places.alias("places"))
+
+
 @query("WITH " + _gram_sql() + "SELECT a, b, dot FROM g")
 def kmer_gram(spark: SparkSession, sf_dir: str) -> DataFrame:
     """G with built-in functions from the k-mer dimension."""
@@ -394,6 +432,17 @@ def align_semiglobal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("name", "a.*").withColumnRenamed("end", "stop")
 
 
+_COLOURED = "list_transform(range(1, length({0}) + 1), lambda i: CASE substr(symbols, i, 1) WHEN '|' THEN chr(27) || '[92m' WHEN '*' THEN chr(27) || '[91m' WHEN 'I' THEN chr(27) || '[93m' ELSE chr(27) || '[94m' END || substr({0}, i, 1) || chr(27) || '[0m')"
+
+
+@query(f"SELECT name, md5(array_to_string({_COLOURED.format('aligned_reference')}, '')) AS reference_md5, md5(array_to_string({_COLOURED.format('aligned_query')}, '')) AS query_md5 FROM ({_ALIGN_SQL})")
+def align_coloured(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The coloured lines of the alignments."""
+    found = align_semiglobal(spark, sf_dir)
+    line = lambda c: F.md5(align.coloured_column(F.col(c), F.col("symbols")).cast("binary"))
+    return found.select("name", line("aligned_reference").alias("reference_md5"), line("aligned_query").alias("query_md5"))
+
+
 def _unit(text: str) -> str:
     return f"((('0x' || substr(md5({text}), 1, 10))::BIGINT::DOUBLE + 0.5) / 1099511627776.0::DOUBLE)"
 

@@ -197,14 +197,16 @@ def file_append(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-SELECT seq_id || ': ' || CASE WHEN seq_id % 3 = 0 THEN '' ELSE array_to_string(list_transform(t, lambda x: x || ' (' || format('{{:.6f}}', length(x) / 8.0::DOUBLE) || ') '), '') END AS line
+SELECT seq_id || ':' || CASE WHEN seq_id % 3 = 0 THEN '' ELSE array_to_string(list_transform(t, lambda x: ' ' || x || ' (' || format('{{:g}}', (length(x) - 7) / (7.0::DOUBLE * power(10, seq_id % 8 - 1))) || ')'), '') END AS line
 FROM (SELECT seq_id, list_filter(list_transform(string_split(lineage, ';'), lambda x: trim(x)), lambda x: contains(x, '__') AND NOT ends_with(x, '__')) AS t FROM ({LINEAGES_SQL}))
+UNION ALL SELECT '' UNION ALL SELECT 'RESULTS'
 """)
 def file_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The text of classification results; an early exit has an empty path."""
     path = folder(spark, "results")
     ranks = lineage.all_ranks(F.col("lineage"))
-    found = lineages(spark, sf_dir).select(F.col("seq_id").cast("string").alias("name"), ranks.alias("path"), F.transform(ranks, lambda x: F.length(x) / F.lit(8.0)).alias("path_scores"), F.when(F.col("seq_id") % 3 == 0, "EARLY_EXIT").otherwise("COMPLETE").alias("status"))
+    score = lambda x: (F.length(x) - 7) / (F.lit(7.0) * F.pow(F.lit(10.0), F.col("seq_id") % 8 - 1))
+    found = lineages(spark, sf_dir).select(F.col("seq_id").cast("string").alias("name"), ranks.alias("path"), F.transform(ranks, score).alias("path_scores"), F.when(F.col("seq_id") % 3 == 0, "EARLY_EXIT").otherwise("COMPLETE").alias("status"))
     identify.write_results(found, path)
     return spark.read.text(path).select(F.col("value").alias("line"))
 

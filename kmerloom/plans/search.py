@@ -84,9 +84,8 @@ def best_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best window of each item for each item."""
     items = _items(spark, sf_dir).where("sequence <> ''")
     asked = encode.encode_sequences(items).select(F.col("item_id").alias("query_id"), F.col("ids").alias("query_ids"))
-    windows = encode.encode_windows(items.withColumn("whole", F.length("sequence") <= 125)).select(F.col("item_id").alias("ref_id"), "window_start", "ids", "whole")
-    found = similarity.best_window(asked.crossJoin(windows))
-    return found.select("query_id", "ref_id", F.round("score", 6).alias("score"), F.col("pos").cast("bigint").alias("pos"))
+    found = similarity.best_windows(asked, items.select(F.col("item_id").alias("ref_id"), "sequence"))
+    return found.select("query_id", "ref_id", F.round("score", 6).alias("score"), "pos")
 
 
 def _lineage():
