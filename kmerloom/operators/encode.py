@@ -6,6 +6,7 @@ The encoders run as Arrow batches over numpy.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kmerloom.functions import dna, hv
+from kmerloom.session import stored
 
 _CODE = np.full(256, -1, np.int64)
 for _i, _b in enumerate(b"ACGT"):
@@ -139,6 +141,27 @@ def encode_sequences(df: DataFrame, seq_col: str = "sequence") -> DataFrame:
     return plain.mapInArrow(encode, f"{fields}, ids array<smallint>, norm2 bigint")
 
 
+def encode_through(df: DataFrame, path: str, seq_col: str = "sequence", buckets: int = 64) -> tuple[DataFrame, int]:
+    """The rows of :func:`encode_sequences`, and how many sequences were encoded: encodings are kept at ``path`` over runs.
+
+    The store is a bucketed and sorted table of (digest, ids, norm2) by the sequence's SHA-256; it is declared anew by each session, with the same ``buckets``.
+    Distinct sequences that it lacks, found by an anti-join, are encoded and added; rows then meet it by digest, without a shuffle of the store. Whatever
+    two runs at once have added twice counts once.
+    """
+    spark = df.sparkSession
+    name = "encoded_" + hashlib.md5(path.encode()).hexdigest()
+    spark.sql(f"CREATE TABLE IF NOT EXISTS {name} (digest STRING, ids ARRAY<SMALLINT>, norm2 BIGINT) USING parquet CLUSTERED BY (digest) SORTED BY (digest) INTO {int(buckets)} BUCKETS LOCATION '{path}'")
+    keyed = df.drop("ids", "norm2").withColumn("_digest", F.sha2(F.coalesce(F.col(seq_col), F.lit("")).cast("binary"), 256))
+    lacking = keyed.select(F.col("_digest").alias("digest"), F.coalesce(F.col(seq_col), F.lit("")).alias("sequence")).join(spark.table(name).select("digest"), "digest", "left_anti").dropDuplicates(["digest"])
+    fresh = stored(encode_sequences(lacking).select("digest", "ids", "norm2"), "encoded")
+    n = fresh.count()
+    if n:
+        fresh.repartition(buckets, "digest").write.insertInto(name)
+        spark.catalog.refreshTable(name)
+    known = spark.table(name).dropDuplicates(["digest"])
+    return keyed.join(known, F.col("_digest") == F.col("digest")).drop("_digest", "digest"), n
+
+
 def encode_windows(df: DataFrame, seq_col: str = "sequence", rule: str = "cpu", mode: str = "direct") -> DataFrame:
     """All columns but the sequence, with window_start, ids and norm2, one row per window."""
     rest = [c for c in df.columns if c not in (seq_col, "window_start", "ids", "norm2")]

@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kmerloom.functions import dna, lineage
-from kmerloom.operators import identify, induct
+from kmerloom.operators import encode, identify, induct
 from kmerloom.plans.catalog import LINEAGES_SQL, WHOLE_SQL, documents_dna, lineages, query, table, whole_dna
 from kmerloom.session import shared_dir
-from kmerloom.sources import fasta
+from kmerloom.sources import commits, fasta
 
 
 def folder(spark: SparkSession, what: str) -> str:
@@ -70,6 +70,19 @@ def file_last_by_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fasta.last_by_id(fasta.read_fasta(spark, path, keep_empty=True)).select("seq_id", _md5("sequence").alias("sequence_md5"))
 
 
+@query(f"""
+WITH d AS (SELECT doc_id, s FROM {_DNA}), k AS (SELECT doc_id, substr(s, i::BIGINT, 5) AS x FROM (SELECT doc_id, s, unnest(range(1, length(s) - 3)) AS i FROM d WHERE length(s) >= 5))
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_kmers, (SELECT count(DISTINCT s) FROM d)::BIGINT AS n_first, 0::BIGINT AS n_again FROM d LEFT JOIN (SELECT doc_id, count(*) AS n FROM k WHERE regexp_full_match(x, '[ACGT]{{5}}') GROUP BY doc_id) USING (doc_id)
+""")
+def encoded_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents encoded through a store, twice: the second run encodes nothing."""
+    path = folder(spark, "encoded")
+    docs = documents_dna(spark, sf_dir)
+    _, first = encode.encode_through(docs, path, buckets=8)
+    rows, again = encode.encode_through(docs, path, buckets=8)
+    return rows.select("doc_id", F.size("ids").cast("bigint").alias("n_kmers"), F.lit(first).cast("bigint").alias("n_first"), F.lit(again).cast("bigint").alias("n_again"))
+
+
 def _reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = table(spark, sf_dir, "benchmark").select("item_id", whole_dna(F.coalesce("text", F.lit(""))).alias("sequence")).where("sequence <> ''")
     n = F.length("sequence")
@@ -90,9 +103,9 @@ def file_fastq(spark: SparkSession, sf_dir: str) -> DataFrame:
 def file_reads_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The simulator's FASTA and metadata table, joined."""
     path = folder(spark, "metadata")
-    fasta.write_reads(_reads(spark, sf_dir), path)
-    meta = spark.read.option("sep", "\t").option("header", True).schema("read_id string, taxonomy string, template_id string, orig_len bigint, final_len bigint").csv(f"{path}_metadata.tsv")
-    return meta.join(fasta.read_fasta(spark, f"{path}.fasta").select(F.col("seq_id").alias("read_id"), _md5("sequence").alias("sequence_md5")), "read_id")
+    commits.write_reads(_reads(spark, sf_dir), path)
+    meta = spark.read.option("sep", "\t").option("header", True).schema("read_id string, taxonomy string, template_id string, orig_len bigint, final_len bigint").csv(f"{path}/reads_metadata.tsv")
+    return meta.join(fasta.read_fasta(spark, f"{path}/reads.fasta").select(F.col("seq_id").alias("read_id"), _md5("sequence").alias("sequence_md5")), "read_id")
 
 
 _LOWEST = "list_filter(list_transform(string_split(lineage, ';'), lambda x: trim(x)), lambda x: contains(x, '__') AND NOT ends_with(x, '__'))[-1]"
@@ -192,8 +205,9 @@ def file_append(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = folder(spark, "append")
     library = rows.where("ord % 2 = 0").drop("ord")
     fasta.write_library(library, path)
-    fasta.append_sequences(library, rows.where("ord % 2 = 1"), path)
-    return spark.read.parquet(path).select("category", "seq_id", _md5("sequence").alias("sequence_md5"))
+    for _ in range(2):  # the second call is a retry
+        commits.append(rows.where("ord % 2 = 1").drop("seq_id"), path, "odd")
+    return commits.read_library(spark, path).select("category", "seq_id", _md5("sequence").alias("sequence_md5"))
 
 
 @query(f"""

@@ -38,6 +38,12 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+def file_system(spark: SparkSession, path: str):
+    """A path as the file system's own object, and that file system."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def stored(df: DataFrame, what: str) -> DataFrame:
     """Write as Parquet into the shared folder and read back: lineage ends there and survives lost executors."""
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/{what}-{uuid.uuid4().hex}"
