@@ -133,3 +133,12 @@ def test_a_payload_over_a_mebibyte(spark, tmp_path):
     manifest = warc.write_archives(spark.createDataFrame([(1, "u", html), (2, "v", html)], "page_id bigint, url string, html string"), f"{tmp_path}/long")
     got = {r.page_id: (r.payload_bytes, r.record_type, r.refers_to) for r in warc.read_archives(spark, manifest).collect()}
     assert got == {2: (len(html.encode()), "response", None), 1: (len(html.encode()), "revisit", 2)}
+
+
+def test_a_header_of_two_mebibytes_in_a_plain_archive():
+    """A page with a very long URL is read back from an archive that is not packed, and the record behind it as well."""
+    url = "http://a.example/" + "x" * (2 << 20)
+    payloads = [b"first page", b"second page"]
+    data = b"".join(warc.encode_record(k, u, p, len(p), hashlib.sha1(p).hexdigest(), None) for k, (u, p) in enumerate(zip((url, "http://b"), payloads)))
+    found = list(warc.salvage(io.BytesIO(data), len(data)))
+    assert [x.payload for x in found] == payloads and not any(x.problem for x in found) and found[0].header["warc-target-uri"] == url
