@@ -13,7 +13,7 @@ def test_run_equals_brute_force(spark):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     model = toxicity.train(docs, spark.read.parquet(f"{sf}/labels.parquet"))
     clean = [tuple(r) for r in toxicity.grade_toxicity(docs, model).where("not toxic").select("row.doc_id", "row.text", "row.source").collect()]
-    lined = {i: t for i, t, _, _ in brute_lines(clean, 0.1, 5)}
+    lined = {i: t for i, t, _, _ in brute_lines(clean)}
     source = {i: s for i, _, s in clean}
     near = [i for i, _, _, kept in brute_near(sorted(lined.items()), 5) if kept]
     windows = set()
