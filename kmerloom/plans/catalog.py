@@ -394,8 +394,9 @@ def propagate_selected(spark: SparkSession, sf_dir: str) -> DataFrame:
 def identify_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark items walk the taxonomy of documents, each document's sequence also standing at its ancestors by propagation."""
     found = _induced(spark, sf_dir)
-    more = stored(propagate.propagate(found.sequences, found.index)[0].select("category", "sequence"), "more")
-    library = found.sequences.unionByName(more.select("category", F.md5(F.col("sequence").cast("binary")).alias("seq_id"), "sequence"))
+    sequences = stored(found.sequences, "sequences")
+    more = stored(propagate.propagate(sequences, found.index)[0].select("category", "sequence"), "more")
+    library = sequences.unionByName(more.select("category", F.md5(F.col("sequence").cast("binary")).alias("seq_id"), "sequence"))
     out = identify.identify(_queries(spark, sf_dir), library, found.index)
     return out.select("query_id", "name", F.array_join("path", ";").alias("path"), F.transform("path_scores", lambda x: F.round(x, 6)).alias("path_scores"), "status")
 

@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -69,7 +70,7 @@ def test_propagate_and_identify(spark, world):
     assert got["q2"].path[-1] == "s__S2" and min(got["q2"].path_scores) > 0.9
     assert got["alien"].status == "EARLY_EXIT" and len(got["alien"].path) == 1 and got["alien"].path_scores[0] < 0
     lines = {r.x for r in identify.identify(queries, library, found.index).select(identify.result_line(F.col("name"), F.col("path"), F.col("path_scores"), F.col("status")).alias("x")).collect()}
-    assert "alien: " in lines and any(x.startswith("q1: p__P1 (") for x in lines)
+    assert "alien:" in lines and any(x.startswith("q1: p__P1 (") for x in lines)
 
 
 def test_leaf_repeats_in_the_path(spark, world):
@@ -229,3 +230,27 @@ def _fastq_rows(rows):
     assert sorted((r.read_id, r.sequence, r.quality) for r in rows) == sorted(want)
     own = sorted((r for r in rows if r.read_id[0] == "a"), key=lambda r: r.ord)
     assert [r.read_id for r in own] == [f"a{k}" for k in range(400)]
+
+
+@pytest.mark.parametrize("mode", ["direct", "incremental"])
+def test_products_over_panes(mode):
+    """Sums over panes equal the products with every window's counts, in single and in double precision."""
+    texts = [(0, random_dna(1, 125 + 10 * 6), 7), (2, random_dna(2, 125), 1), (0, random_dna(3, 60), 1), (0, "", 1), (0, random_dna(4, 90) + "N" * 30 + random_dna(5, 115), 12)]
+    pieces = pa.array([{"k": k, "piece": s, "n_windows": n, "stale": "ACGTA"} for k, s, n in texts])
+    counts = np.random.default_rng(1).integers(0, 9, (5, 512)).astype(float)
+    windows = identify._window_matrix(pieces, mode)
+    for scale in (1, 1 << 20):
+        v = counts * scale
+        assert (identify._products(v, pieces, mode) == v @ windows.T).all()
+
+
+def test_best_scores_are_the_full_scores():
+    r = np.random.default_rng(2)
+    dots, q, w = r.integers(-1000, 1000, (40, 90)).astype(float), r.integers(0, 3, 40) * 1000.0, r.integers(0, 4, 90) * 777.0
+    dots[:, 50:60] = dots[:, 40:50]
+    dots[5] = -abs(dots[5])
+    want = similarity.normalized(dots, q[:, None], w[None, :]).max(1)
+    assert (np.maximum(identify._best_scores(dots, q, w), -1.0) == np.maximum(want, -1.0)).all()
+    assert (np.maximum(identify._best_scores(dots, q, np.zeros(90)), -1.0) == -1.0).all()
+    assert (np.maximum(identify._best_scores(dots, q, np.zeros(90)), -1.0) == -1.0).all()
+    assert len(identify._best_scores(np.zeros((0, 3)), np.zeros(0), np.ones(3))) == 0
