@@ -147,8 +147,7 @@ class Patterns:
         size = np.array([len(w) for w in spelled], np.int64)
         self.ends = np.cumsum(size)
         self.starts = self.ends - size
-        if not self.alike(data, starts, ends, codes).all():
-            raise ValueError("two benchmark words have the same 64-bit hash")
+        self.twins = self._number_twins(data, starts, ends, codes)
         del starts, ends
         count = np.bincount(doc, minlength=len(ids))
         begin = np.cumsum(count) - count
@@ -162,6 +161,31 @@ class Patterns:
     def nbytes(self) -> int:
         return sum(x.nbytes for x in (self.codes, self.hashes, self.joined, self.starts, self.ends)) + sum(t.nbytes() for t in self.tables)
 
+    def _number_twins(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, codes: np.ndarray) -> dict[int, list[int]]:
+        """Gives words that share a hash with another benchmark word numbers of their own, beyond those of the hashes: by the hash's number, its further numbers."""
+        own: dict[tuple[int, bytes], int] = {}
+        for k in np.flatnonzero(~self.alike(data, starts, ends, codes)).tolist():
+            key = int(codes[k]), data[starts[k] : ends[k]].tobytes()
+            codes[k] = own.setdefault(key, len(self.hashes) + 1 + len(own))
+        if own:
+            size = np.array([len(word) for _, word in own], np.int64)
+            self.joined = np.concatenate([self.joined, np.frombuffer(b"".join(word for _, word in own), np.uint8)])
+            self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(size)])
+            self.starts = np.concatenate([self.starts, self.ends[-len(size) :] - size])
+        twins: dict[int, list[int]] = {}
+        for (first, _), code in own.items():
+            twins.setdefault(first, []).append(code)
+        return twins
+
+    def word_numbers(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Numbers of words: by hash, and by spelling where benchmark words share a hash; 0 for words outside the benchmark."""
+        codes = self.numbers(T.word_hashes(data, starts, ends))
+        for first, others in self.twins.items():
+            at = np.flatnonzero(codes == first)
+            for code in others:
+                codes[at[self.alike(data, starts[at], ends[at], np.full(len(at), code))]] = code
+        return codes
+
     def numbers(self, hashes: np.ndarray) -> np.ndarray:
         """Word numbers by hash, 0 for words outside the benchmark."""
         if not len(self.hashes):
@@ -203,7 +227,7 @@ def _searcher(patterns, only_hits: bool):
                 n = np.bincount(doc, minlength=j - i)
                 counts.append(n)
                 base = np.cumsum(n) - n
-                codes = p.numbers(T.word_hashes(part, starts, ends))
+                codes = p.word_numbers(part, starts, ends)
                 spans: list[list] = [[] for _ in range(j - i)]
                 owners: list[list] = [[] for _ in range(j - i)]
                 # a gap of code -1 between documents, so that no window crosses them

@@ -1,8 +1,10 @@
 import hashlib
 import re
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
+import pytest
 from conftest import prose
 
 from kmerloom.llm import decontaminate as dc
@@ -93,3 +95,22 @@ def test_a_text_over_a_chunk(spark):
     got = {r.doc_id: (r.n_words, list(r.hits)) for r in dc.find_contamination(docs, bench).collect()}
     n = len(words(long))
     assert got == {1: (n, [n - 10, n]), 2: (12, [1, 11])}
+
+
+@pytest.mark.parametrize("kinds", [1, 7])
+def test_words_of_one_hash_are_told_apart(monkeypatch, kinds):
+    """All words share one hash, or seven: the rows are those of the brute force."""
+    plain = dc.T.word_hashes
+    monkeypatch.setattr(dc.T, "word_hashes", lambda *args: plain(*args) % np.uint64(kinds))
+    r = np.random.default_rng(8)
+    draw = lambda n: " ".join(f"w{k}" for k in r.integers(0, 30, n))
+    passages = [draw(n) for n in (10, 14, 3, 25)]
+    items = list(enumerate(passages))
+    texts = [draw(50), "w99 w1", "", f"{draw(20)} {passages[1]} w77", f"w400 {passages[0]} {passages[2]}", passages[3][4:]]
+    p = dc.Patterns([str(k) for k, _ in items], pa.array(passages, pa.large_string()), 10)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts, pa.large_string())], ["doc_id", "text"])
+    (out,) = dc._searcher(SimpleNamespace(value=p), False)(iter([batch]))
+    for text, row in zip(texts, out.to_pylist()):
+        spans = np.array(row["hits"]).reshape(-1, 2)
+        n_words, n_hit, n_items, _, _ = brute(text, items)
+        assert (row["n_words"], int((spans[:, 1] - spans[:, 0]).sum()) if len(spans) else 0, len(row["items"])) == (n_words, n_hit, n_items)

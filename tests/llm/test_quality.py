@@ -78,3 +78,40 @@ def test_repeated_ids_push_no_labelled_row_out(spark):
     n = sum(zlib.crc32(str(k).encode()) % 4 != 2 for k in range(1, 12))
     ones = sum(zlib.crc32(str(k).encode()) % 4 != 2 for k in range(1, 12, 2))
     assert math.isclose(forest.base, math.log(ones / (n - ones)))
+
+
+def plain_forest(x, y, trees, depth, rate, least=1.0, l2=1.0):
+    """Boosted trees grown by trying every bin border of every feature on the rows themselves; returns the scores before the logistic function."""
+    borders = [sorted(set(np.quantile(x[:, f], np.linspace(0, 1, quality.N_BINS + 1)[1:-1]))) for f in range(x.shape[1])]
+    base = math.log(y.mean() / (1 - y.mean()))
+    score = [base] * len(x)
+    for _ in range(trees):
+        p = [1 / (1 + math.exp(-s)) for s in score]
+        g, h = [a - b for a, b in zip(p, y)], [a * (1 - a) for a in p]
+
+        def grow(rows, left):
+            """Leaves of the tree over some rows."""
+            best, at = 1e-6, None
+            gain_of = lambda part: sum(g[i] for i in part) ** 2 / (sum(h[i] for i in part) + l2)
+            for f in range(x.shape[1]) if left else ():
+                for cut in borders[f]:
+                    low, high = [i for i in rows if x[i, f] <= cut], [i for i in rows if x[i, f] > cut]
+                    if min(sum(h[i] for i in low), sum(h[i] for i in high)) >= least:
+                        gain = gain_of(low) + gain_of(high) - gain_of(rows)
+                        if gain > best + 1e-9:
+                            best, at = gain, (low, high)
+            return [leaf for part in at for leaf in grow(part, left - 1)] if at else [rows]
+
+        for leaf in grow(list(range(len(x))), depth):
+            value = -rate * sum(g[i] for i in leaf) / (sum(h[i] for i in leaf) + l2)
+            for i in leaf:
+                score[i] += value
+    return np.array(score)
+
+
+def test_fit_equals_an_exhaustive_search():
+    r = np.random.default_rng(12)
+    x = np.round(r.normal(size=(70, 3)), 2)
+    y = ((x[:, 0] + 0.3 * r.normal(size=70) > 0) ^ (x[:, 1] > 0.8)).astype(float)
+    got = quality.fit_forest(x, y, trees=3, depth=2, rate=0.3).predict(x)
+    assert np.allclose(got, 1 / (1 + np.exp(-plain_forest(x, y, 3, 2, 0.3))), atol=1e-9)
