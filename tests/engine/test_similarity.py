@@ -125,3 +125,34 @@ def test_read_search_equals_plain_python(spark):
         order = sorted(((-(q @ g @ c) / np.sqrt((q @ g @ q) * (c @ g @ c)), d, t) for d, t, c in windows))
         for rank, (minus, d, t) in enumerate(order[:4], 1):
             assert got[k, rank][:2] == (d, t) and abs(got[k, rank][2] + minus) < 1e-12
+
+
+@pytest.mark.parametrize("options", [{}, {"group": 1, "strip": 7, "tile": 3, "most_broadcast": 0}])
+def test_read_search_by_cells_breaks_ties_in_order(spark, options):
+    same = random_dna(3, 165)  # the reads of the second half are equal, so that all ranks are ties
+    rows = [(1, same), (2, random_dna(4, 130)), (3, random_dna(5, 60)), (4, same), (5, same), (6, same), (7, "N" * 150)]
+    df = spark.createDataFrame(rows, "read_id bigint, sequence string").repartition(4)
+    got = {(x.read_id, x.rank): (x.db_read, x.window_start, round(x.cosine, 9)) for x in harness.read_search(df, k=7, **options).collect()}
+    assert [got[1, r][:2] for r in (1, 2, 3)] == [(4, 0), (5, 0), (6, 0)] and got[1, 1][2] == 1.0
+    assert {k for k, _ in got} == {1, 2} and len(got) == 14 and 7 not in {d for d, _, _ in got.values()}
+    for q in (1, 2):
+        ranked = [got[q, r] for r in range(1, 8)]
+        assert ranked == sorted(ranked, key=lambda x: (-x[2], x[0], x[1]))
+
+
+@pytest.mark.parametrize("options", [{}, {"group": 2, "strip": 3, "most_broadcast": 0}])
+@pytest.mark.parametrize("normalize", [True, False])
+def test_score_queries_equals_the_matrix(spark, normalize, options):
+    texts = [random_dna(k, 20 + 30 * k) for k in range(7)] + [None, "", "ACNGT", random_dna(2, 80), random_dna(2, 80)]
+    rows = spark.createDataFrame([(k, t, "x") for k, t in enumerate(texts)] + [(None, random_dna(9, 50), "y")], "id bigint, sequence string, score string").repartition(3)
+    asked = spark.createDataFrame([(f"q{k}", t, "z") for k, t in enumerate(texts[3:9])], "name string, sequence string, ids string")
+    count = lambda t: encode.counts_of(encode.sequence_ids((t or "").encode()))
+    want = similarity.score_matrix(np.stack([count(t) for t in texts[3:9]]), np.stack([count(t) for t in [*texts, random_dna(9, 50)]]), normalize)
+    found = similarity.score_queries(asked, rows, "name", "id", normalize=normalize, **options)
+    assert found.columns == ["name", "id", "score"]
+    got = {(r.name, r.id): r.score for r in found.collect()}
+    assert len(got) == 6 * 13 == found.count()
+    for (name, k), score in got.items():
+        assert score == want[int(name[1:]), len(texts) if k is None else k]
+    assert similarity.score_queries(asked.limit(0), rows, "name", "id", **options).count() == 0
+    assert similarity.score_queries(asked, rows.limit(0), "name", "id", **options).count() == 0

@@ -1,3 +1,5 @@
+import pytest
+
 from kmerloom.streaming.score import score_stream
 from test_similarity import random_dna
 
@@ -11,3 +13,11 @@ def test_stream_scores_each_read(spark, tmp_path):
     query.stop()
     best = spark.sql("SELECT read_id, score FROM scores ORDER BY score DESC").collect()
     assert len(best) == 6 and best[0].read_id == 2 and best[0].score > 0.999
+
+
+def test_a_large_reference_set_is_refused(spark, tmp_path):
+    spark.createDataFrame([(1, "ACGT")], "read_id bigint, sequence string").write.parquet(f"{tmp_path}/in")
+    reads = spark.readStream.schema("read_id bigint, sequence string").parquet(f"{tmp_path}/in")
+    refs = spark.createDataFrame([("r", "ACGT"), ("s", "ACGT")], "ref_id string, sequence string")
+    with pytest.raises(ValueError, match="too many"):
+        score_stream(reads, refs, most_broadcast=1)
