@@ -1,9 +1,12 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from kmerloom.functions import hv
 from kmerloom.operators import propagate, taxonomy
+from kmerloom.operators.similarity import normalized
 from kmerloom.session import numbered
 
 
@@ -37,6 +40,36 @@ def test_rounds_equal_the_walk(spark, hot, sizes, most, normalize, monkeypatch):
     assert 0 < added < len(want) and {r[0] for r in want} == {"p__A", "p__B"}
 
 
+def test_each_row_is_stored_for_one_round(spark, hot, monkeypatch):
+    """However many rounds there are, the rows are stored once; later rounds read what is held, and the text of what is added comes last."""
+    names, counts = [], []
+
+    def kept(df, what, *by, store=propagate.stored):
+        out = store(df, what, *by)
+        names.append(what), counts.append(out.count())
+        return out
+
+    monkeypatch.setattr(propagate, "stored", kept)
+    found = propagate.score_descendants(*hot, 0.75, True, 50, 60, 40)
+    n = found.count()
+    assert names.count("propagate-rows") == 1 and names.count("propagate-settled") > 3
+    assert sum(c for w, c in zip(names, counts) if w == "propagate-settled") == counts[names.index("propagate-rows")] >= n
+
+
+def test_candidates_in_single_precision_lose_no_best_score():
+    r = np.random.default_rng(3)
+    base = r.poisson(3, (12, 512)).astype(float)
+    rows = np.concatenate([base, base * 7, base + (r.random((12, 512)) < 0.002), r.poisson(0.02, (40, 512)), np.zeros((2, 512)), base[:, ::-1] * 300]).astype(float)
+    projected = rows @ hv.gram()
+    norms = (projected * rows).sum(1)
+    want = np.maximum(normalized(projected @ rows[::2].T, norms[:, None], norms[None, ::2]).max(1), 0.0)
+    held = propagate._Held(True)
+    held.add(rows[::2], norms[::2])
+    best = np.zeros(len(rows))
+    held.raise_best(best, projected, norms)
+    assert np.allclose(best, want, rtol=0, atol=1e-14) and (np.floor(best * 100) == np.floor(want * 100))[want < 1 - 1e-9].all()
+
+
 def test_rounds_take_an_empty_table(spark):
     empty = spark.createDataFrame([], "parent string, place string, seq_id string, own boolean, seq_no bigint, ids array<smallint>")
     assert propagate.settle_in_rounds(empty, 0.75, True).count() == 0
