@@ -150,8 +150,9 @@ def encode_sequences(df: DataFrame, seq_col: str = "sequence") -> DataFrame:
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = [sequence_ids(s) for s in _bytes(batch.column(seq_col))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, _lists(ids), pa.array(norms(ids).astype(np.int64))], [*batch.schema.names, "ids", "norm2"])
+            for part in small_parts(batch, seq_col):
+                ids = [sequence_ids(s) for s in _bytes(part.column(seq_col))]
+                yield pa.RecordBatch.from_arrays([*part.columns, _lists(ids), pa.array(norms(ids).astype(np.int64))], [*part.schema.names, "ids", "norm2"])
 
     plain = df.drop("ids", "norm2")
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in plain.schema)

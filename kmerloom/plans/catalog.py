@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from kmerloom.functions import dna, hv, lineage
 from kmerloom.operators import align, encode, identify, propagate, sample, similarity, taxonomy
 from kmerloom.operators.induct import induct_pairs
-from kmerloom.session import spread, stored
+from kmerloom.session import lean_batches, spread, stored
 
 FLAGSHIP = "emb_cosine_topk_k10"
 
@@ -31,6 +31,7 @@ REVCOMP_SQL = "reverse(translate(regexp_replace({0}, '[^ACGT]', 'N', 'g'), 'ACGT
 
 
 def documents_dna(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lean_batches(spark)
     return spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", whole_dna(F.coalesce("text", F.lit(""))).alias("sequence"))
 
 
@@ -342,6 +343,7 @@ def prefixed_taxonomy(spark: SparkSession, sf_dir: str) -> DataFrame:
     second = known.select(F.concat(F.lit("Bacteria;"), "r_name", F.lit(";"), "n_name", F.lit(";")).alias("path"), F.lit("class").alias("rank"))
     named = rows.select(F.col("c_custkey").alias("seq_id"), path.alias("description"))
     return named.join(lineage.prefixed_lineages(named, first.union(second)), F.col("description") == F.col("path"), "left").select("seq_id", "lineage")
+    lean_batches(spark)
 
 
 # ---- database ----

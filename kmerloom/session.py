@@ -57,6 +57,12 @@ def spread(df: DataFrame) -> DataFrame:
     return df if df.rdd.getNumPartitions() >= n else df.repartition(n)
 
 
+def lean_batches(spark: SparkSession, rows: int = 1000, size: int = 4 << 20) -> None:
+    """For queries, not operators: hand Python workers small batches, whose memory does not grow with the table."""
+    for name, most in (("maxRecordsPerBatch", rows), ("maxBytesPerBatch", size)):
+        spark.conf.set(f"spark.sql.execution.arrow.{name}", str(most))
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
 
