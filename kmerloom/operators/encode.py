@@ -297,3 +297,92 @@ def sliding_kmer_counts(df: DataFrame, key: str, seq_col: str = "sequence", widt
             yield pa.RecordBatch.from_arrays([batch.column(key).take(pa.array(np.concatenate(rows))), pa.array(np.concatenate(starts).astype(np.int32)), pa.array(np.concatenate(n).astype(np.int64))], [key, "window_start", "n_known"])
 
     return df.select(key, seq_col).mapInArrow(count, f"`{key}` {df.schema[key].dataType.simpleString()}, window_start int, n_known bigint")
+
+
+_LETTERS = np.frombuffer(b"ACGT", np.uint8)
+_SHIFTS = np.arange(2 * dna.PACKED - 2, -1, -2)
+_MARKS = np.arange(dna.PACKED - 1, -1, -1)
+
+
+def packed_words(sequence: bytes) -> tuple[int, np.ndarray, np.ndarray]:
+    """Number of bases, words and marks of unknown bases, as :func:`dna.pack` makes them."""
+    symbols = np.frombuffer(sequence, np.uint8)
+    if len(symbols) and symbols.max() > 127:
+        symbols = np.minimum(np.frombuffer(sequence.decode().encode("utf-32-le"), np.uint32), 255)
+    codes = np.pad(_CODE[symbols], (0, -len(symbols) % dna.PACKED)).reshape(-1, dna.PACKED)
+    return len(symbols), (np.maximum(codes, 0) << _SHIFTS).sum(1), ((codes < 0) << _MARKS).sum(1).astype(np.int32)
+
+
+def unpacked(n: int, words: np.ndarray, unknown: np.ndarray, other: str = "N") -> bytes:
+    """The sequence of a packed one; ``other``, an ASCII symbol, stands for unknown bases."""
+    plain = _LETTERS[(words[:, None] >> _SHIFTS) & 3]
+    return np.where((unknown[:, None] >> _MARKS) & 1, np.uint8(ord(other)), plain).astype(np.uint8).tobytes()[:n]
+
+
+def packed_codes(n: int, words: np.ndarray, unknown: np.ndarray, k: int = dna.KMER_SIZE) -> np.ndarray:
+    """The numbers of the known k-mers (k <= 16) in order, by shifts over two neighbouring words, as :func:`dna.packed_kmers` makes them."""
+    if not 1 <= k <= dna.PACKED:
+        raise ValueError("a k-mer has 1 to 16 bases")
+    after = lambda x: np.append(x[1:], x.dtype.type(0))
+    words, unknown = words.astype(np.uint64), unknown.astype(np.uint32)
+    off = np.arange(dna.PACKED)
+    both = ((words << np.uint64(32)) | after(words))[:, None] << (2 * off).astype(np.uint64) if len(words) else np.zeros((0, dna.PACKED), np.uint64)
+    marks = ((unknown << np.uint32(dna.PACKED)) | after(unknown))[:, None] << off.astype(np.uint32) if len(words) else np.zeros((0, dna.PACKED), np.uint32)
+    last = max(0, n - k + 1)
+    known = (marks >> np.uint32(32 - k)).ravel()[:last] == 0
+    return (both >> np.uint64(64 - 2 * k)).ravel()[:last][known].astype(np.int64)
+
+
+PACKED_FIELDS = "n int, words array<bigint>, unknown array<int>"
+
+
+def _ragged(lists: list[np.ndarray], kind: type) -> pa.Array:
+    offsets = np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(lists).astype(kind) if lists else np.zeros(0, kind)))
+
+
+def pack_sequences(df: DataFrame, seq_col: str = "sequence") -> DataFrame:
+    """All columns but the sequence, with n, words and unknown of :func:`dna.pack`, by Arrow batches."""
+    rest = [c for c in df.columns if c not in (seq_col, "n", "words", "unknown")]
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in small_parts(batch, seq_col):
+                n, words, unknown = zip(*map(packed_words, _bytes(part.column(seq_col))))
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in rest), pa.array(n, pa.int32()), _ragged(words, np.int64), _ragged(unknown, np.int32)], [*rest, "n", "words", "unknown"])
+
+    fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in df.schema if f.name in rest)
+    return df.select(*rest, seq_col).mapInArrow(pack, fields + PACKED_FIELDS)
+
+
+def _each_packed(part: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    words, unknown = part.column("words"), part.column("unknown")
+    for r, n in enumerate(part.column("n").to_pylist()):
+        yield n, words[r].values.to_numpy(), unknown[r].values.to_numpy()
+
+
+def unpack_sequences(packed: DataFrame, other: str = "N") -> DataFrame:
+    """All columns and the sequence of rows of :func:`pack_sequences`."""
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in small_parts(batch, "words"):
+                made = [unpacked(*x, other).decode("ascii") for x in _each_packed(part)]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(made, pa.string())], [*part.schema.names, "sequence"])
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in packed.schema)
+    return packed.mapInArrow(unpack, f"{fields}, sequence string")
+
+
+def packed_kmer_sums(packed: DataFrame, key: str, k: int) -> DataFrame:
+    """(key, n, total, most, n_distinct) over the numbers of the known k-mers of each row of :func:`pack_sequences` that has one."""
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in small_parts(batch, "words"):
+                found = [(r, c) for r, c in enumerate(packed_codes(*x, k) for x in _each_packed(part)) if len(c)]
+                rows = [[len(c), int(c.sum()), int(c.max()), len(np.unique(c))] for _, c in found]
+                columns = zip(*rows) if rows else [[]] * 4
+                yield pa.RecordBatch.from_arrays([part.column(key).take(pa.array([r for r, _ in found], pa.int64())), *(pa.array(x, pa.int64()) for x in columns)], [key, "n", "total", "most", "n_distinct"])
+
+    return packed.mapInArrow(measure, f"`{key}` {packed.schema[key].dataType.simpleString()}, n bigint, total bigint, most bigint, n_distinct bigint")

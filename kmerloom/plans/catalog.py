@@ -176,21 +176,14 @@ SELECT doc_id, count(*)::BIGINT AS n, sum(code)::BIGINT AS total, max(code)::BIG
 """)
 def doc_packed_kmers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Numbers of all known 11-mers of the packed documents, by shifts over the edges of words."""
-    packed = documents_dna(spark, sf_dir).select("doc_id", dna.pack(F.col("sequence")).alias("p"))
-
-    def summed(codes):
-        total = F.aggregate(codes, F.lit(0).cast("bigint"), lambda a, c: a + c)
-        return F.struct(F.size(codes).cast("bigint").alias("n"), total.alias("total"), F.array_max(codes).alias("most"), F.size(F.array_distinct(codes)).cast("bigint").alias("n_distinct"))
-
-    known = F.filter(dna.packed_kmers(F.col("p"), 11), lambda c: c >= 0)
-    return packed.select("doc_id", dna.bound(known, summed).alias("k")).select("doc_id", "k.*").where("n > 0")
+    return encode.packed_kmer_sums(encode.pack_sequences(documents_dna(spark, sf_dir)), "doc_id", 11)
 
 
 @query(f"SELECT doc_id, length(s)::BIGINT AS n_bases, ceil(length(s) / 16.0)::BIGINT AS n_words, md5(s) AS sequence_md5 FROM (SELECT doc_id, {WHOLE_SQL} AS s FROM documents)")
 def doc_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents packed, and what unpacking gives."""
-    packed = documents_dna(spark, sf_dir).select("doc_id", dna.pack(F.col("sequence")).alias("p"))
-    return packed.select("doc_id", F.col("p.n").cast("bigint").alias("n_bases"), F.size("p.words").cast("bigint").alias("n_words"), F.md5(dna.unpack(F.col("p"), ".").cast("binary")).alias("sequence_md5"))
+    back = encode.unpack_sequences(encode.pack_sequences(documents_dna(spark, sf_dir)), ".")
+    return back.select("doc_id", F.col("n").cast("bigint").alias("n_bases"), F.size("words").cast("bigint").alias("n_words"), F.md5(F.col("sequence").cast("binary")).alias("sequence_md5"))
 
 
 def _bits(base: str) -> str:
@@ -343,7 +336,6 @@ def prefixed_taxonomy(spark: SparkSession, sf_dir: str) -> DataFrame:
     second = known.select(F.concat(F.lit("Bacteria;"), "r_name", F.lit(";"), "n_name", F.lit(";")).alias("path"), F.lit("class").alias("rank"))
     named = rows.select(F.col("c_custkey").alias("seq_id"), path.alias("description"))
     return named.join(lineage.prefixed_lineages(named, first.union(second)), F.col("description") == F.col("path"), "left").select("seq_id", "lineage")
-    lean_batches(spark)
 
 
 # ---- database ----
@@ -351,6 +343,7 @@ def prefixed_taxonomy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _library(spark: SparkSession, sf_dir: str):
     """Documents as a library: lineage by language and source, sequence from the text."""
+    lean_batches(spark)
     docs = spread(table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text"))
     label = F.concat(F.lit("k__Docs; p__"), "lang", F.lit("; c__"), "lang", F.lit("-"), "source")
     return docs.select(F.col("doc_id").cast("string").alias("seq_id"), whole_dna(F.coalesce("text", F.lit(""))).alias("sequence"), label.alias("lineage"))
