@@ -85,3 +85,20 @@ def test_counts_of_single_keys_are_not_aggregated(spark):
     assert "Aggregate" not in found._jdf.queryExecution().optimizedPlan().toString() and rows(found) == rows(encode.kmer_counts_native(once, "i"))
     for repeated in (df, df.union(df.where("i < 20")), df.limit(0)):
         assert rows(encode.kmer_counts(repeated, "i")) == rows(encode.kmer_counts_native(repeated, "i"))
+
+
+def test_products_of_panes_are_sums_of_rows(monkeypatch):
+    """Windows' products, whatever the number of panes that are added up at once."""
+    from kmerloom.functions import hv
+    from kmerloom.operators import identify
+
+    r = np.random.default_rng(2)
+    v = r.poisson(0.4, (5, 512)).astype(float) @ hv.gram()
+    shapes = [(40, 515), (1, 3), (1, 125), (1, 60), (3, 145), (1, 124)]
+    pieces = [{"k": k % 2, "piece": "".join(r.choice(list("ACGT."), size)), "n_windows": n, "stale": "ACGTA"} for k, (n, size) in enumerate(shapes)]
+    made = pa.array(pieces, pa.struct([("k", pa.int32()), ("piece", pa.string()), ("n_windows", pa.int32()), ("stale", pa.string())]))
+    for mode in ("direct", "incremental"):
+        want = v @ identify._window_matrix(made, mode).T
+        for panes in (1, 7, 256):
+            monkeypatch.setattr(identify, "PANES", panes)
+            assert (identify._products(v, made, mode) == want).all()
